@@ -66,11 +66,17 @@ def token_context(tokens: Column, negations: Sequence[str] = NEGATION_WORDS,
     return F.transform(tokens, ctx)
 
 
-def lexicon_tokens(df: DataFrame, id_col: str, text_col: str, **context_kw) -> DataFrame:
-    """One row per token occurrence with its context (id, pos, tok, negated, boost)."""
-    tokens = tokenize(text_col)
-    return (df.select(F.col(id_col), F.explode(token_context(tokens, **context_kw)).alias("c"))
-              .select(id_col, "c.pos", "c.tok", "c.negated", "c.boost"))
+def lexicon_tokens(df: DataFrame, keys: Sequence[str], text_col: str, outer: bool = False,
+                   **context_kw) -> DataFrame:
+    """One row per token occurrence with its context (keys, pos, tok,
+    negated, boost). ``outer`` keeps a row with a null token for empty texts."""
+    # The token array is projected once into a column; the context lambda then
+    # reads neighbours from that column (O(1) each) instead of re-splitting.
+    with_tokens = df.select(*[F.col(k) for k in keys], tokenize(text_col).alias("_toks"))
+    ctx = token_context(F.col("_toks"), **context_kw)
+    gen = F.explode_outer(ctx) if outer else F.explode(ctx)
+    return (with_tokens.select(*keys, gen.alias("c"))
+                       .select(*keys, "c.pos", "c.tok", "c.negated", "c.boost"))
 
 
 def _sized_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
@@ -80,48 +86,68 @@ def _sized_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(small) if n <= max_rows else small
 
 
-def sentiment_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
-                     text_col: str = "reviewTot", max_broadcast_rows: int | None = None,
-                     **context_kw) -> DataFrame:
-    """Z1-Z3 per id: (id, compound_score, polarity_score, sentiment_score).
+def _score_columns(keys: Sequence[str]) -> list[Column]:
+    s = F.coalesce(F.col("_s"), F.lit(0)).cast("double")
+    compound = s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
+    polarity = F.coalesce(F.try_divide(F.col("_ps").cast("double"), F.col("_pn").cast("double")), F.lit(0.0))
+    subjectivity = F.coalesce(F.try_divide(F.col("_ss").cast("double"), F.col("_sn").cast("double")), F.lit(0.0))
+    return [*[F.col(k) for k in keys],
+            compound.cast("float").alias("compound_score"),
+            polarity.cast("float").alias("polarity_score"),
+            subjectivity.cast("float").alias("sentiment_score")]
 
-    Ids without any lexicon match are absent here; :func:`add_sentiment`
-    joins back and fills 0.0.
-    """
-    toks = lexicon_tokens(df, id_col, text_col, **context_kw)
-    lex = _sized_broadcast(
-        lexicon.select(F.col("token").alias("tok"), "valence", "polarity", "subjectivity"),
-        max_broadcast_rows)
-    hits = toks.join(lex, on="tok", how="inner")
+
+def _aggregate(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     v = F.col("valence")
     boosted = v + F.col("boost") * F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     compound_part = F.when(F.col("negated"), boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
     polarity_part = F.when(F.col("negated"), F.col("polarity") * F.lit(POLARITY_NEGATION)) \
         .otherwise(F.col("polarity"))
-    agg = hits.groupBy(id_col).agg(
+    agg = hits.groupBy(*keys).agg(
         F.sum(compound_part.cast(_DEC)).alias("_s"),
         F.sum(polarity_part.cast(_DEC)).alias("_ps"),
         F.count(F.col("polarity")).alias("_pn"),
         F.sum(F.col("subjectivity").cast(_DEC)).alias("_ss"),
         F.count(F.col("subjectivity")).alias("_sn"),
     )
-    s = F.coalesce(F.col("_s"), F.lit(0)).cast("double")
-    compound = s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
-    polarity = F.coalesce(F.try_divide(F.col("_ps").cast("double"), F.col("_pn").cast("double")), F.lit(0.0))
-    subjectivity = F.coalesce(F.try_divide(F.col("_ss").cast("double"), F.col("_sn").cast("double")), F.lit(0.0))
-    return agg.select(
-        id_col,
-        compound.cast("float").alias("compound_score"),
-        polarity.cast("float").alias("polarity_score"),
-        subjectivity.cast("float").alias("sentiment_score"),
-    )
+    return agg.select(*_score_columns(keys))
+
+
+def _lexicon(lexicon: DataFrame, max_rows: int | None) -> DataFrame:
+    return _sized_broadcast(
+        lexicon.select(F.col("token").alias("tok"), "valence", "polarity", "subjectivity"), max_rows)
+
+
+def score_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
+                    text_col: str = "reviewTot", carry: Sequence[str] = (),
+                    max_broadcast_rows: int | None = None, **context_kw) -> DataFrame:
+    """Z1-Z3 for every row of ``df``: (id, *carry, compound_score,
+    polarity_score, sentiment_score); 0.0 when no lexicon word occurs.
+
+    Narrow columns in ``carry`` ride along with the tokens, so no join back to
+    ``df`` is needed (``df`` is read once). ``id_col`` must be unique.
+    """
+    keys = [id_col, *carry]
+    toks = lexicon_tokens(df, keys, text_col, outer=True, **context_kw)
+    hits = toks.join(_lexicon(lexicon, max_broadcast_rows), on="tok", how="left")
+    return _aggregate(hits, keys)
+
+
+def sentiment_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
+                     text_col: str = "reviewTot", max_broadcast_rows: int | None = None,
+                     **context_kw) -> DataFrame:
+    """Z1-Z3 per id for ids with at least one lexicon word (inner join)."""
+    toks = lexicon_tokens(df, [id_col], text_col, **context_kw)
+    hits = toks.join(_lexicon(lexicon, max_broadcast_rows), on="tok", how="inner")
+    return _aggregate(hits, [id_col])
 
 
 def add_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
                   text_col: str = "reviewTot", max_broadcast_rows: int | None = None,
                   **context_kw) -> DataFrame:
-    """Z1-Z3 joined back to every row (``id_col`` must be unique); 0.0 when a
-    review has no lexicon word."""
+    """Z1-Z3 joined back to every row, keeping all of ``df``'s columns (use
+    when wide columns such as the text are needed afterwards; persist ``df``
+    first so it is computed once). ``id_col`` must be unique."""
     scores = sentiment_scores(df, lexicon, id_col, text_col, max_broadcast_rows, **context_kw)
     out = df.join(scores, on=id_col, how="left")
     zero = F.lit(0.0).cast("float")
@@ -139,7 +165,7 @@ def fixture_lexicon(df: DataFrame, text_col: str, min_length: int = 4) -> DataFr
     subjectivity = (length(token) % 11) / 10, for tokens of ``min_length``+ chars.
     """
     toks = df.select(F.explode(tokenize(text_col)).alias("token"))
-    distinct = toks.where(F.length("token") >= min_length).groupBy("token").agg()
+    distinct = toks.where(F.length("token") >= min_length).distinct()
     valence = (F.ascii("token") % 9 - 4).cast("double")
     return distinct.select(
         "token",

@@ -110,3 +110,121 @@ lt as (
 
 def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+
+def _sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def tokens_of(expr: str, pattern: str = r"\W") -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({expr}, '')), '{pattern}'), lambda x: x <> '')"
+
+
+# Fixture lexicon from the documents' own tokens (4+ characters).
+LEXICON = f"""lexicon as (
+  select token,
+         cast(ascii(token) % 9 - 4 as double) as valence,
+         cast(ascii(token) % 9 - 4 as double) / 4 as polarity,
+         cast(length(token) % 11 as double) / 10 as subjectivity
+  from (select distinct unnest({tokens_of('text')}) as token from documents)
+  where length(token) >= 4
+)"""
+
+
+def sentiment_ctes(source: str, prefix: str) -> str:
+    """Token context, lexicon hits and per-review scores of ``source``
+    (columns reviewID, reviewTot); defines ``{prefix}_scores``."""
+    from reviewlens.functions.constants import (
+        BOOSTER_WORDS, DAMPENER_WORDS, NEGATION_WORDS,
+    )
+    neg, boo, dam = _sql_list(NEGATION_WORDS), _sql_list(BOOSTER_WORDS), _sql_list(DAMPENER_WORDS)
+    boosted = "(valence + boost * case when valence < 0 then -1.0 else 1.0 end)"
+    return f"""{prefix}_toks as (
+  select reviewID, arr, unnest(range(1, len(arr) + 1)) as i
+  from (select reviewID, {tokens_of('reviewTot')} as arr from {source})
+),
+{prefix}_ctx as (
+  select reviewID, arr[i] as tok,
+         ((i > 1 and arr[i - 1] in ({neg})) or (i > 2 and arr[i - 2] in ({neg}))
+          or (i > 3 and arr[i - 3] in ({neg}))) as negated,
+         case when i > 1 and arr[i - 1] in ({boo}) then 0.293
+              when i > 1 and arr[i - 1] in ({dam}) then -0.293 else 0.0 end as boost
+  from {prefix}_toks
+),
+{prefix}_agg as (
+  select reviewID,
+         sum(cast(case when negated then {boosted} * -0.74 else {boosted} end as decimal(20,8))) as s,
+         sum(cast(case when negated then polarity * -0.5 else polarity end as decimal(20,8))) as ps,
+         count(polarity) as pn,
+         sum(cast(subjectivity as decimal(20,8))) as ss,
+         count(subjectivity) as sn
+  from {prefix}_ctx c join lexicon l on c.tok = l.token
+  group by reviewID
+),
+{prefix}_scores as (
+  select reviewID,
+         cast(cast(s as double) / sqrt(cast(s as double) * cast(s as double) + 15) as float) as compound_score,
+         cast(coalesce(cast(ps as double) / nullif(cast(pn as double), 0), 0.0) as float) as polarity_score,
+         cast(coalesce(cast(ss as double) / nullif(cast(sn as double), 0), 0.0) as float) as sentiment_score
+  from {prefix}_agg
+)"""
+
+
+def right_closed_bin_sql(x: str, edges) -> str:
+    parts = [f"when cast({x} as double) <= {e} then '{i}'" for i, e in enumerate(edges, start=1)]
+    return (f"(case {' '.join(parts)} when cast({x} as double) > {edges[-1]} then '{len(edges) + 1}' "
+            f"else 'Unknown' end)")
+
+
+# Sentiment-study rows: dedup -> null drop -> reviewTot -> scores (0 when no match) -> bins.
+def sentiment_study() -> str:
+    from reviewlens.functions.constants import (
+        COMPOUND_BIN_EDGES, POLARITY_BIN_EDGES, SUBJECTIVITY_BIN_EDGES,
+    )
+    return f"""{dedup('reviews')},
+sa_rows as (
+  select reviewID, label, {combined()} as reviewTot
+  from dedup where reviewText is not null and label is not null
+),
+{LEXICON},
+{sentiment_ctes('sa_rows', 'sa')},
+sa0 as (
+  select r.reviewID, r.label,
+         coalesce(s.compound_score, cast(0.0 as float)) as compound_score,
+         coalesce(s.polarity_score, cast(0.0 as float)) as polarity_score,
+         coalesce(s.sentiment_score, cast(0.0 as float)) as sentiment_score
+  from sa_rows r left join sa_scores s on r.reviewID = s.reviewID
+),
+sa as (
+  select *, case when compound_score > 0.5 or compound_score < -0.5 then 1 else 0 end as Predicted_Label,
+         {right_closed_bin_sql('compound_score', COMPOUND_BIN_EDGES)} as Bin,
+         {right_closed_bin_sql('polarity_score', POLARITY_BIN_EDGES)} as Bin_Pol,
+         {right_closed_bin_sql('sentiment_score', SUBJECTIVITY_BIN_EDGES)} as Bin_Sen
+  from sa0
+)"""
+
+
+def histogram_sql(source: str, x: str, bins: int = 50) -> str:
+    return f"""h_vals as (select cast({x} as double) as x from {source}
+                where {x} is not null and not isnan(cast({x} as double))),
+h_rng as (select case when min(x) = max(x) then min(x) - 0.5 else min(x) end as lo,
+                 case when min(x) = max(x) then max(x) + 0.5 else max(x) end as hi from h_vals),
+h_cnt as (select cast(least({bins - 1}, floor((x - lo) / (hi - lo) * {bins})) as integer) as bin, count(*) as c
+          from h_vals, h_rng group by 1)
+select cast(r.bin as integer) as bin, lo + cast(r.bin as integer) * ((hi - lo) / {bins}) as bin_lo,
+       lo + (cast(r.bin as integer) + 1) * ((hi - lo) / {bins}) as bin_hi,
+       coalesce(c, 0) as count
+from range({bins}) r(bin) cross join h_rng left join h_cnt on h_cnt.bin = r.bin"""
+
+
+def auc_sql(source: str, score: str, label: str = "label") -> str:
+    return f"""a_sc as (select cast({score} as double) as s, {label} as y from {source}
+               where {score} is not null and {label} is not null),
+a_g as (select s, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg
+        from a_sc group by s),
+a_c as (select s, pos, neg,
+               coalesce(sum(neg) over (order by s rows between unbounded preceding and 1 preceding), 0) as below
+        from a_g)
+select cast(sum(pos * (below + 0.5 * neg)) as double)
+       / (cast((select sum(pos) from a_g) as double) * cast((select sum(neg) from a_g) as double)) as auc
+from a_c"""
