@@ -228,3 +228,21 @@ a_c as (select s, pos, neg,
 select cast(sum(pos * (below + 0.5 * neg)) as double)
        / (cast((select sum(pos) from a_g) as double) * cast((select sum(neg) from a_g) as double)) as auc
 from a_c"""
+
+
+def clean_sql(expr: str) -> str:
+    """T3 -> T4 -> T5 in DuckDB."""
+    return (f"regexp_replace(regexp_replace({collapse(expr)}, '\\d+', '', 'g'), "
+            f"'[^\\w\\s]', '', 'g')")
+
+
+def text_rows() -> str:
+    """Model-notebook text columns of every review (no dedup, scoring path)."""
+    from reviewlens.functions.stopwords import ENGLISH_STOP_WORDS
+    stop = _sql_list(ENGLISH_STOP_WORDS)
+    return f"""lg_raw as (select reviewID, label, {combined()} as raw_text from reviews),
+lg_clean as (select reviewID, label, length(raw_text) as combined_text_length,
+                    {clean_sql('raw_text')} as combined_text from lg_raw),
+lg_tok as (select reviewID, combined_text, {tokens_of('combined_text')} as words from lg_clean),
+lg_filt as (select reviewID, combined_text, words,
+                   list_filter(words, lambda x: x not in ({stop})) as filtered from lg_tok)"""
