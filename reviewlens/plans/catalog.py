@@ -29,11 +29,14 @@ REGISTRY: dict[str, Query] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double / float column to ``places`` (as double)."""
+    """Round every double / float column to ``places`` (as double) and widen
+    integer columns to bigint, so both engines report the same types."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(F.round(F.col(f.name).cast("double"), places).alias(f.name))
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            cols.append(F.col(f.name).cast("bigint").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -34,9 +34,9 @@ def s2_scan_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s3_hash_sample", W(S.REVIEWS) + """
 select reviewID, reviewerID, label,
-       cast(cast('0x' || substring(md5(reviewID), 1, 4) as integer) % 10 as integer) as bucket
+       cast(cast('0x' || substring(md5(reviewID), 1, 4) as bigint) % 10 as bigint) as bucket
 from reviews
-where cast('0x' || substring(md5(reviewID), 1, 4) as integer) % 10 < 7""")
+where cast('0x' || substring(md5(reviewID), 1, 4) as bigint) % 10 < 7""")
 def s3_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 / M2: repeatable 70 % sample on a key hash."""
     r = reviews_from_documents(spark, sf_dir)
@@ -45,7 +45,7 @@ def s3_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("m2_hash_split_counts", W(S.REVIEWS) + """
-select case when cast('0x' || substring(md5(reviewID), 1, 4) as integer) % 10 < 8
+select case when cast('0x' || substring(md5(reviewID), 1, 4) as bigint) % 10 < 8
             then 'train' else 'holdout' end as part,
        count(*) as rows, count(label) as labelled
 from reviews group by 1""")
@@ -58,7 +58,7 @@ def m2_hash_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("p1_review_columns", W(S.REVIEWS) + f"""
-select reviewID, reviewerID, asin as productId, cast(verified as integer) as verified, overall, label,
+select reviewID, reviewerID, asin as productId, cast(verified as bigint) as verified, overall, label,
        {S.date_of('unixReviewTime')} as reviewTime,
        year({S.date_of('unixReviewTime')}) as year,
        month({S.date_of('unixReviewTime')}) as month,

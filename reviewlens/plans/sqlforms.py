@@ -22,7 +22,7 @@ REVIEWS = """reviews as (
          o.o_orderstatus = 'F' as verified,
          cast(substring(o.o_orderpriority, 1, 1) as double) as overall,
          cast(epoch(o.o_orderdate) as bigint) as unixReviewTime,
-         cast(l.quality as integer) as label
+         cast(l.quality as bigint) as label
   from documents d
   join orders o on o.o_orderkey = d.doc_id
   left join labels l on l.doc_id = d.doc_id
@@ -209,10 +209,10 @@ def histogram_sql(source: str, x: str, bins: int = 50) -> str:
                 where {x} is not null and not isnan(cast({x} as double))),
 h_rng as (select case when min(x) = max(x) then min(x) - 0.5 else min(x) end as lo,
                  case when min(x) = max(x) then max(x) + 0.5 else max(x) end as hi from h_vals),
-h_cnt as (select cast(least({bins - 1}, floor((x - lo) / (hi - lo) * {bins})) as integer) as bin, count(*) as c
+h_cnt as (select cast(least({bins - 1}, floor((x - lo) / (hi - lo) * {bins})) as bigint) as bin, count(*) as c
           from h_vals, h_rng group by 1)
-select cast(r.bin as integer) as bin, lo + cast(r.bin as integer) * ((hi - lo) / {bins}) as bin_lo,
-       lo + (cast(r.bin as integer) + 1) * ((hi - lo) / {bins}) as bin_hi,
+select cast(r.bin as bigint) as bin, lo + cast(r.bin as bigint) * ((hi - lo) / {bins}) as bin_lo,
+       lo + (cast(r.bin as bigint) + 1) * ((hi - lo) / {bins}) as bin_hi,
        coalesce(c, 0) as count
 from range({bins}) r(bin) cross join h_rng left join h_cnt on h_cnt.bin = r.bin"""
 
