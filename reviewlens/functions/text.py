@@ -86,3 +86,18 @@ def ngrams(tokens: str | Column, n: int = 2) -> Column:
         starts, lambda i: F.array_join(F.slice(arr, i + 1, n), " ")
     )
     return F.when(F.size(arr) >= n, windows).otherwise(F.array().cast("array<string>"))
+
+
+def explode_tokens(df, keys, tokens: str | Column, alias: str = "token", with_position: bool = False):
+    """One row per array element, for non-empty arrays (same rows as ``explode``).
+
+    Written as ``explode_outer`` + a null filter: for a plain ``explode`` the
+    optimizer infers ``size(tokens) > 0`` and pushes it below exchanges into the
+    scan, which evaluates the whole tokenising expression a second time there.
+    """
+    arr = _c(tokens)
+    if with_position:
+        gen = F.posexplode_outer(arr).alias("pos", alias)
+    else:
+        gen = F.explode_outer(arr).alias(alias)
+    return df.select(*[F.col(k) for k in keys], gen).where(F.col(alias).isNotNull())

@@ -26,9 +26,11 @@ def cast_verified(df: DataFrame, col: str = "verified") -> DataFrame:
 def add_review_dates(df: DataFrame, epoch_col: str = "unixReviewTime", out: str = "reviewTime",
                      as_of_year: int | None = None) -> DataFrame:
     """D1-D4 + P2/P8: replace epoch seconds by a date and its parts, one Project."""
-    d = dates.epoch_to_date(epoch_col)
-    parts = dates.date_parts(d) if as_of_year is None else dates.date_parts(d, as_of_year)
-    return df.withColumns({out: d, **parts}).drop(epoch_col)
+    # The date is projected first and the parts read the column, so the
+    # format/parse of ``to_date(from_unixtime(...))`` runs once per row.
+    with_date = df.withColumn(out, dates.epoch_to_date(epoch_col)).drop(epoch_col)
+    parts = dates.date_parts(out) if as_of_year is None else dates.date_parts(out, as_of_year)
+    return with_date.withColumns(parts)
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -106,14 +108,13 @@ def length_study(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin
     All per-row columns are computed before the dedup, so when a query uses
     only lengths and labels, the text never enters the shuffle.
     """
-    combined = text.combine_text("reviewText", "summary")
-    collapsed = text.collapse_punctuation(combined)
-    length = text.text_length(collapsed)
-    derived = df.withColumns({
-        "reviewTot": collapsed,
-        "reviewTot_length": length,
-        "segment_no": bins.segment_number(length),
-        "reviewTot_segment": bins.segment_label(length),
-        _HAS_TEXT: F.col("reviewText").isNotNull(),
+    collapsed = text.collapse_punctuation(text.combine_text("reviewText", "summary"))
+    derived = df.withColumns({"reviewTot": collapsed, _HAS_TEXT: F.col("reviewText").isNotNull()})
+    # length from the column, segments from the length column: each is computed
+    # once per row instead of once per CASE branch.
+    derived = derived.withColumn("reviewTot_length", text.text_length("reviewTot"))
+    derived = derived.withColumns({
+        "segment_no": bins.segment_number("reviewTot_length"),
+        "reviewTot_segment": bins.segment_label("reviewTot_length"),
     })
     return dedup_then_require(derived, dedup_keys)

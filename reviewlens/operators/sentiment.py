@@ -19,8 +19,9 @@ Method (own, documented semantics):
   ``POLARITY_NEGATION``; 0.0 when nothing matches.
 * Subjectivity (Z3): mean matched subjectivity; 0.0 when nothing matches.
 
-Per-token contributions are summed as decimals, so the scores do not depend on
-the order rows reach the aggregate (identical across partitionings and reruns).
+Per-token contributions are summed as integers in units of 1e-8, so the scores
+do not depend on the order rows reach the aggregate (identical across
+partitionings and reruns) and the sums stay in fast fixed-width arithmetic.
 Scores are returned as ``float`` like the analysed notebooks' UDFs.
 """
 
@@ -40,43 +41,59 @@ from reviewlens.functions.constants import (
     NEGATION_WORDS,
     POLARITY_NEGATION,
 )
-from reviewlens.functions.text import tokenize
+from reviewlens.functions.text import explode_tokens, tokenize
 
-_DEC = "decimal(20,8)"
+# Per-token contributions are summed as integers in units of 1e-8 (exact and
+# independent of summation order), then scaled back.
+_SCALE = 100_000_000.0
 
 
 def _in_list(x: Column, words: Sequence[str]) -> Column:
-    return F.coalesce(F.array_contains(F.array(*[F.lit(w) for w in words]), x), F.lit(False))
+    # ``isin`` becomes a hash-set lookup (InSet) for longer lists.
+    return F.coalesce(x.isin(list(words)), F.lit(False))
 
 
-def token_context(tokens: Column, negations: Sequence[str] = NEGATION_WORDS,
-                  boosters: Sequence[str] = BOOSTER_WORDS,
-                  dampeners: Sequence[str] = DAMPENER_WORDS,
-                  window: int = NEGATION_WINDOW) -> Column:
-    """Array of struct(pos, tok, negated, boost) built from the token array."""
+def token_flags(tokens: Column, negations: Sequence[str] = NEGATION_WORDS,
+                boosters: Sequence[str] = BOOSTER_WORDS,
+                dampeners: Sequence[str] = DAMPENER_WORDS) -> dict[str, Column]:
+    """Per-token flag arrays: negation word, booster increment (+/-/0)."""
+    return {
+        "_neg": F.transform(tokens, lambda t: _in_list(t, negations)),
+        "_bst": F.transform(tokens, lambda t: F.when(_in_list(t, boosters), F.lit(BOOSTER_INCREMENT))
+                            .when(_in_list(t, dampeners), F.lit(-BOOSTER_INCREMENT))
+                            .otherwise(F.lit(0.0))),
+    }
+
+
+def token_context(tokens: Column, neg: Column, bst: Column, window: int = NEGATION_WINDOW) -> Column:
+    """Array of struct(pos, tok, negated, boost) from the token array and its
+    flag arrays (neighbours are read by index, out-of-range gives null)."""
     def ctx(t: Column, i: Column) -> Column:
         negated = F.lit(False)
         for k in range(1, window + 1):
-            negated = negated | _in_list(F.get(tokens, i - k), negations)
-        prev = F.get(tokens, i - 1)
-        boost = (F.when(_in_list(prev, boosters), F.lit(BOOSTER_INCREMENT))
-                 .when(_in_list(prev, dampeners), F.lit(-BOOSTER_INCREMENT))
-                 .otherwise(F.lit(0.0)))
+            negated = negated | F.coalesce(F.get(neg, i - k), F.lit(False))
+        boost = F.coalesce(F.get(bst, i - 1), F.lit(0.0))
         return F.struct(i.alias("pos"), t.alias("tok"), negated.alias("negated"), boost.alias("boost"))
     return F.transform(tokens, ctx)
 
 
 def lexicon_tokens(df: DataFrame, keys: Sequence[str], text_col: str, outer: bool = False,
-                   **context_kw) -> DataFrame:
+                   negations: Sequence[str] = NEGATION_WORDS, boosters: Sequence[str] = BOOSTER_WORDS,
+                   dampeners: Sequence[str] = DAMPENER_WORDS, window: int = NEGATION_WINDOW) -> DataFrame:
     """One row per token occurrence with its context (keys, pos, tok,
     negated, boost). ``outer`` keeps a row with a null token for empty texts."""
-    # The token array is projected once into a column; the context lambda then
-    # reads neighbours from that column (O(1) each) instead of re-splitting.
-    with_tokens = df.select(*[F.col(k) for k in keys], tokenize(text_col).alias("_toks"))
-    ctx = token_context(F.col("_toks"), **context_kw)
-    gen = F.explode_outer(ctx) if outer else F.explode(ctx)
-    return (with_tokens.select(*keys, gen.alias("c"))
-                       .select(*keys, "c.pos", "c.tok", "c.negated", "c.boost"))
+    # The token array and its flag arrays are projected into columns first; the
+    # context lambda then reads neighbours from them (O(1) each) instead of
+    # re-splitting the text or re-testing word lists for every neighbour.
+    cols = [F.col(k) for k in keys]
+    with_tokens = df.select(*cols, tokenize(text_col).alias("_toks"))
+    flags = token_flags(F.col("_toks"), negations, boosters, dampeners)
+    with_flags = with_tokens.select(*cols, "_toks", flags["_neg"].alias("_neg"), flags["_bst"].alias("_bst"))
+    ctx = token_context(F.col("_toks"), F.col("_neg"), F.col("_bst"), window)
+    exploded = with_flags.select(*cols, F.explode_outer(ctx).alias("c"))
+    if not outer:
+        exploded = exploded.where(F.col("c").isNotNull())
+    return exploded.select(*keys, "c.pos", "c.tok", "c.negated", "c.boost")
 
 
 def _sized_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
@@ -87,16 +104,22 @@ def _sized_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
 
 
 def _score_columns(keys: Sequence[str]) -> list[Column]:
-    s = F.coalesce(F.col("_s"), F.lit(0)).cast("double")
+    s = (F.coalesce(F.col("_s"), F.lit(0)).cast("double") / F.lit(_SCALE))
     compound = s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
-    polarity = F.coalesce(F.try_divide(F.col("_ps").cast("double"), F.col("_pn").cast("double")), F.lit(0.0))
-    subjectivity = F.coalesce(F.try_divide(F.col("_ss").cast("double"), F.col("_sn").cast("double")), F.lit(0.0))
+    ps = F.col("_ps").cast("double") / F.lit(_SCALE)
+    ss = F.col("_ss").cast("double") / F.lit(_SCALE)
+    polarity = F.coalesce(F.try_divide(ps, F.col("_pn").cast("double")), F.lit(0.0))
+    subjectivity = F.coalesce(F.try_divide(ss, F.col("_sn").cast("double")), F.lit(0.0))
     return [*[F.col(k) for k in keys],
             compound.cast("float").alias("compound_score"),
             polarity.cast("float").alias("polarity_score"),
             subjectivity.cast("float").alias("sentiment_score")]
 
 
+def _units(x: Column) -> Column:
+    return F.rint(x * F.lit(_SCALE)).cast("long")
+
+
 def _aggregate(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     v = F.col("valence")
     boosted = v + F.col("boost") * F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -104,10 +127,10 @@ def _aggregate(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     polarity_part = F.when(F.col("negated"), F.col("polarity") * F.lit(POLARITY_NEGATION)) \
         .otherwise(F.col("polarity"))
     agg = hits.groupBy(*keys).agg(
-        F.sum(compound_part.cast(_DEC)).alias("_s"),
-        F.sum(polarity_part.cast(_DEC)).alias("_ps"),
+        F.sum(_units(compound_part)).alias("_s"),
+        F.sum(_units(polarity_part)).alias("_ps"),
         F.count(F.col("polarity")).alias("_pn"),
-        F.sum(F.col("subjectivity").cast(_DEC)).alias("_ss"),
+        F.sum(_units(F.col("subjectivity"))).alias("_ss"),
         F.count(F.col("subjectivity")).alias("_sn"),
     )
     return agg.select(*_score_columns(keys))
@@ -164,7 +187,7 @@ def fixture_lexicon(df: DataFrame, text_col: str, min_length: int = 4) -> DataFr
     valence = ascii(token) % 9 - 4, polarity = valence / 4,
     subjectivity = (length(token) % 11) / 10, for tokens of ``min_length``+ chars.
     """
-    toks = df.select(F.explode(tokenize(text_col)).alias("token"))
+    toks = explode_tokens(df, [], tokenize(text_col), "token")
     distinct = toks.where(F.length("token") >= min_length).distinct()
     valence = (F.ascii("token") % 9 - 4).cast("double")
     return distinct.select(

@@ -9,13 +9,13 @@ from reviewlens.functions import bins
 from reviewlens.operators import eda, metrics, prep, sentiment
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
-from reviewlens.sources import reviews_from_documents
+from reviewlens.sources import reviews_from_documents, spread
 
 SA = S.with_ctes(S.REVIEWS, S.sentiment_study())
 
 
 def documents_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     return sentiment.fixture_lexicon(docs, "text")
 
 

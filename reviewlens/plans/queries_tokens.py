@@ -116,7 +116,7 @@ def n11_normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixture_lemmas(rows: DataFrame) -> DataFrame:
     """Lemma dictionary by rule over the corpus's own filtered tokens: a form
     of 5+ letters ending in a single 's' maps to the form without it."""
-    forms = rows.select(F.explode("filtered").alias("form")).distinct()
+    forms = text.explode_tokens(rows, [], "filtered", "form").distinct()
     forms = forms.where((F.length("form") >= 5) & F.col("form").endswith("s") & ~F.col("form").endswith("ss"))
     return forms.select("form", F.expr("substring(form, 1, length(form) - 1)").alias("lemma"))
 
@@ -152,5 +152,5 @@ def n13_marked_unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus's vocabulary) wrapped in brackets, whole texts."""
     rows = text_rows(spark, sf_dir)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
-    words = bench.select(F.explode(text.tokenize("text")).alias("word")).distinct()
+    words = text.explode_tokens(bench, [], text.tokenize("text"), "word").distinct()
     return tokens.mark_unknown(rows, words, "reviewID", "combined_text")

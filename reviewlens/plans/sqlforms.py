@@ -153,20 +153,20 @@ def sentiment_ctes(source: str, prefix: str) -> str:
 ),
 {prefix}_agg as (
   select reviewID,
-         sum(cast(case when negated then {boosted} * -0.74 else {boosted} end as decimal(20,8))) as s,
-         sum(cast(case when negated then polarity * -0.5 else polarity end as decimal(20,8))) as ps,
+         sum(cast(round((case when negated then {boosted} * -0.74 else {boosted} end) * 100000000.0) as bigint)) as s,
+         sum(cast(round((case when negated then polarity * -0.5 else polarity end) * 100000000.0) as bigint)) as ps,
          count(polarity) as pn,
-         sum(cast(subjectivity as decimal(20,8))) as ss,
+         sum(cast(round(subjectivity * 100000000.0) as bigint)) as ss,
          count(subjectivity) as sn
   from {prefix}_ctx c join lexicon l on c.tok = l.token
   group by reviewID
 ),
 {prefix}_scores as (
   select reviewID,
-         cast(cast(s as double) / sqrt(cast(s as double) * cast(s as double) + 15) as float) as compound_score,
-         cast(coalesce(cast(ps as double) / nullif(cast(pn as double), 0), 0.0) as float) as polarity_score,
-         cast(coalesce(cast(ss as double) / nullif(cast(sn as double), 0), 0.0) as float) as sentiment_score
-  from {prefix}_agg
+         cast(sd / sqrt(sd * sd + 15) as float) as compound_score,
+         cast(coalesce((cast(ps as double) / 100000000.0) / nullif(cast(pn as double), 0), 0.0) as float) as polarity_score,
+         cast(coalesce((cast(ss as double) / 100000000.0) / nullif(cast(sn as double), 0), 0.0) as float) as sentiment_score
+  from (select *, cast(s as double) / 100000000.0 as sd from {prefix}_agg)
 )"""
 
 

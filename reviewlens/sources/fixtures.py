@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reviewlens.sources.tables import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
@@ -40,7 +42,7 @@ def _review_columns(d: DataFrame, o: DataFrame) -> list[Column]:
 
 def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training-table view of ``documents`` joined to ``orders`` and ``labels``."""
-    d = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    d = spread(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id")
     o = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
                "o_orderpriority", "o_orderdate")
     lab = _table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -51,7 +53,7 @@ def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scoring_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring-table view: documents that have no label row (left anti join)."""
-    d = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    d = spread(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id")
     o = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
                "o_orderpriority", "o_orderdate")
     lab = _table(spark, sf_dir, "labels", "doc_id")
@@ -66,8 +68,8 @@ def reviews_from_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``reviewID`` (order key and line number) is not unique in the fixture, so
     queries over this view return keys and aggregates, never a survivor's id.
     """
-    li = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey",
-                "l_quantity", "l_returnflag")
+    li = spread(_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey",
+                       "l_quantity", "l_returnflag"), "l_orderkey")
     o = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner")
     return j.select(
