@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reviewlens.functions.constants import FEATURE_COLUMNS
 from reviewlens.operators import eda
 from reviewlens.plans import models, scoring, studies, textml
+from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
 from reviewlens.plans.queries_text import documents_lexicon
 from reviewlens.schema import SUBMISSION
@@ -88,7 +89,7 @@ def m1_random_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         test.select(F.lit("test").alias("part"), F.count(F.lit(1)).alias("rows")))
 
 
-@register("lg_feature_rows")
+@register("lg_feature_rows", S.with_ctes(S.REVIEWS, S.lg_features()) + S.LG_FEATURES_SELECT)
 def lg_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's feature table (train mode)."""
     feats = studies.build_features(reviews_from_documents(spark, sf_dir), documents_lexicon(spark, sf_dir))

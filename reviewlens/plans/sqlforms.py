@@ -246,3 +246,36 @@ lg_clean as (select reviewID, label, length(raw_text) as combined_text_length,
 lg_tok as (select reviewID, combined_text, {tokens_of('combined_text')} as words from lg_clean),
 lg_filt as (select reviewID, combined_text, words,
                    list_filter(words, lambda x: x not in ({stop})) as filtered from lg_tok)"""
+
+
+def lg_features() -> str:
+    """Model-notebook feature table in train mode (same order of steps)."""
+    return f"""{LEXICON},
+lg0 as (select reviewID, reviewerID, asin as productId, reviewText, summary,
+               cast(verified as bigint) as verified, overall, unixReviewTime, label from reviews),
+rc as (select reviewerID, count(*) as review_count from lg0 group by reviewerID),
+pc as (select productId, count(*) as productId_count from lg0 group by productId),
+lg1 as (select lg0.*, rc.review_count, pc.productId_count from lg0
+        left join rc on lg0.reviewerID = rc.reviewerID left join pc on lg0.productId = pc.productId),
+{dedup('lg1', 'reviewerID, productId', 'lgd')},
+lg2 as (select * exclude (unixReviewTime), {date_of('unixReviewTime')} as reviewTime from lgd),
+st as (select productId, count(distinct reviewID) as reviews_per_product,
+              count(distinct reviewerID) as reviewers_per_product,
+              datediff('day', min(reviewTime), max(reviewTime)) as product_review_interval
+       from lg2 group by productId),
+lg3 as (select lg2.*, st.reviews_per_product, st.reviewers_per_product, st.product_review_interval,
+               row_number() over (partition by lg2.productId order by lg2.reviewTime desc, lg2.reviewID) as reviewOrder
+        from lg2 join st on lg2.productId = st.productId),
+lg4 as (select *, {combined()} as reviewTot from lg3 where reviewText is not null and label is not null),
+{sentiment_ctes('lg4', 'lgs')}"""
+
+
+LG_FEATURES_SELECT = """
+select l.reviewID, l.reviewerID, l.productId, l.verified, l.overall, l.label, l.reviewTime,
+       year(l.reviewTime) as year, month(l.reviewTime) as month, dayofweek(l.reviewTime) + 1 as day_of_week,
+       2023 - year(l.reviewTime) as age, l.review_count, l.productId_count, l.reviews_per_product,
+       l.reviewers_per_product, l.product_review_interval, l.reviewOrder,
+       round(cast(coalesce(s.polarity_score, cast(0.0 as float)) as double), 6) as polarity_score,
+       round(cast(coalesce(s.sentiment_score, cast(0.0 as float)) as double), 6) as sentiment_score,
+       length(l.reviewTot) as combined_text_length
+from lg4 l left join lgs_scores s on l.reviewID = s.reviewID"""
