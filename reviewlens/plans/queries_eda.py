@@ -122,3 +122,25 @@ def m11_auc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlens.operators import metrics
     auc = metrics.area_under_roc(length_rows(spark, sf_dir), "reviewTot_length")
     return spark.createDataFrame([(float(auc),)], "auc double")
+
+
+LENGTH_ROW_SCHEMA = "reviewID string, label int, reviewTot_length int, segment_no int, reviewTot_segment string"
+
+
+@register("s8_s6_length_rows_csv_round_trip", LT + """
+select reviewID, label, reviewTot_length, segment_no, reviewTot_segment from lt""")
+def s8_s6_length_rows_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + S6: length-study rows written as CSV (one file per partition,
+    parallel) under the checkpoint directory and read back with a schema."""
+    import os
+    import uuid
+
+    from reviewlens.session import checkpoint_dir
+    from reviewlens.sources import read_csv, write_csv
+    from pyspark.sql import types as T
+
+    path = os.path.join(checkpoint_dir(spark), f"length-rows-{uuid.uuid4().hex}.csv")
+    rows = length_rows(spark, sf_dir).select("reviewID", "label", "reviewTot_length", "segment_no",
+                                             "reviewTot_segment")
+    write_csv(rows, path)
+    return read_csv(spark, path, T._parse_datatype_string(LENGTH_ROW_SCHEMA))

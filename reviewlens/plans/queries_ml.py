@@ -231,3 +231,27 @@ def m19_class_weighted_gbt_metrics(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 __all__ = ["main_model", "CHECK_ROUNDS", "FEATURE_COLUMNS", "textml"]
+
+
+@register("n5_n6_n7_tfidf_vectors")
+def n5_n6_n7_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N5 + N6 + N7 (ML form): CountVectorizer -> IDF -> MinMaxScaler on the
+    filtered tokens; per review the number of non-zero TF-IDF weights."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from reviewlens.plans.queries_tokens import text_rows
+    rows = text_rows(spark, sf_dir).checkpoint(eager=True)
+    model = Pipeline(stages=textml.tfidf_stages()).fit(rows)
+    out = model.transform(rows).select("reviewID", vector_to_array("idfFeatures").alias("w"),
+                                       vector_to_array("scaled_idfFeatures").alias("s"))
+    return out.select("reviewID", F.size("w").alias("vocab_size"),
+                      F.size(F.filter("w", lambda x: x > 0)).alias("nonzero_terms"),
+                      F.array_max("s").alias("max_scaled"))
+
+
+@register("s3_bernoulli_sample")
+def s3_bernoulli_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: seeded 70 % Bernoulli sample of the reviews (the model notebook's
+    first step); depends on the input partitioning, unlike the hash sample."""
+    from reviewlens.sources import bernoulli_sample
+    return bernoulli_sample(reviews_from_documents(spark, sf_dir), 0.7).select("reviewID", "label")
