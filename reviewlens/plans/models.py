@@ -117,12 +117,12 @@ def prediction_counts(pred: DataFrame) -> DataFrame:
 
 
 def binary_metrics(pred: DataFrame, label: str = "label") -> dict[str, float]:
-    """M11 + M14 on model output (rawPrediction)."""
-    out = {}
-    for m in ("areaUnderROC", "areaUnderPR"):
-        ev = BinaryClassificationEvaluator(labelCol=label, metricName=m)
-        out[m] = ev.evaluate(pred)
-    return out
+    """M11 + M14 on model output, scored by P(label = 1) (monotone in the
+    model's raw margin), exact and evaluated on per-score counts."""
+    from reviewlens.operators.metrics import area_under_pr, area_under_roc
+    scored = pred.select(vector_element("probability", 1, "double").alias("_p1"), F.col(label))
+    return {"areaUnderROC": area_under_roc(scored, "_p1", label),
+            "areaUnderPR": area_under_pr(scored, "_p1", label)}
 
 
 def feature_names(df: DataFrame, vector_col: str) -> list[str]:
