@@ -8,16 +8,18 @@ Scale notes
   one task and give null keys a count. A hot key on the detail side of the join
   is split by AQE's skew-join handling; a small side is broadcast by AQE from
   its measured runtime size.
-* W1 is split in two levels so that no task has to hold a whole product:
-  counts per (product, day) are ranked with a window over that small
-  aggregate, and rows are numbered only inside their (product, day) group.
-  The product statistics ride on the same (product, day) table, so the detail
-  rows are shuffled once for J3 + W1.
+* W1 is split in three levels so that no task has to hold a whole product or
+  a whole (product, day): running counts per (product, day) come from a
+  window over the per-day aggregate, running counts per md5 bucket of the id
+  inside a day from a window over at most 4096 bucket rows, and rows are
+  numbered only inside their (product, day, bucket). The product statistics
+  ride on the same offsets table, so the detail rows are shuffled once for
+  J3 + W1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def add_group_count(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -50,44 +52,72 @@ def product_statistics(df: DataFrame, product: str = "productId", date: str = "r
     )
 
 
-def _day_offsets(df: DataFrame, product: str, date: str) -> DataFrame:
-    """Rows per (product, day) and the number of rows of the same product on
-    later days (the window runs over the small per-day aggregate)."""
-    per_day = df.groupBy(product, date).agg(F.count(F.lit(1)).alias("_n"))
-    later_first = Window.partitionBy(product).orderBy(F.desc_nulls_last(date)).rowsBetween(
+# Rows tied on the date are ordered by md5(tie) then tie. The first hex digits
+# of the md5 are an order-preserving, uniform bucket of that tie order, so a
+# hot (product, day) splits into up to 16^3 = 4096 buckets.
+_BUCKET_HEX = 3
+
+
+def tie_order_key(tie: str) -> Column:
+    """Deterministic tie order inside a day: md5 of the id (then the id)."""
+    return F.md5(F.col(tie).cast("string"))
+
+
+def _offsets(df: DataFrame, product: str, date: str, tie: str) -> DataFrame:
+    """(product, date, _b, _before): for each (product, day, bucket), the number
+    of rows of the same product that come before it - on later days, or on the
+    same day in a lower bucket. Windows run over aggregates only: per product
+    over its days, per (product, day) over at most 4096 buckets."""
+    bucket = F.substring(tie_order_key(tie), 1, _BUCKET_HEX)
+    per_bucket = df.groupBy(product, date, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_nb"))
+    earlier_bucket = Window.partitionBy(product, date).orderBy(F.asc_nulls_first("_b")).rowsBetween(
         Window.unboundedPreceding, -1)
-    return per_day.withColumn("_before", F.coalesce(F.sum("_n").over(later_first), F.lit(0)))
+    per_bucket = per_bucket.withColumn("_before_b", F.coalesce(F.sum("_nb").over(earlier_bucket), F.lit(0)))
+    per_day = per_bucket.groupBy(product, date).agg(F.sum("_nb").alias("_nd"))
+    later_day = Window.partitionBy(product).orderBy(F.desc_nulls_last(date)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    per_day = per_day.withColumn("_before_d", F.coalesce(F.sum("_nd").over(later_day), F.lit(0)))
+    d = per_day.select(F.col(product).alias("_dp"), F.col(date).alias("_dd"), "_before_d")
+    cond = per_bucket[product].eqNullSafe(d["_dp"]) & per_bucket[date].eqNullSafe(d["_dd"])
+    joined = per_bucket.join(d, cond, "inner")
+    return joined.select(product, date, "_b", (F.col("_before_d") + F.col("_before_b")).alias("_before"))
+
+
+def _number_rows(df: DataFrame, offsets: DataFrame, product: str, date: str, tie: str, out: str,
+                 null_safe_product: bool) -> DataFrame:
+    """Join the offsets back on (product, day, bucket) - the one shuffle of the
+    detail rows - and number rows inside their bucket."""
+    side = offsets.select(F.col(product).alias("_p"), F.col(date).alias("_d"), F.col("_b").alias("_ob"),
+                          *[c for c in offsets.columns if c not in (product, date, "_b")])
+    rows = df.withColumn("_b", F.substring(tie_order_key(tie), 1, _BUCKET_HEX))
+    same_product = rows[product].eqNullSafe(side["_p"]) if null_safe_product else rows[product] == side["_p"]
+    cond = same_product & rows[date].eqNullSafe(side["_d"]) & rows["_b"].eqNullSafe(side["_ob"])
+    joined = rows.join(side, cond, "inner").drop("_p", "_d", "_ob")
+    in_bucket = Window.partitionBy(product, date, "_b").orderBy(
+        F.asc_nulls_first(tie_order_key(tie)), F.asc_nulls_first(tie))
+    return joined.withColumn(out, (F.row_number().over(in_bucket) + F.col("_before")).cast("int")) \
+        .drop("_before", "_b")
 
 
 def recency_order(df: DataFrame, product: str = "productId", date: str = "reviewTime",
                   tie: str = "reviewID", out: str = "reviewOrder") -> DataFrame:
-    """``row_number`` within product, newest first, ties by ``tie``.
+    """``row_number`` within product, newest first; rows of the same day
+    ordered by md5(tie), then tie.
 
     Equal to ``row_number() over (partition by product order by date desc,
-    tie)`` but skew-safe: number = rows on later days + rank inside the day.
+    md5(tie), tie)`` but skew-safe: number = rows on later days + rows in lower
+    buckets of the same day + rank inside the bucket. No task ever holds a
+    whole product or a whole (product, day).
     """
-    offsets = _day_offsets(df, product, date).select(
-        F.col(product).alias("_p"), F.col(date).alias("_d"), "_before")
-    cond = df[product].eqNullSafe(offsets["_p"]) & df[date].eqNullSafe(offsets["_d"])
-    joined = df.join(offsets, cond, "inner").drop("_p", "_d")
-    in_day = Window.partitionBy(product, date).orderBy(F.asc_nulls_first(tie))
-    return joined.withColumn(out, (F.row_number().over(in_day) + F.col("_before")).cast("int")) \
-        .drop("_before")
+    return _number_rows(df, _offsets(df, product, date, tie), product, date, tie, out, True)
 
 
 def product_features(df: DataFrame, product: str = "productId", date: str = "reviewTime",
                      review_id: str = "reviewID", reviewer: str = "reviewerID",
                      deduplicated: bool = False) -> DataFrame:
     """J3 + W1 together: product statistics (inner join: null products vanish)
-    and the recency order, with one shuffle of the detail rows on
-    (product, day)."""
+    and the recency order. The statistics ride on the (product, day, bucket)
+    offsets table, so the detail rows are shuffled once for both."""
     stats = product_statistics(df, product, date, review_id, reviewer, deduplicated)
-    offsets = _day_offsets(df, product, date)
-    side = offsets.join(stats, on=product, how="inner")
-    side = side.select(F.col(product).alias("_p"), F.col(date).alias("_d"), "_before",
-                       *[c for c in stats.columns if c != product])
-    cond = (df[product] == side["_p"]) & df[date].eqNullSafe(side["_d"])
-    joined = df.join(side, cond, "inner").drop("_p", "_d")
-    in_day = Window.partitionBy(product, date).orderBy(F.asc_nulls_first(review_id))
-    return joined.withColumn("reviewOrder", (F.row_number().over(in_day) + F.col("_before")).cast("int")) \
-        .drop("_before")
+    offsets = _offsets(df, product, date, review_id).join(stats, on=product, how="inner")
+    return _number_rows(df, offsets, product, date, review_id, "reviewOrder", False)

@@ -190,7 +190,7 @@ def a5_a6_product_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
        from prod group by productId)
 select p.productId, p.reviewerID, p.reviewID, p.reviewTime, st.reviews_per_product, st.reviewers_per_product,
        st.product_review_interval,
-       row_number() over (partition by p.productId order by p.reviewTime desc, p.reviewID) as reviewOrder
+       row_number() over (partition by p.productId order by p.reviewTime desc, md5(p.reviewID), p.reviewID) as reviewOrder
 from prod p join st on p.productId = st.productId""".replace("\n, st", ",\nst"))
 def j3_w1_product_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 (inner join back) + W1 (recency order) after the dedup, at volume."""
@@ -206,7 +206,7 @@ def j3_w1_product_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("w1_recency_order_hot_products", W(S.REVIEWS) + f"""
 select reviewID, asin as productId, {S.date_of('unixReviewTime')} as reviewTime,
-       row_number() over (partition by asin order by {S.date_of('unixReviewTime')} desc, reviewID) as reviewOrder
+       row_number() over (partition by asin order by {S.date_of('unixReviewTime')} desc, md5(reviewID), reviewID) as reviewOrder
 from reviews""")
 def w1_recency_order_hot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 on the document reviews: only 20 products, so every product is a hot

@@ -264,7 +264,7 @@ st as (select productId, count(distinct reviewID) as reviews_per_product,
               datediff('day', min(reviewTime), max(reviewTime)) as product_review_interval
        from lg2 group by productId),
 lg3 as (select lg2.*, st.reviews_per_product, st.reviewers_per_product, st.product_review_interval,
-               row_number() over (partition by lg2.productId order by lg2.reviewTime desc, lg2.reviewID) as reviewOrder
+               row_number() over (partition by lg2.productId order by lg2.reviewTime desc, md5(lg2.reviewID), lg2.reviewID) as reviewOrder
         from lg2 join st on lg2.productId = st.productId),
 lg4 as (select *, {combined()} as reviewTot from lg3 where reviewText is not null and label is not null),
 {sentiment_ctes('lg4', 'lgs')}"""

@@ -39,7 +39,7 @@ def test_recency_order_matches_flat_window_with_hot_product(spark):
     df = spark.createDataFrame(rows, "reviewID string, productId string, d string") \
         .withColumn("reviewTime", F.to_date("d")).drop("d")
     flat = df.withColumn("expected", F.row_number().over(
-        Window.partitionBy("productId").orderBy(F.desc("reviewTime"), "reviewID")))
+        Window.partitionBy("productId").orderBy(F.desc("reviewTime"), F.md5("reviewID"), "reviewID")))
     got = features.recency_order(flat)
     assert got.where(F.col("reviewOrder") != F.col("expected")).count() == 0
     assert got.count() == df.count()
@@ -52,6 +52,12 @@ def test_product_features_inner_drops_null_product(spark):
     out = {r.reviewID: r for r in features.product_features(df, deduplicated=True).collect()}
     assert set(out) == {"r1", "r2"}
     assert out["r2"].reviewOrder == 1 and out["r1"].reviewOrder == 2
+    same_day = [("a", "u1", "p", "2020-01-01"), ("b", "u2", "p", "2020-01-01"), ("c", "u3", "p", "2020-01-01")]
+    sd = spark.createDataFrame(same_day, "reviewID string, reviewerID string, productId string, d string") \
+        .withColumn("reviewTime", F.to_date("d")).drop("d")
+    order = [r.reviewID for r in features.product_features(sd, deduplicated=True).orderBy("reviewOrder").collect()]
+    import hashlib
+    assert order == sorted(["a", "b", "c"], key=lambda x: hashlib.md5(x.encode()).hexdigest())
     assert out["r1"].product_review_interval == 4 and out["r1"].reviews_per_product == 2
 
 
