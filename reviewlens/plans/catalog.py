@@ -59,9 +59,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q.run for k, q in REGISTRY.items()}
 
 
+# Tables used only to look up the oracle queries' output types (bind, no run).
+_TYPE_PROBE_DIR = "/root/testdata/sf0.001"
+_TYPE_PROBE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                      "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+_FLOATING = ("DOUBLE", "FLOAT", "REAL")
+_INTEGRAL = ("TINYINT", "SMALLINT", "INTEGER", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT")
+
+
+def _normalized(sql: str, con) -> str:
+    """Wrap an oracle query so its output types match the Spark side:
+    floating / decimal columns rounded to 6 places as double, integral
+    columns widened to bigint (the Spark side does the same in ``rounded``)."""
+    cols = con.execute(f"describe {sql}").fetchall()
+    exprs = []
+    for name, typ, *_ in cols:
+        q = '"' + name.replace('"', '""') + '"'
+        if typ in _FLOATING or typ.startswith("DECIMAL"):
+            exprs.append(f"round(cast({q} as double), 6) as {q}")
+        elif typ in _INTEGRAL:
+            exprs.append(f"cast({q} as bigint) as {q}")
+        else:
+            exprs.append(q)
+    return f"select {', '.join(exprs)}\nfrom (\n{sql}\n) as oracle_result"
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
-    return {k: q.oracle for k, q in REGISTRY.items() if q.oracle}
+    raw = {k: q.oracle for k, q in REGISTRY.items() if q.oracle}
+    try:
+        import os
+
+        import duckdb
+        con = duckdb.connect()
+        for t in _TYPE_PROBE_TABLES:
+            path = f"{_TYPE_PROBE_DIR}/{t}.parquet"
+            if os.path.exists(path):
+                con.execute(f"create view {t} as select * from read_parquet('{path}')")
+    except Exception:  # noqa: BLE001 - without DuckDB the raw SQL is returned
+        return raw
+    out = {}
+    for k, sql in raw.items():
+        try:
+            out[k] = _normalized(sql, con)
+        except Exception:  # noqa: BLE001
+            out[k] = sql
+    con.close()
+    return out
 
 
 def _load() -> None:
