@@ -1,7 +1,10 @@
 """Fixed values.
 
-These must equal the values the analysed notebooks use, or results change.
-They are stated here plainly and in their natural order.
+The first sections are values the analysed notebooks use (patterns, segment
+bounds and labels, bin edges, thresholds, model settings); results change if
+they differ. The sentiment sections are the published constants of the VADER
+method and this package's default modifier word lists. All are stated here
+plainly and in their natural order.
 """
 
 # ---- fixed values: analysis conventions ------------------------------------
@@ -50,7 +53,7 @@ POLARITY_NEGATION = -0.5
 # How many preceding tokens are searched for a negation word.
 NEGATION_WINDOW = 3
 
-# ---- fixed values: default modifier words ----------------------------------
+# ---- fixed values: default modifier words (this package's defaults) --------
 NEGATION_WORDS = [
     "not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere",
     "cannot", "without", "isnt", "dont", "doesnt", "didnt", "wasnt", "wont", "cant",

@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.functions.constants import FEATURE_COLUMNS
 from reviewlens.operators import eda
 from reviewlens.plans import models, scoring, studies, textml
 from reviewlens.plans import sqlforms as S
@@ -230,8 +229,6 @@ def m19_class_weighted_gbt_metrics(spark: SparkSession, sf_dir: str) -> DataFram
     return scoring.holdout_metrics(pred).select(F.lit("gbt_class_weighted").alias("model"), "*")
 
 
-__all__ = ["main_model", "CHECK_ROUNDS", "FEATURE_COLUMNS", "textml"]
-
 
 @register("n5_n6_n7_tfidf_vectors")
 def n5_n6_n7_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Property tests (hypothesis) on small frames."""
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from reviewlens.functions import bins
 from reviewlens.operators import eda, prep
