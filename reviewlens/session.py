@@ -43,7 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, creating a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is used as is. A local temporary folder is only taken when nothing is
+    and is used as is; without it a cluster run stops with an error. A local
+    temporary folder is only taken for ``local[...]`` masters with nothing
     configured, which is the case in tests and local runs.
     """
     sc = spark.sparkContext
@@ -54,6 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            # A driver-local folder is not visible to executors on other hosts.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) "
+                               "before running reviewlens on a cluster")
         configured = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
