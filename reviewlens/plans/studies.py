@@ -41,7 +41,9 @@ def build_features(df: DataFrame, lexicon: DataFrame, mode: str = "train",
     r = r.withColumn("combined_text", text.combine_text("reviewText", "summary"))
     if train:
         r = prep.drop_missing(r, ["reviewText", "label"])
-    r = r.withColumn("combined_text_length", text.text_length("combined_text"))
+    # The raw text columns are not used after this point; dropping them halves
+    # what the checkpoint writes and the sentiment join-back shuffles.
+    r = r.withColumn("combined_text_length", text.text_length("combined_text")).drop("reviewText", "summary")
     if checkpoint:
         r = r.checkpoint(eager=True)
     scored = sentiment.add_sentiment(r, lexicon, "reviewID", "combined_text", max_lexicon_broadcast_rows)
