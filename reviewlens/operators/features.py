@@ -63,40 +63,61 @@ def tie_order_key(tie: str) -> Column:
     return F.md5(F.col(tie).cast("string"))
 
 
-def _offsets(df: DataFrame, product: str, date: str, tie: str) -> DataFrame:
-    """(product, date, _b, _before): for each (product, day, bucket), the number
-    of rows of the same product that come before it - on later days, or on the
-    same day in a lower bucket. Windows run over aggregates only: per product
-    over its days, per (product, day) over at most 4096 buckets."""
+def _group_keys(df: DataFrame, product: str, date: str, tie: str, null_safe_product: bool) -> DataFrame:
+    """Add non-null grouping keys for (product, day, bucket).
+
+    Null-safe equality is expressed as (value-or-sentinel, is-null) pairs in
+    columns of their own, so the join back and the numbering window partition
+    on the *same* columns: the window then reuses the join's partitioning
+    instead of shuffling the detail rows a second time.
+    """
     bucket = F.substring(tie_order_key(tie), 1, _BUCKET_HEX)
-    per_bucket = df.groupBy(product, date, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_nb"))
-    earlier_bucket = Window.partitionBy(product, date).orderBy(F.asc_nulls_first("_b")).rowsBetween(
+    keys = {
+        "_kd": F.coalesce(F.col(date).cast("string"), F.lit("")),
+        "_nd": F.col(date).isNull(),
+        "_kb": F.coalesce(bucket, F.lit("")),
+        "_nb": bucket.isNull(),
+    }
+    if null_safe_product:
+        keys["_kp"] = F.coalesce(F.col(product).cast("string"), F.lit(""))
+        keys["_np"] = F.col(product).isNull()
+    else:
+        keys["_kp"] = F.col(product).cast("string")
+        keys["_np"] = F.lit(False)
+    return df.withColumns(keys)
+
+
+_KEYS = ["_kp", "_np", "_kd", "_nd", "_kb", "_nb"]
+_DAY = ["_kp", "_np", "_kd", "_nd"]
+_PRODUCT = ["_kp", "_np"]
+
+
+def _offsets(keyed: DataFrame, date: str) -> DataFrame:
+    """(keys..., _before): for each (product, day, bucket), the number of rows
+    of the same product that come before it - on later days, or on the same
+    day in a lower bucket. Windows run over aggregates only: per product over
+    its days, per (product, day) over at most 4096 buckets."""
+    per_bucket = keyed.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"), F.first(date).alias("_date"))
+    # nulls first: a null bucket (null id) sorts before every other bucket
+    earlier_bucket = Window.partitionBy(*_DAY).orderBy(F.desc("_nb"), F.asc("_kb")).rowsBetween(
         Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_before_b", F.coalesce(F.sum("_nb").over(earlier_bucket), F.lit(0)))
-    per_day = per_bucket.groupBy(product, date).agg(F.sum("_nb").alias("_nd"))
-    later_day = Window.partitionBy(product).orderBy(F.desc_nulls_last(date)).rowsBetween(
+    per_bucket = per_bucket.withColumn("_before_b", F.coalesce(F.sum("_n").over(earlier_bucket), F.lit(0)))
+    per_day = per_bucket.groupBy(*_DAY).agg(F.sum("_n").alias("_nd_rows"), F.first("_date").alias("_date"))
+    later_day = Window.partitionBy(*_PRODUCT).orderBy(F.desc_nulls_last("_date")).rowsBetween(
         Window.unboundedPreceding, -1)
-    per_day = per_day.withColumn("_before_d", F.coalesce(F.sum("_nd").over(later_day), F.lit(0)))
-    d = per_day.select(F.col(product).alias("_dp"), F.col(date).alias("_dd"), "_before_d")
-    cond = per_bucket[product].eqNullSafe(d["_dp"]) & per_bucket[date].eqNullSafe(d["_dd"])
-    joined = per_bucket.join(d, cond, "inner")
-    return joined.select(product, date, "_b", (F.col("_before_d") + F.col("_before_b")).alias("_before"))
-
-
-def _number_rows(df: DataFrame, offsets: DataFrame, product: str, date: str, tie: str, out: str,
-                 null_safe_product: bool) -> DataFrame:
-    """Join the offsets back on (product, day, bucket) - the one shuffle of the
-    detail rows - and number rows inside their bucket."""
-    side = offsets.select(F.col(product).alias("_p"), F.col(date).alias("_d"), F.col("_b").alias("_ob"),
-                          *[c for c in offsets.columns if c not in (product, date, "_b")])
-    rows = df.withColumn("_b", F.substring(tie_order_key(tie), 1, _BUCKET_HEX))
-    same_product = rows[product].eqNullSafe(side["_p"]) if null_safe_product else rows[product] == side["_p"]
-    cond = same_product & rows[date].eqNullSafe(side["_d"]) & rows["_b"].eqNullSafe(side["_ob"])
-    joined = rows.join(side, cond, "inner").drop("_p", "_d", "_ob")
-    in_bucket = Window.partitionBy(product, date, "_b").orderBy(
-        F.asc_nulls_first(tie_order_key(tie)), F.asc_nulls_first(tie))
+    per_day = per_day.withColumn("_before_d", F.coalesce(F.sum("_nd_rows").over(later_day), F.lit(0)))
+    joined = per_bucket.join(per_day.select(*_DAY, "_before_d"), on=_DAY, how="inner")
+    return joined.select(*_KEYS, (F.col("_before_d") + F.col("_before_b")).alias("_before"))
+
+
+def _number_rows(keyed: DataFrame, offsets: DataFrame, tie: str, out: str) -> DataFrame:
+    """Join the offsets back on the (product, day, bucket) keys - the one
+    shuffle of the detail rows - and number rows inside their bucket with a
+    window partitioned on the same key columns (no further shuffle)."""
+    joined = keyed.join(offsets, on=_KEYS, how="inner")
+    in_bucket = Window.partitionBy(*_KEYS).orderBy(F.asc_nulls_first(tie_order_key(tie)), F.asc_nulls_first(tie))
     return joined.withColumn(out, (F.row_number().over(in_bucket) + F.col("_before")).cast("int")) \
-        .drop("_before", "_b")
+        .drop("_before", *_KEYS)
 
 
 def recency_order(df: DataFrame, product: str = "productId", date: str = "reviewTime",
@@ -109,7 +130,8 @@ def recency_order(df: DataFrame, product: str = "productId", date: str = "review
     buckets of the same day + rank inside the bucket. No task ever holds a
     whole product or a whole (product, day).
     """
-    return _number_rows(df, _offsets(df, product, date, tie), product, date, tie, out, True)
+    keyed = _group_keys(df, product, date, tie, null_safe_product=True)
+    return _number_rows(keyed, _offsets(keyed, date), tie, out)
 
 
 def product_features(df: DataFrame, product: str = "productId", date: str = "reviewTime",
@@ -119,5 +141,9 @@ def product_features(df: DataFrame, product: str = "productId", date: str = "rev
     and the recency order. The statistics ride on the (product, day, bucket)
     offsets table, so the detail rows are shuffled once for both."""
     stats = product_statistics(df, product, date, review_id, reviewer, deduplicated)
-    offsets = _offsets(df, product, date, review_id).join(stats, on=product, how="inner")
-    return _number_rows(df, offsets, product, date, review_id, "reviewOrder", False)
+    # inner semantics: rows (and statistics) of a null product vanish
+    keyed = _group_keys(df.where(F.col(product).isNotNull()), product, date, review_id, null_safe_product=False)
+    stats = stats.where(F.col(product).isNotNull()).select(
+        F.col(product).cast("string").alias("_kp"), *[c for c in stats.columns if c != product])
+    offsets = _offsets(keyed, date).join(stats, on="_kp", how="inner")
+    return _number_rows(keyed, offsets, review_id, "reviewOrder")
