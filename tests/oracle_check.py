@@ -85,8 +85,13 @@ def main() -> int:
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
             bad += 1
             continue
-        stypes = {f.name: type(v).__name__ for f, v in zip(sdf.schema.fields, srows[0])} if srows else {}
-        dtypes = {c: type(v).__name__ for c, v in zip(dcols, drows[0])} if drows else {}
+        def kinds(rows, cols):
+            out = {}
+            for i, c in enumerate(cols):
+                vals = [r[i] for r in rows if r[i] is not None]
+                out[c] = type(vals[0]).__name__ if vals else "null"
+            return out
+        stypes, dtypes = kinds(srows, scols), kinds(drows, dcols)
         ok = sorted(scols) == sorted(dcols) and canon(srows, scols) == canon(drows, dcols)
         if ok and stypes != dtypes:
             print(f"     {name}: python value types differ: spark {stypes} duckdb {dtypes}")
