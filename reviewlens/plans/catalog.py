@@ -8,6 +8,8 @@ Doubles are rounded to 6 places on both sides before comparison.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -67,13 +69,12 @@ _FLOATING = ("DOUBLE", "FLOAT", "REAL")
 _INTEGRAL = ("TINYINT", "SMALLINT", "INTEGER", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT")
 
 
-def _normalized(sql: str, con) -> str:
-    """Wrap an oracle query so its output types match the Spark side:
-    floating / decimal columns rounded to 6 places as double, integral
-    columns widened to bigint (the Spark side does the same in ``rounded``)."""
-    cols = con.execute(f"describe {sql}").fetchall()
+def _wrap(sql: str, cols: list[tuple[str, str]]) -> str:
+    """Outer select making the oracle's output types match the Spark side:
+    floating / decimal columns rounded to 6 places as double, integral columns
+    widened to bigint (the Spark side does the same in ``rounded``)."""
     exprs = []
-    for name, typ, *_ in cols:
+    for name, typ in cols:
         q = '"' + name.replace('"', '""') + '"'
         if typ in _FLOATING or typ.startswith("DECIMAL"):
             exprs.append(f"round(cast({q} as double), 6) as {q}")
@@ -84,30 +85,45 @@ def _normalized(sql: str, con) -> str:
     return f"select {', '.join(exprs)}\nfrom (\n{sql}\n) as oracle_result"
 
 
-def oracle_sql() -> dict[str, str]:
+_TYPES_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "oracle_types.json")
+
+
+def oracle_output_types(probe_dir: str = _TYPE_PROBE_DIR) -> dict[str, list[tuple[str, str]]]:
+    """Output (column, DuckDB type) of every oracle query, from ``DESCRIBE``
+    (binding only, nothing is run) against the tables in ``probe_dir``."""
+    import duckdb
     _load()
-    raw = {k: q.oracle for k, q in REGISTRY.items() if q.oracle}
-    try:
-        import os
-
-        import duckdb
-        con = duckdb.connect()
-        for t in _TYPE_PROBE_TABLES:
-            path = f"{_TYPE_PROBE_DIR}/{t}.parquet"
-            if os.path.exists(path):
-                con.execute(f"create view {t} as select * from read_parquet('{path}')")
-    except Exception:  # noqa: BLE001 - without DuckDB the raw SQL is returned
-        return raw
+    con = duckdb.connect()
+    for t in _TYPE_PROBE_TABLES:
+        path = f"{probe_dir}/{t}.parquet"
+        if os.path.exists(path):
+            con.execute(f"create view {t} as select * from read_parquet('{path}')")
     out = {}
-    for k, sql in raw.items():
-        try:
-            out[k] = _normalized(sql, con)
-        except Exception:  # noqa: BLE001
-            out[k] = sql
+    for k, q in REGISTRY.items():
+        if q.oracle:
+            out[k] = [(r[0], r[1]) for r in con.execute(f"describe {q.oracle}").fetchall()]
     con.close()
     return out
 
 
+def _stored_types() -> dict[str, list[tuple[str, str]]]:
+    try:
+        with open(_TYPES_FILE) as f:
+            return {k: [tuple(c) for c in v] for k, v in json.load(f).items()}
+    except (OSError, ValueError):
+        return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    raw = {k: q.oracle for k, q in REGISTRY.items() if q.oracle}
+    try:
+        types = oracle_output_types()
+    except Exception:  # noqa: BLE001 - no DuckDB or no probe tables: use the stored types
+        types = _stored_types()
+    return {k: (_wrap(sql, types[k]) if k in types else sql) for k, sql in raw.items()}
+
+
 def _load() -> None:
     # Import the modules that register queries (idempotent).
     from reviewlens.plans import queries_eda, queries_prep, queries_text, queries_tokens, queries_ml  # noqa: F401

@@ -58,3 +58,8 @@ def test_ml_invariants(spark):
     vec = qs["n3_n9_n7_feature_vectors"](spark, SF_SMALL).collect()
     assert all(r.w2v_size == 100 and r.n_features == 112 for r in vec)
     assert all(0.0 <= r.min_scaled <= r.max_scaled <= 1.0 for r in vec)
+
+
+def test_stored_oracle_types_are_current():
+    from reviewlens.plans import catalog
+    assert catalog._stored_types() == catalog.oracle_output_types()
