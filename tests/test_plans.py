@@ -16,14 +16,6 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
-def test_no_python_workers_in_sql_queries(spark):
-    import __spark_entry__ as E
-    qs = E.queries()
-    for name in E.oracle_sql():
-        plan = qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert "EvalPython" not in plan and "PythonUDF" not in plan, name
-
-
 def test_flagship_scan_is_pruned(spark):
     import __spark_entry__ as E
     plan = _plan(E.queries()["e5_helpful_rate_by_length"](spark, SF_SMALL))

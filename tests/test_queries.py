@@ -38,6 +38,9 @@ def test_oracle_matches(spark, name):
     import __spark_entry__ as E
     sdf = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
+    # the plan stays on the JVM: no Python worker nodes
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "PythonUDF" not in plan
     con = OC.duck(SF_SMALL)
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
