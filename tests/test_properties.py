@@ -43,3 +43,31 @@ def test_dedup_idempotent_and_order_independent(spark, rows):
     assert ra == rb
     assert sorted(prep.dedup_latest(a, ["reviewerID", "asin"]).collect()) == ra
     assert a.select("reviewerID", "asin").distinct().count() == a.count()
+
+
+words = st.sampled_from(["good", "bad", "fine", "not", "very", "zzz", "no", "barely"])
+
+
+@FAST
+@given(st.lists(st.lists(words, max_size=12), min_size=1, max_size=12), st.integers(min_value=1, max_value=5))
+def test_sentiment_independent_of_partitioning(spark, docs, parts):
+    from reviewlens.operators import sentiment
+    lex = spark.createDataFrame([("good", 2.0, 0.7, 0.6), ("bad", -2.0, -0.7, 0.7), ("fine", 1.1, 0.3, 0.1)],
+                                "token string, valence double, polarity double, subjectivity double")
+    rows = [(f"d{i}", " ".join(w), i % 2) for i, w in enumerate(docs)]
+    df = spark.createDataFrame(rows, "reviewID string, reviewTot string, label int")
+    a = sorted(sentiment.score_sentiment(df, lex, carry=["label"]).collect())
+    b = sorted(sentiment.score_sentiment(df.repartition(parts), lex, carry=["label"]).collect())
+    assert a == b and len(a) == len(rows)
+
+
+@FAST
+@given(st.lists(st.sampled_from(["a", "b", "c", None]), min_size=1, max_size=40))
+def test_count_join_back_matches_window_count(spark, ks):
+    from pyspark.sql import Window, functions as F
+    from reviewlens.operators import features
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(ks)], "i int, k string")
+    got = {r.i: r.n for r in features.add_group_count(df, "k", "n").collect()}
+    want = {r.i: (r.w if r.k is not None else None)
+            for r in df.withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("k"))).collect()}
+    assert got == want
