@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions import bins
-from reviewlens.operators import eda, metrics, prep, sentiment
+from reviewlens.operators import eda, metrics, sentiment
+from reviewlens.plans import studies
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
 from reviewlens.sources import reviews_from_documents, spread
@@ -20,9 +21,8 @@ def documents_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentiment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentiment-study rows: prep -> scores -> rule prediction -> bins."""
-    rows = prep.prepare_reviews(reviews_from_documents(spark, sf_dir)).select("reviewID", "label", "reviewTot")
-    scored = sentiment.score_sentiment(rows, documents_lexicon(spark, sf_dir), carry=["label"])
+    """Sentiment-study rows: scores -> dedup -> null drop -> rule prediction -> bins."""
+    scored = studies.sentiment_study(reviews_from_documents(spark, sf_dir), documents_lexicon(spark, sf_dir))
     return scored.withColumns({
         "Predicted_Label": bins.extremity_prediction("compound_score"),
         "Bin": bins.compound_bin("compound_score"),

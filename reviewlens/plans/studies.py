@@ -55,10 +55,26 @@ def length_feature_rows(df: DataFrame) -> DataFrame:
     return prep.length_study(df).select("reviewID", "label", "reviewTot_length")
 
 
+def sentiment_study(df: DataFrame, lexicon: DataFrame, **context_kw) -> DataFrame:
+    """Sentiment-study rows (SA): (reviewID, label, scores, reviewTime, year,
+    month, day_of_week, age, reviewerID, asin) after dedup and null drop.
+
+    Scores are a per-row function of the text, so they are computed *before*
+    the dedup: tokens are exploded and partially aggregated in the task that
+    read the review, and only narrow rows (id, keys, three scores) reach the
+    aggregate and dedup shuffles - the review text is never shuffled. The dedup
+    then keeps the same survivor as when scoring after it.
+    """
+    derived = prep.review_text_columns(df)
+    keys = ["reviewerID", "asin", "unixReviewTime", "label", "_has_text"]
+    scored = sentiment.score_sentiment(derived, lexicon, carry=keys, **context_kw)
+    return prep.dedup_then_require(scored)
+
+
 def sentiment_feature_rows(df: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sentiment-study rows for the one-feature models (SA)."""
-    rows = prep.prepare_reviews(df).select("reviewID", "label", "reviewTot")
-    return sentiment.score_sentiment(rows, lexicon, carry=["label"])
+    return sentiment_study(df, lexicon).select("reviewID", "label", "compound_score", "polarity_score",
+                                               "sentiment_score")
 
 
 def numeric_label(df: DataFrame, label: str = "label") -> DataFrame:
