@@ -1,19 +1,22 @@
 """The model notebook's feature build as one function with a train / score mode.
 
-Order of operations is kept because it changes results:
+Order of operations is kept where it changes results:
 
 1. ``verified`` to int; reviewer and product counts joined back (J1, J2) on the
    table *before* the dedup.
 2. train only: dedup on (reviewer, product) (P10).
 3. dates (D1-D4); product statistics and recency order (J3 + W1) *after* the
    dedup but *before* the null drop.
-4. combined text (lower case); train only: drop rows without text or label.
+4. train only: drop rows without text or label.
 5. polarity / subjectivity on the lower-cased text with punctuation (Z2, Z3),
-   length before cleaning (T6), then the regex cleaning (T3-T5).
-
-The rows are checkpointed (reliable checkpoint in ``spark.checkpoint.dir``)
-before the sentiment join-back, so the upstream joins and windows are computed
-once and the lineage that the model fits iterate over is cut.
+   length before cleaning (T6), and the regex-cleaned text (T3-T5).
+
+Step 5 is per row, so it is computed first: the sentiment scores and lengths
+are aggregated from the exploded tokens with the narrow columns carried along,
+and that narrow table is checkpointed (reliable, in ``spark.checkpoint.dir``).
+Steps 1-4 then run on narrow rows only, and the cleaned text is attached once
+at the end by one join on ``reviewID``: the review text is shuffled once, not
+through every dedup / window / join, and is never written to the checkpoint.
 """
 
 from __future__ import annotations
@@ -23,31 +26,36 @@ from pyspark.sql import DataFrame, functions as F
 from reviewlens.functions import text
 from reviewlens.operators import features, prep, sentiment
 
+_TEXT_COLUMNS = ("reviewText", "summary")
+
 
 def build_features(df: DataFrame, lexicon: DataFrame, mode: str = "train",
                    checkpoint: bool = True, max_lexicon_broadcast_rows: int | None = None) -> DataFrame:
-    """Model features of a review table (``mode`` is "train" or "score")."""
+    """Model features of a review table (``mode`` is "train" or "score");
+    ``reviewID`` must be unique."""
     if mode not in ("train", "score"):
         raise ValueError("mode must be 'train' or 'score'")
     train = mode == "train"
-    r = prep.cast_verified(df)
-    r = features.add_group_count(r, "reviewerID", "review_count")
+    combined = text.combine_text("reviewText", "summary")
+    base = prep.cast_verified(df).withColumns({"combined_text": combined,
+                                               "_has_text": F.col("reviewText").isNotNull()})
+    base = base.withColumn("combined_text_length", text.text_length("combined_text"))
+    carry = [c for c in base.columns if c not in (*_TEXT_COLUMNS, "combined_text", "reviewID")]
+    narrow = sentiment.score_sentiment(base, lexicon, "reviewID", "combined_text", carry=carry,
+                                       max_broadcast_rows=max_lexicon_broadcast_rows)
+    if checkpoint:
+        narrow = narrow.checkpoint(eager=True)
+    r = features.add_group_count(narrow, "reviewerID", "review_count")
     r = r.withColumnRenamed("asin", "productId")
     r = features.add_group_count(r, "productId", "productId_count")
     if train:
         r = prep.dedup_latest(r, ["reviewerID", "productId"])
     r = prep.add_review_dates(r)
     r = features.product_features(r, deduplicated=train)
-    r = r.withColumn("combined_text", text.combine_text("reviewText", "summary"))
     if train:
-        r = prep.drop_missing(r, ["reviewText", "label"])
-    # The raw text columns are not used after this point; dropping them halves
-    # what the checkpoint writes and the sentiment join-back shuffles.
-    r = r.withColumn("combined_text_length", text.text_length("combined_text")).drop("reviewText", "summary")
-    if checkpoint:
-        r = r.checkpoint(eager=True)
-    scored = sentiment.add_sentiment(r, lexicon, "reviewID", "combined_text", max_lexicon_broadcast_rows)
-    return scored.withColumn("combined_text", text.clean_text("combined_text"))
+        r = r.where(F.col("_has_text") & F.col("label").isNotNull())
+    texts = df.select("reviewID", text.clean_text(combined).alias("combined_text"))
+    return r.drop("_has_text").join(texts, on="reviewID", how="inner")
 
 
 def length_feature_rows(df: DataFrame) -> DataFrame:
