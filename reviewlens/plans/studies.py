@@ -41,6 +41,10 @@ def build_features(df: DataFrame, lexicon: DataFrame, mode: str = "train",
                                                "_has_text": F.col("reviewText").isNotNull()})
     base = base.withColumn("combined_text_length", text.text_length("combined_text"))
     carry = [c for c in base.columns if c not in (*_TEXT_COLUMNS, "combined_text", "reviewID")]
+    if train:
+        # rows the null drop will remove skip the token work (scores unused)
+        kept = F.col("_has_text") & F.col("label").isNotNull()
+        base = base.withColumn("combined_text", F.when(kept, F.col("combined_text")))
     narrow = sentiment.score_sentiment(base, lexicon, "reviewID", "combined_text", carry=carry,
                                        max_broadcast_rows=max_lexicon_broadcast_rows)
     if checkpoint:
@@ -74,6 +78,10 @@ def sentiment_study(df: DataFrame, lexicon: DataFrame, **context_kw) -> DataFram
     then keeps the same survivor as when scoring after it.
     """
     derived = prep.review_text_columns(df)
+    # Rows the null drop will remove keep their place in the dedup but skip the
+    # token work (their scores are never used).
+    kept = F.col("_has_text") & F.col("label").isNotNull()
+    derived = derived.withColumn("reviewTot", F.when(kept, F.col("reviewTot")))
     keys = ["reviewerID", "asin", "unixReviewTime", "label", "_has_text"]
     scored = sentiment.score_sentiment(derived, lexicon, carry=keys, **context_kw)
     return prep.dedup_then_require(scored)
