@@ -97,8 +97,10 @@ def review_text_columns(df: DataFrame) -> DataFrame:
 
 
 def prepare_reviews(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin")) -> DataFrame:
-    """Shared prep of the length and sentiment studies: dedup on (reviewer,
-    product) -> dates -> drop rows without text or label -> ``reviewTot``."""
+    """Study prep: dedup on (reviewer, product) -> dates -> drop rows without
+    text or label -> ``reviewTot``. To score sentiment, prefer
+    ``reviewlens.plans.studies.sentiment_study``, which scores before the dedup
+    so the text never enters a shuffle."""
     return dedup_then_require(review_text_columns(df), dedup_keys)
 
 
