@@ -116,13 +116,18 @@ def prediction_counts(pred: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count")).orderBy("prediction")
 
 
+def binary_metrics_from_scores(scored: DataFrame, score: str, label: str = "label") -> dict[str, float]:
+    """M11 + M14 from a score column (exact, evaluated on per-score counts)."""
+    from reviewlens.operators.metrics import area_under_pr, area_under_roc
+    return {"areaUnderROC": area_under_roc(scored, score, label),
+            "areaUnderPR": area_under_pr(scored, score, label)}
+
+
 def binary_metrics(pred: DataFrame, label: str = "label") -> dict[str, float]:
     """M11 + M14 on model output, scored by P(label = 1) (monotone in the
-    model's raw margin), exact and evaluated on per-score counts."""
-    from reviewlens.operators.metrics import area_under_pr, area_under_roc
+    model's raw margin)."""
     scored = pred.select(vector_element("probability", 1, "double").alias("_p1"), F.col(label))
-    return {"areaUnderROC": area_under_roc(scored, "_p1", label),
-            "areaUnderPR": area_under_pr(scored, "_p1", label)}
+    return binary_metrics_from_scores(scored, "_p1", label)
 
 
 def feature_names(df: DataFrame, vector_col: str) -> list[str]:
