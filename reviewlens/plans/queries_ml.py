@@ -40,13 +40,21 @@ def main_model(spark: SparkSession, sf_dir: str) -> scoring.MainModel:
     return _CACHE[k]
 
 
+def _study_rows(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    """Checkpointed length- or sentiment-study rows, built once per session."""
+    k = _key(spark, sf_dir, family)
+    if k not in _CACHE:
+        reviews = reviews_from_documents(spark, sf_dir)
+        if family == "length":
+            rows = studies.length_feature_rows(reviews)
+        else:
+            rows = studies.sentiment_feature_rows(reviews, documents_lexicon(spark, sf_dir))
+        _CACHE[k] = studies.numeric_label(rows).checkpoint(eager=True)
+    return _CACHE[k]
+
+
 def _one_feature(spark: SparkSession, sf_dir: str, feature: str) -> DataFrame:
-    reviews = reviews_from_documents(spark, sf_dir)
-    if feature == "reviewTot_length":
-        rows = studies.length_feature_rows(reviews)
-    else:
-        rows = studies.sentiment_feature_rows(reviews, documents_lexicon(spark, sf_dir))
-    rows = studies.numeric_label(rows).checkpoint(eager=True)
+    rows = _study_rows(spark, sf_dir, "length" if feature == "reviewTot_length" else "sentiment")
     train, test = models.random_split(rows)
     model = models.one_feature_logistic(feature).fit(train)
     return model.transform(test)
