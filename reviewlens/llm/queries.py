@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm import bpe, simhash, token_blocks
-from reviewlens.llm.common import prepare, shared_folder, stored, table
+from reviewlens.llm import (
+    bpe, cross_polytope, html_extract, mixing, paragraph_sketch, rule_ensemble, sharding, simhash, token_blocks, toxicity,
+)
+from reviewlens.llm.common import id_fold, prepare, shared_folder, stored, table
 
 END_ID = 2
+SHARDS = 40
+QUALITY_FOLDS, QUALITY_HELD_OUT, QUALITY_THRESHOLD = 4, 2, 0.7
+TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_THRESHOLD = 5, 0, 0.5
+# Target weights of the mixture: the largest crawl source is held to the weight
+# of the others, two sources are wanted more often.
+MIX_WEIGHTS = {"src1": 2.0, "src2": 1.5}
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written in patched frame-of-reference files and read back."""
     prepare(spark)
     folder = shared_folder(spark, "token-files")
     manifest = stored(spark, token_blocks.write_token_files(
@@ -19,21 +28,75 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.with_starts(token_blocks.read_token_files(spark, folder), manifest)
 
 
+def op2_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", TOXIC_FOLDS, TOXIC_HELD_OUT)
+    return toxicity.scores(docs, model).select(
+        "doc_id", (id_fold(F.col("doc_id"), TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
+    prepare(spark)
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op4_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and its edited text, with their likeness."""
+    prepare(spark)
+    return paragraph_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated to the target weights of their sources and shuffled."""
+    prepare(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_FOLDS, QUALITY_HELD_OUT)
+    return rule_ensemble.scored(docs, model, QUALITY_THRESHOLD).select(
+        "doc_id", (id_fold(F.col("doc_id"), QUALITY_FOLDS) == QUALITY_HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op7_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shuffled shards of equal row counts."""
+    prepare(spark)
+    placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    prepare(spark)
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids of every document, as digests, and back."""
     prepare(spark)
     return bpe.encode_documents(table(spark, sf_dir, "documents"),
                                 public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
     prepare(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, max_bits=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {
-    "op1_token_blocks": op1_token_blocks,
-    "op9_rank_queue_bpe": op9_rank_queue_bpe,
-    "op10_simhash_trees": op10_simhash_trees,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_token_blocks, op2_toxic_lexicon, op3_cross_polytope, op4_paragraph_sketch, op5_poisson_mix, op6_quality_rules,
+    op7_two_pass_shards, op8_tree_scoring, op9_rank_queue_bpe, op10_simhash_trees)}
+
 ORACLE_SQL: dict[str, str] = {}
