@@ -1,20 +1,47 @@
-"""Corpus pipeline: stages over ``documents``, each an operator of ``reviewlens.llm``."""
+"""Corpus pipeline: stages over ``documents``, each calling an operator of ``reviewlens.llm``.
+
+Every stage takes what its predecessor kept, with the columns of ``documents``;
+only the last returns tokens instead. Stages keep all rows they do not reject.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import bpe, simhash
+from reviewlens.llm import bpe, mixing, rule_ensemble, simhash, toxicity
 from reviewlens.llm.common import prepare, stored, table
+from reviewlens.llm.queries import (
+    MIX_WEIGHTS, QUALITY_FOLDS, QUALITY_HELD_OUT, QUALITY_THRESHOLD, TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_THRESHOLD,
+)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble accepts."""
+    prepare(spark)
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_FOLDS, QUALITY_HELD_OUT)
+    return rule_ensemble.accepted(docs, model, QUALITY_THRESHOLD)
+
+
+def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    prepare(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", TOXIC_FOLDS, TOXIC_HELD_OUT)
+    return toxicity.clean(docs, model, TOXIC_THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the smallest id."""
+    """One document of each SimHash component: the smallest id."""
     prepare(spark)
     return simhash.keep_one(docs, size=4, max_bits=4)
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents replicated to the sources' target weights, in shuffled order."""
+    prepare(spark)
+    return mixing.mix(docs, MIX_WEIGHTS).select(docs.columns)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number and digests per document."""
     prepare(spark)
@@ -22,15 +49,16 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                                 public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES = [("near_dedup", near_dedup), ("tokenize", tokenize)]
+STAGES = [("quality", quality), ("non_toxic", non_toxic), ("near_dedup", near_dedup), ("source_mix", source_mix),
+          ("tokenize", tokenize)]
 
-# Byte-pair merges and component labels are loops that SQL does not express; the
-# stages are tested against brute-force versions instead.
+# Classifier fits, component labels and byte-pair merges are loops that SQL does
+# not express; the stages are tested against brute-force versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is written and read again."""
+    """All stages over the documents table; each result is written as Parquet and read again."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

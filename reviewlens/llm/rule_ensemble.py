@@ -16,6 +16,7 @@ other. Training rows of one class, or none: every score is the share of label 1
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -125,7 +126,6 @@ class RuleModel:
 
 
 def constant(share: float) -> RuleModel:
-    import math
     share = min(max(share, 1e-6), 1 - 1e-6)
     return RuleModel(math.log(share / (1 - share)), ())
 
@@ -161,3 +161,9 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFra
     rows, names = with_statistics(docs)
     return (rows.withColumn("score", model.score())
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*names))
+
+
+def accepted(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` that reach the threshold, with their columns as they were."""
+    rows, names = with_statistics(docs)
+    return rows.filter(model.score() >= threshold).select(docs.columns)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -97,6 +97,10 @@ class ToxicModel:
         machine.make_automaton()
         return machine
 
+    def score(self, text: str, machine) -> float:
+        x = self.bias + self.slope * density(fold(text), machine)
+        return 1.0 / (1.0 + math.exp(-min(max(x, -50.0), 50.0)))
+
 
 def density(words: list[str], machine) -> float:
     """log1p of the weight matched per 100 words; a word counts by its heaviest entry."""
@@ -115,19 +119,17 @@ def density(words: list[str], machine) -> float:
 
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """``doc_id``, ``density``, ``score`` for every row; one narrow pass over the texts."""
+    """``doc_id``, ``score`` for every row; one narrow pass over the texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES + MAX_EXCEPTIONS short strings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value.automaton()
         for batch in batches:
-            x = np.array([density(fold(t.as_py() or ""), machine) for t in batch.column(1)], float)
-            y = 1.0 / (1.0 + np.exp(-np.clip(sent.value.bias + sent.value.slope * x, -50, 50)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(y)],
-                                             names=["doc_id", "density", "score"])
+            score = [sent.value.score(t.as_py() or "", machine) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, density double, score double"))
+            .mapInArrow(run, "doc_id long, score double"))
 
 
 def _found(sample: DataFrame, make) -> DataFrame:
@@ -171,9 +173,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     weights = {row.entry: row.weight for row in lexicon.collect()}
     excused = (_found(sample, phrases_of(weights)).filter((F.col("neg") >= 2) & (F.col("neg") > F.col("pos")))
                .orderBy(F.desc("neg"), "entry").limit(MAX_EXCEPTIONS).select("entry"))
-    model = ToxicModel(weights, tuple(r.entry for r in excused.collect()), 1.0, 0.0)
-    curve_rows = stored(spark, scores(sample.select(F.col("y").cast("long").alias("doc_id"), "text"), model)
-                        .select(F.col("doc_id").cast("double").alias("y"), array_to_vector(F.array("density")).alias("x")),
-                        "toxic-curve")
-    curve = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-4, maxIter=100).fit(curve_rows)
+    model = ToxicModel(weights, tuple(r.entry for r in excused.collect()), 0.0, 0.0)
+    curve = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-4, maxIter=100).fit(densities(sample, model))
     return ToxicModel(weights, model.exceptions, float(curve.coefficients[0]), float(curve.intercept))
+
+
+def densities(sample: DataFrame, model: ToxicModel) -> DataFrame:
+    """``y, x`` for fitting the curve: the label and the density of each training text."""
+
+    def run(batches):
+        machine = model.automaton()
+        for batch in batches:
+            x = [density(fold(t.as_py()), machine) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], names=["y", "d"])
+
+    rows = sample.select("text", F.col("y").cast("double")).mapInArrow(run, "y double, d double")
+    return stored(sample.sparkSession, rows, "toxic-curve").select("y", array_to_vector(F.array("d")).alias("x"))
+
+
+def clean(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, with their columns as they were; texts are not shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def below(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = sent.value.automaton()
+        for texts in batches:
+            yield pd.Series([sent.value.score(text or "", machine) < threshold for text in texts], dtype=bool)
+
+    return docs.filter(below(F.col("text").cast("string")))
