@@ -82,6 +82,11 @@ def blocks(trees: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def _both(searched: Column, sides: Column) -> Column:
+    """Shards one level down: each searched node's inner (0) or outer (1) side, or both."""
+    return F.flatten(F.transform(searched, lambda s: F.transform(sides, lambda side: s * 2 + side)))
+
+
 def shard_of(fp: Column, shift: int, bits: int, levels: int, radius: int, seed: int) -> tuple[Column, Column]:
     """(home shard, all shards to search) in the tree of one block, level by level.
 
@@ -89,18 +94,18 @@ def shard_of(fp: Column, shift: int, bits: int, levels: int, radius: int, seed:
     median distance of random blocks.
     """
     draw = random.Random(f"{seed}-{shift}")
-    mask = (1 << bits) - 1
-    own = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(mask))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x  # noqa: E731  as a Spark long
+    own = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(signed((1 << bits) - 1)))
     home, searched = F.lit(0), F.array(F.lit(0))
     boundary = bits // 2
     for _ in range(levels):
-        d = F.bit_count(own.bitwiseXOR(F.lit(draw.getrandbits(bits))))
+        d = F.bit_count(own.bitwiseXOR(F.lit(signed(draw.getrandbits(bits)))))
         home = home * 2 + (d > boundary).cast("int")
         inner, outer = d - radius <= boundary, d + radius > boundary
         if radius:
             sides = F.when(inner & outer, F.array(F.lit(0), F.lit(1))).when(outer, F.array(F.lit(1))).otherwise(
                 F.array(F.lit(0)))
-            searched = F.flatten(F.transform(searched, lambda s, sides=sides: F.transform(sides, lambda x: s * 2 + x)))
+            searched = _both(searched, sides)
         else:
             searched = F.array(home)
     return home, searched
@@ -110,6 +115,7 @@ def reachable(fps: np.ndarray, max_bits: int) -> np.ndarray:
     """For sorted distinct fingerprints, the position of the smallest one that each
     reaches within this shard. A search front takes what it finds out of the
     candidates, so a tight group of n costs about n comparisons, not n * n."""
+    fps = fps.view(np.uint64)  # counting bits of a signed number counts those of its absolute value
     root = np.arange(len(fps))
     left = np.arange(len(fps))
     while len(left):

@@ -241,6 +241,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
     task holds one file's ids at most. A file appears under its name only when
     complete, and a repeated task attempt writes the same bytes again.
     """
+    made, place = pafs.FileSystem.from_uri(folder)
+    made.create_dir(place, recursive=True)  # also there if no row comes
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -264,7 +266,6 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
             number, held = number + 1, 0
             return row
 
-        fs.create_dir(path, recursive=True)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = tokenizer.encode(text.as_py() or "") + end
