@@ -52,8 +52,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, bucket_byt
     ``before`` has one row for each bucket of ``bucket_bytes``, so its running sum in one task stays small.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    rows, before, total = bucketed(docs, seed, bucket_bytes)
+    schema_in = docs.schema
+    record = docs.select("doc_id", "text", F.struct(*docs.columns).alias("record"))
+    rows, before, total = bucketed(record, seed, bucket_bytes)
     before = stored(spark, before, "bucket-places")
     schema = T.StructType(rows.schema.fields + [T.StructField("place", T.LongType())])
 
@@ -72,6 +73,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, bucket_byt
     first = F.expr(f"cast(shard as bigint) * {total} div {shards}")
     out = placed.withColumn("shard", shard).withColumn("slot", F.col("place") - first)
     folder = shared_folder(spark, "shards")
-    out.select(*names, "slot", "shard").write.partitionBy("shard").parquet(folder)
-    kinds = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
-    return spark.read.schema(kinds).parquet(folder)
+    out.select("record", "slot", "shard").write.partitionBy("shard").parquet(folder)
+    kinds = T.StructType([T.StructField("record", schema_in), T.StructField("slot", T.LongType()),
+                          T.StructField("shard", T.IntegerType())])
+    found = spark.read.schema(kinds).parquet(folder)
+    own = [F.col(f"record.`{name}`").alias(name) for name in schema_in.names if name not in ("shard", "slot")]
+    return found.select(*own, "shard", "slot")

@@ -129,7 +129,7 @@ def test_density_counts_heaviest_entry_once_and_honours_exceptions():
 def toxic_corpus(spark, make):
     docs = [(i, f"calm words {i} about the garden and w{i % 9}") for i in range(200)]
     docs += [(i, f"calm words {i} you {'m0r0n' if i % 2 else 'moron'} in the garden") for i in range(200, 260)]
-    docs += [(i, f"calm words {i} moron prize of the garden") for i in range(260, 300)]
+    docs += [(i, f"calm words {i} moron prize of the garden") for i in range(260, 268)]
     labels = labels_of(spark, [(i, 1, int(200 <= i < 260)) for i, _ in docs])
     return make(docs + ODD), labels
 
@@ -140,11 +140,11 @@ def test_lexicon_and_exceptions_are_learned(spark, make):
     assert any("moro" in e for e in model.weights)
     assert " moron prize " in model.exceptions
     rows = tx.scores(docs, model).collect()
-    assert len(rows) == 300 + len(ODD)
+    assert len(rows) == 268 + len(ODD)
     toxic = {r.doc_id for r in rows if r.score >= 0.5}
     assert toxic == set(range(200, 260))
     kept = tx.clean(docs, model)
-    assert kept.columns == docs.columns and kept.count() == 240 + len(ODD)
+    assert kept.columns == docs.columns and kept.count() == 208 + len(ODD)
 
 
 @pytest.mark.parametrize("rows,score", [([], 0.0), ([(1, 1, 0), (2, 1, 0)], 0.0), ([(1, 1, 1), (2, 1, 1)], 1.0)])
