@@ -8,13 +8,11 @@ Scale notes
   one task and give null keys a count. A hot key on the detail side of the join
   is split by AQE's skew-join handling; a small side is broadcast by AQE from
   its measured runtime size.
-* W1 is split in three levels so that no task has to hold a whole product or
-  a whole (product, day): running counts per (product, day) come from a
-  window over the per-day aggregate, running counts per md5 bucket of the id
-  inside a day from a window over at most 4096 bucket rows, and rows are
-  numbered only inside their (product, day, bucket). The product statistics
-  ride on the same offsets table, so the detail rows are shuffled once for
-  J3 + W1.
+* W1 numbers rows inside slices of a product. A product of up to
+  ``SLICE_ROWS`` rows is one slice; a larger one is sliced by day and, inside a
+  day, by the leading bits of the tie order, into parts of about that size. The
+  offsets table has one row for each slice - close to the number of products -
+  and carries the product statistics, so no task holds a hot product or day.
 """
 
 from __future__ import annotations
@@ -34,15 +32,16 @@ def product_statistics(df: DataFrame, product: str = "productId", date: str = "r
     """A5 + A6: per product distinct reviews, distinct reviewers, first / last
     review date and the interval between them (D5).
 
-    After a dedup on (reviewer, product), each non-null reviewer occurs once per
-    product, so the distinct reviewer count equals ``count(reviewer)`` and the
-    second distinct aggregate (an ``Expand`` of the input) is skipped.
+    After a dedup on (reviewer, product) with unique review ids, each non-null
+    reviewer and id occurs once per product, so both distinct counts are plain
+    counts and the ``Expand`` of the input is skipped.
     """
-    reviewers = (F.count(reviewer) if deduplicated else F.count_distinct(reviewer))
+    reviewers = F.count(reviewer) if deduplicated else F.count_distinct(reviewer)
+    reviews = F.count(review_id) if deduplicated else F.count_distinct(review_id)
     return (
         df.groupBy(product)
         .agg(
-            F.count_distinct(review_id).alias("reviews_per_product"),
+            reviews.alias("reviews_per_product"),
             reviewers.alias("reviewers_per_product"),
             F.min(date).alias("product_earliest_review"),
             F.max(date).alias("product_latest_review"),
@@ -52,10 +51,11 @@ def product_statistics(df: DataFrame, product: str = "productId", date: str = "r
     )
 
 
-# Rows tied on the date are ordered by md5(tie) then tie. The first hex digits
-# of the md5 are an order-preserving, uniform bucket of that tie order, so a
-# hot (product, day) splits into up to 16^3 = 4096 buckets.
-_BUCKET_HEX = 3
+# Rows that one slice of a product may hold, about; larger products are sliced.
+SLICE_ROWS = 100_000
+
+_KEYS = ["_kp", "_np", "_day", "_sub"]
+_PRODUCT = ["_kp", "_np"]
 
 
 def tie_order_key(tie: str) -> Column:
@@ -63,87 +63,69 @@ def tie_order_key(tie: str) -> Column:
     return F.md5(F.col(tie).cast("string"))
 
 
-def _group_keys(df: DataFrame, product: str, date: str, tie: str, null_safe_product: bool) -> DataFrame:
-    """Add non-null grouping keys for (product, day, bucket).
+def _product_keys(df: DataFrame, product: str) -> DataFrame:
+    """Non-null columns for a nullable product, so that joins and windows share
+    one partitioning: (value or '', is null)."""
+    return df.withColumns({"_kp": F.coalesce(F.col(product).cast("string"), F.lit("")), "_np": F.col(product).isNull()})
 
-    Null-safe equality is expressed as (value-or-sentinel, is-null) pairs in
-    columns of their own, so the join back and the numbering window partition
-    on the *same* columns: the window then reuses the join's partitioning
-    instead of shuffling the detail rows a second time.
-    """
-    bucket = F.substring(tie_order_key(tie), 1, _BUCKET_HEX)
-    keys = {
-        "_kd": F.coalesce(F.col(date).cast("string"), F.lit("")),
-        "_nd": F.col(date).isNull(),
-        "_kb": F.coalesce(bucket, F.lit("")),
-        "_nb": bucket.isNull(),
-    }
-    if null_safe_product:
-        keys["_kp"] = F.coalesce(F.col(product).cast("string"), F.lit(""))
-        keys["_np"] = F.col(product).isNull()
-    else:
-        keys["_kp"] = F.col(product).cast("string")
-        keys["_np"] = F.lit(False)
-    return df.withColumns(keys)
-
-
-_KEYS = ["_kp", "_np", "_kd", "_nd", "_kb", "_nb"]
-_DAY = ["_kp", "_np", "_kd", "_nd"]
-_PRODUCT = ["_kp", "_np"]
+
+def _sliced(keyed: DataFrame, sizes: DataFrame, date: str, tie: str, slice_rows: int) -> DataFrame:
+    """Adds ``_day`` and ``_sub``: slices in the order of the numbering. A product
+    with one part has one slice; others have days since the latest (null dates
+    last) and, by the tie order's first 32 bits, as many parts of each day."""
+    parts = F.ceil(F.col("_rows") / slice_rows).cast("long")
+    fraction = F.conv(F.substring(tie_order_key(tie), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    day = F.coalesce(F.datediff(F.col("_latest"), F.col(date)), F.lit(2**31 - 1))
+    sub = F.coalesce(F.floor(fraction * parts), F.lit(-1))
+    return keyed.join(sizes, _PRODUCT).withColumns({
+        "_day": F.when(parts == 1, F.lit(0)).otherwise(day),
+        "_sub": F.when(parts == 1, F.lit(0)).otherwise(sub),
+    }).drop("_rows", "_latest")
+
+
+def _offsets(sliced: DataFrame) -> DataFrame:
+    """(keys..., _before): rows of the same product in earlier slices."""
+    per_slice = sliced.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*_PRODUCT).orderBy("_day", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    return per_slice.select(*_KEYS, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
 
 
-def _offsets(keyed: DataFrame, date: str) -> DataFrame:
-    """(keys..., _before): for each (product, day, bucket), the number of rows
-    of the same product that come before it - on later days, or on the same
-    day in a lower bucket. Windows run over aggregates only: per product over
-    its days, per (product, day) over at most 4096 buckets."""
-    per_bucket = keyed.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"), F.first(date).alias("_date"))
-    # nulls first: a null bucket (null id) sorts before every other bucket
-    earlier_bucket = Window.partitionBy(*_DAY).orderBy(F.desc("_nb"), F.asc("_kb")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_before_b", F.coalesce(F.sum("_n").over(earlier_bucket), F.lit(0)))
-    per_day = per_bucket.groupBy(*_DAY).agg(F.sum("_n").alias("_nd_rows"), F.first("_date").alias("_date"))
-    later_day = Window.partitionBy(*_PRODUCT).orderBy(F.desc_nulls_last("_date")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    per_day = per_day.withColumn("_before_d", F.coalesce(F.sum("_nd_rows").over(later_day), F.lit(0)))
-    joined = per_bucket.join(per_day.select(*_DAY, "_before_d"), on=_DAY, how="inner")
-    return joined.select(*_KEYS, (F.col("_before_d") + F.col("_before_b")).alias("_before"))
-
-
-def _number_rows(keyed: DataFrame, offsets: DataFrame, tie: str, out: str) -> DataFrame:
-    """Join the offsets back on the (product, day, bucket) keys - the one
-    shuffle of the detail rows - and number rows inside their bucket with a
-    window partitioned on the same key columns (no further shuffle)."""
-    joined = keyed.join(offsets, on=_KEYS, how="inner")
-    in_bucket = Window.partitionBy(*_KEYS).orderBy(F.asc_nulls_first(tie_order_key(tie)), F.asc_nulls_first(tie))
-    return joined.withColumn(out, (F.row_number().over(in_bucket) + F.col("_before")).cast("int")) \
-        .drop("_before", *_KEYS)
+def _number_rows(sliced: DataFrame, offsets: DataFrame, date: str, tie: str, out: str) -> DataFrame:
+    """Join the offsets on the slice keys and number rows inside the slice with a
+    window partitioned by the same keys (no further shuffle)."""
+    inside = Window.partitionBy(*_KEYS).orderBy(F.desc_nulls_last(date), F.asc_nulls_first(tie_order_key(tie)),
+                                                F.asc_nulls_first(tie))
+    joined = sliced.join(offsets, on=_KEYS, how="inner")
+    return joined.withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("int")).drop("_before", *_KEYS)
 
 
 def recency_order(df: DataFrame, product: str = "productId", date: str = "reviewTime",
-                  tie: str = "reviewID", out: str = "reviewOrder") -> DataFrame:
+                  tie: str = "reviewID", out: str = "reviewOrder", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``row_number`` within product, newest first; rows of the same day
     ordered by md5(tie), then tie.
 
     Equal to ``row_number() over (partition by product order by date desc,
-    md5(tie), tie)`` but skew-safe: number = rows on later days + rows in lower
-    buckets of the same day + rank inside the bucket. No task ever holds a
-    whole product or a whole (product, day).
+    md5(tie), tie)``: rows in earlier slices plus the rank inside the slice.
     """
-    keyed = _group_keys(df, product, date, tie, null_safe_product=True)
-    return _number_rows(keyed, _offsets(keyed, date), tie, out)
+    keyed = _product_keys(df, product)
+    sizes = keyed.groupBy(*_PRODUCT).agg(F.count(F.lit(1)).alias("_rows"), F.max(date).alias("_latest"))
+    sliced = _sliced(keyed, sizes, date, tie, slice_rows)
+    return _number_rows(sliced, _offsets(sliced), date, tie, out)
 
 
 def product_features(df: DataFrame, product: str = "productId", date: str = "reviewTime",
                      review_id: str = "reviewID", reviewer: str = "reviewerID",
-                     deduplicated: bool = False) -> DataFrame:
+                     deduplicated: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """J3 + W1 together: product statistics (inner join: null products vanish)
-    and the recency order. The statistics ride on the (product, day, bucket)
-    offsets table, so the detail rows are shuffled once for both."""
-    stats = product_statistics(df, product, date, review_id, reviewer, deduplicated)
-    # inner semantics: rows (and statistics) of a null product vanish
-    keyed = _group_keys(df.where(F.col(product).isNotNull()), product, date, review_id, null_safe_product=False)
-    stats = stats.where(F.col(product).isNotNull()).select(
-        F.col(product).cast("string").alias("_kp"), *[c for c in stats.columns if c != product])
-    offsets = _offsets(keyed, date).join(stats, on="_kp", how="inner")
-    return _number_rows(keyed, offsets, review_id, "reviewOrder")
+    and the recency order. One aggregate per product gives the statistics and
+    the slice counts, and one join brings both to the rows."""
+    keyed = _product_keys(df.where(F.col(product).isNotNull()), product)
+    reviewers = F.count(reviewer) if deduplicated else F.count_distinct(reviewer)
+    reviews = F.count(review_id) if deduplicated else F.count_distinct(review_id)
+    sizes = keyed.groupBy(*_PRODUCT).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(date).alias("_latest"), reviews.alias("reviews_per_product"),
+        reviewers.alias("reviewers_per_product"), F.min(date).alias("product_earliest_review"),
+        F.max(date).alias("product_latest_review"))
+    sizes = sizes.withColumn("product_review_interval", F.datediff("product_latest_review", "product_earliest_review"))
+    sliced = _sliced(keyed, sizes, date, review_id, slice_rows)
+    return _number_rows(sliced, _offsets(sliced.select(*_KEYS)), date, review_id, "reviewOrder")

@@ -60,20 +60,30 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | N
 
 
 def quality_report(df: DataFrame, keys: Sequence[str], null_cols: Sequence[str]) -> DataFrame:
-    """Rows, distinct keys and nulls per column in one aggregate pass."""
+    """Rows, distinct keys and nulls per column in one aggregate pass. A
+    null in a key is a value like any other, as in the dedup."""
     aggs = [F.count(F.lit(1)).alias("rows"),
-            F.count_distinct(*[F.col(k) for k in keys]).alias("distinct_keys")]
+            F.count_distinct(F.struct(*keys)).alias("distinct_keys")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in null_cols]
     return df.agg(*aggs)
 
 
-def with_text_columns(df: DataFrame, out: str = "reviewTot", length_out: str = "reviewTot_length",
-                      collapse: bool = True) -> DataFrame:
-    """T1-T3 + T6 of the length study: lower-cased combined text, punctuation
-    collapsed, length measured after the collapse."""
-    combined = text.combine_text("reviewText", "summary")
-    cleaned = text.collapse_punctuation(combined) if collapse else combined
-    return df.withColumns({out: cleaned, length_out: text.text_length(cleaned)})
+def dedup_row_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows before and after the dedup on ``keys``, in one aggregate."""
+    return df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_distinct(F.struct(*keys)).alias("rows_after"))
+
+
+def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Drop-list projection; names the table does not have are ignored."""
+    return df.drop(*cols)
+
+
+def require_unique(df: DataFrame, id_col: str) -> None:
+    """Fail if an id occurs twice: a join back by id would multiply its rows.
+    One aggregate over the id column; nulls count as one id."""
+    twice = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).collect()
+    if twice:
+        raise ValueError(f"{id_col} must be unique; {twice[0][0]!r} occurs {twice[0]['n']} times")
 
 
 def dedup_then_require(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin"),
@@ -87,29 +97,9 @@ def dedup_then_require(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID",
     return kept.where(cond).drop(_HAS_TEXT, "reviewText", "summary")
 
 
-def review_text_columns(df: DataFrame) -> DataFrame:
-    """Per-row text columns of the studies: ``reviewTot`` = lower(text + summary)
-    and the flag the null rule uses."""
-    return df.withColumns({
-        "reviewTot": text.combine_text("reviewText", "summary"),
-        _HAS_TEXT: F.col("reviewText").isNotNull(),
-    })
-
-
-def prepare_reviews(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin")) -> DataFrame:
-    """Study prep: dedup on (reviewer, product) -> dates -> drop rows without
-    text or label -> ``reviewTot``. To score sentiment, prefer
-    ``reviewlens.plans.studies.sentiment_study``, which scores before the dedup
-    so the text never enters a shuffle."""
-    return dedup_then_require(review_text_columns(df), dedup_keys)
-
-
-def length_study(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin")) -> DataFrame:
-    """Length study rows (LT): prep -> punctuation collapse -> length -> B1 segment.
-
-    All per-row columns are computed before the dedup, so when a query uses
-    only lengths and labels, the text never enters the shuffle.
-    """
+def length_columns(df: DataFrame) -> DataFrame:
+    """Per-row columns of the length study: ``reviewTot`` (punctuation collapsed),
+    its length and B1 segment, and the flag the null rule uses."""
     collapsed = text.collapse_punctuation(text.combine_text("reviewText", "summary"))
     derived = df.withColumns({"reviewTot": collapsed, _HAS_TEXT: F.col("reviewText").isNotNull()})
     # length from the column, segments from the length column: each is computed
@@ -119,4 +109,9 @@ def length_study(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin
         "segment_no": bins.segment_number("reviewTot_length"),
         "reviewTot_segment": bins.segment_label("reviewTot_length"),
     })
-    return dedup_then_require(derived, dedup_keys)
+    return derived.drop("reviewText", "summary")
+
+
+def length_study(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin")) -> DataFrame:
+    """Length study rows (LT): prep -> punctuation collapse -> length -> B1 segment."""
+    return dedup_then_require(length_columns(df), dedup_keys)

@@ -2,16 +2,19 @@
 
 Method (own, documented semantics):
 
-* Tokens: lower-cased text split on non-word characters (ASCII ``\\W``).
+* Tokens: lower-cased text without apostrophes (``don't`` -> ``dont``), split on
+  non-word characters (ASCII ``\\W``).
 * Context: for each token, whether a negation word occurs among the
   ``NEGATION_WINDOW`` preceding tokens and whether the previous token is a
   booster / dampener. Context is taken from the token array itself
   (``transform`` with the index), so no window or self-join is needed.
-* Join: tokens are exploded and joined to the ``lexicon`` table
-  (token, valence, polarity, subjectivity). A lexicon table is normally small
+* Modifiers: a ``modifiers`` table (token, kind, weight): kind ``negate``, or
+  ``boost`` with the increment (negative for dampeners).
+* Join: tokens are exploded and inner-joined to the ``lexicon`` table
+  (token, valence, polarity, subjectivity), so occurrences without a match
+  vanish there; scores are joined back by id. A lexicon table is normally small
   and AQE broadcasts it from its measured size; a large one falls back to a
-  shuffle join with AQE skew splitting. ``max_broadcast_rows`` forces a
-  broadcast only after a bounded row count proves the size.
+  shuffle join with AQE skew splitting.
 * Compound (Z1): valence +/- booster increment, times the negation scalar when
   negated, summed per review to ``s``; compound = s / sqrt(s^2 + alpha)
   (Hutto & Gilbert 2014).
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlens.functions.constants import (
     BOOSTER_INCREMENT,
@@ -42,27 +45,59 @@ from reviewlens.functions.constants import (
     POLARITY_NEGATION,
 )
 from reviewlens.functions.text import explode_tokens, tokenize
+from reviewlens.schema import MODIFIERS
 
 # Per-token contributions are summed as integers in units of 1e-8 (exact and
 # independent of summation order), then scaled back.
 _SCALE = 100_000_000.0
 
 
+# A modifiers table is used as literal word lists, so its size is bounded.
+MAX_MODIFIERS = 10_000
+
+
+def default_modifiers(spark: SparkSession) -> DataFrame:
+    """This package's modifier words as a table (token, kind, weight)."""
+    rows = [(w, "negate", 0.0) for w in NEGATION_WORDS]
+    rows += [(w, "boost", BOOSTER_INCREMENT) for w in BOOSTER_WORDS]
+    rows += [(w, "boost", -BOOSTER_INCREMENT) for w in DAMPENER_WORDS]
+    return spark.createDataFrame(rows, MODIFIERS)
+
+
+def _modifier_words(modifiers: DataFrame) -> tuple[list[str], dict[float, list[str]]]:
+    """Negation words, and booster words by weight (a word listed twice takes its largest weight)."""
+    rows = modifiers.select("token", "kind", "weight").distinct().limit(MAX_MODIFIERS + 1).collect()
+    if len(rows) > MAX_MODIFIERS:
+        raise ValueError(f"more than {MAX_MODIFIERS} modifier words")
+    weights = {}
+    for r in rows:
+        if r.kind == "boost" and r.token is not None:
+            weights[r.token] = max(r.weight, weights.get(r.token, r.weight))
+    by_weight: dict[float, list[str]] = {}
+    for word, weight in sorted(weights.items()):
+        by_weight.setdefault(float(weight), []).append(word)
+    return sorted({r.token for r in rows if r.kind == "negate" and r.token is not None}), by_weight
+
+
 def _in_list(x: Column, words: Sequence[str]) -> Column:
     # ``isin`` becomes a hash-set lookup (InSet) for longer lists.
-    return F.coalesce(x.isin(list(words)), F.lit(False))
+    return F.coalesce(x.isin(list(words)), F.lit(False)) if words else F.lit(False)
 
 
-def token_flags(tokens: Column, negations: Sequence[str] = NEGATION_WORDS,
-                boosters: Sequence[str] = BOOSTER_WORDS,
-                dampeners: Sequence[str] = DAMPENER_WORDS) -> dict[str, Column]:
+def token_flags(tokens: Column, negations: Sequence[str], boosters: dict[float, list[str]]) -> dict[str, Column]:
     """Per-token flag arrays: negation word, booster increment (+/-/0)."""
-    return {
-        "_neg": F.transform(tokens, lambda t: _in_list(t, negations)),
-        "_bst": F.transform(tokens, lambda t: F.when(_in_list(t, boosters), F.lit(BOOSTER_INCREMENT))
-                            .when(_in_list(t, dampeners), F.lit(-BOOSTER_INCREMENT))
-                            .otherwise(F.lit(0.0))),
-    }
+    def boost(t: Column) -> Column:
+        out = F.lit(0.0)
+        for weight, words in sorted(boosters.items()):
+            out = F.when(_in_list(t, words), F.lit(weight)).otherwise(out)
+        return out
+    return {"_neg": F.transform(tokens, lambda t: _in_list(t, negations)), "_bst": F.transform(tokens, boost)}
+
+
+def sentiment_tokens(text: str | Column) -> Column:
+    """Z0 tokens: apostrophes (straight and curly) dropped, then N1."""
+    c = F.col(text) if isinstance(text, str) else text
+    return tokenize(F.translate(c, "'\u2019", ""))
 
 
 def token_context(tokens: Column, neg: Column, bst: Column, window: int = NEGATION_WINDOW) -> Column:
@@ -77,118 +112,73 @@ def token_context(tokens: Column, neg: Column, bst: Column, window: int = NEGATI
     return F.transform(tokens, ctx)
 
 
-def lexicon_tokens(df: DataFrame, keys: Sequence[str], text_col: str, outer: bool = False,
-                   negations: Sequence[str] = NEGATION_WORDS, boosters: Sequence[str] = BOOSTER_WORDS,
-                   dampeners: Sequence[str] = DAMPENER_WORDS, window: int = NEGATION_WINDOW) -> DataFrame:
-    """One row per token occurrence with its context (keys, pos, tok,
-    negated, boost). ``outer`` keeps a row with a null token for empty texts."""
+def lexicon_tokens(df: DataFrame, id_col: str, text_col: str, modifiers: DataFrame | None = None,
+                   window: int = NEGATION_WINDOW) -> DataFrame:
+    """One row per token occurrence with its context (id, pos, tok, negated, boost)."""
     # The token array and its flag arrays are projected into columns first; the
     # context lambda then reads neighbours from them (O(1) each) instead of
     # re-splitting the text or re-testing word lists for every neighbour.
-    cols = [F.col(k) for k in keys]
-    with_tokens = df.select(*cols, tokenize(text_col).alias("_toks"))
-    flags = token_flags(F.col("_toks"), negations, boosters, dampeners)
-    with_flags = with_tokens.select(*cols, "_toks", flags["_neg"].alias("_neg"), flags["_bst"].alias("_bst"))
+    negations, boosters = _modifier_words(default_modifiers(df.sparkSession) if modifiers is None else modifiers)
+    with_tokens = df.select(id_col, sentiment_tokens(text_col).alias("_toks"))
+    flags = token_flags(F.col("_toks"), negations, boosters)
+    with_flags = with_tokens.select(id_col, "_toks", flags["_neg"].alias("_neg"), flags["_bst"].alias("_bst"))
     ctx = token_context(F.col("_toks"), F.col("_neg"), F.col("_bst"), window)
-    exploded = with_flags.select(*cols, F.explode_outer(ctx).alias("c"))
-    if not outer:
-        exploded = exploded.where(F.col("c").isNotNull())
-    return exploded.select(*keys, "c.pos", "c.tok", "c.negated", "c.boost")
+    exploded = with_flags.select(id_col, F.explode_outer(ctx).alias("c")).where(F.col("c").isNotNull())
+    return exploded.select(id_col, "c.pos", "c.tok", "c.negated", "c.boost")
 
 
-def _sized_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
-    if max_rows is None:
-        return small
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+SCORES = ("compound_score", "polarity_score", "sentiment_score")
 
 
-def _score_columns(keys: Sequence[str]) -> list[Column]:
-    s = (F.coalesce(F.col("_s"), F.lit(0)).cast("double") / F.lit(_SCALE))
+def _score_columns(id_col: str) -> list[Column]:
+    s = F.col("_s").cast("double") / F.lit(_SCALE)
     compound = s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
     ps = F.col("_ps").cast("double") / F.lit(_SCALE)
     ss = F.col("_ss").cast("double") / F.lit(_SCALE)
     polarity = F.coalesce(F.try_divide(ps, F.col("_pn").cast("double")), F.lit(0.0))
     subjectivity = F.coalesce(F.try_divide(ss, F.col("_sn").cast("double")), F.lit(0.0))
-    return [*[F.col(k) for k in keys],
-            compound.cast("float").alias("compound_score"),
-            polarity.cast("float").alias("polarity_score"),
-            subjectivity.cast("float").alias("sentiment_score")]
+    return [F.col(id_col), *[c.cast("float").alias(n) for c, n in zip((compound, polarity, subjectivity), SCORES)]]
 
 
 def _units(x: Column) -> Column:
     return F.rint(x * F.lit(_SCALE)).cast("long")
 
 
-def _aggregate(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+def sentiment_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID", text_col: str = "reviewTot",
+                     modifiers: DataFrame | None = None) -> DataFrame:
+    """Z1-Z3 per id with at least one lexicon word. A token listed twice in the
+    lexicon would count twice, so its smallest entry is taken. ``id_col`` must be unique."""
+    words = (lexicon.groupBy(F.col("token").alias("tok"))
+             .agg(F.min(F.struct("valence", "polarity", "subjectivity")).alias("e")).select("tok", "e.*"))
+    hits = lexicon_tokens(df, id_col, text_col, modifiers).join(words, on="tok", how="inner")
     v = F.col("valence")
     boosted = v + F.col("boost") * F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     compound_part = F.when(F.col("negated"), boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
     polarity_part = F.when(F.col("negated"), F.col("polarity") * F.lit(POLARITY_NEGATION)) \
         .otherwise(F.col("polarity"))
-    agg = hits.groupBy(*keys).agg(
-        F.sum(_units(compound_part)).alias("_s"),
+    agg = hits.groupBy(id_col).agg(
+        F.coalesce(F.sum(_units(compound_part)), F.lit(0)).alias("_s"),
         F.sum(_units(polarity_part)).alias("_ps"),
         F.count(F.col("polarity")).alias("_pn"),
         F.sum(_units(F.col("subjectivity"))).alias("_ss"),
         F.count(F.col("subjectivity")).alias("_sn"),
     )
-    return agg.select(*_score_columns(keys))
-
+    return agg.select(*_score_columns(id_col))
 
-def _lexicon(lexicon: DataFrame, max_rows: int | None) -> DataFrame:
-    return _sized_broadcast(
-        lexicon.select(F.col("token").alias("tok"), "valence", "polarity", "subjectivity"), max_rows)
 
-
-def score_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
-                    text_col: str = "reviewTot", carry: Sequence[str] = (),
-                    max_broadcast_rows: int | None = None, **context_kw) -> DataFrame:
-    """Z1-Z3 for every row of ``df``: (id, *carry, compound_score,
-    polarity_score, sentiment_score); 0.0 when no lexicon word occurs.
-
-    Narrow columns in ``carry`` ride along with the tokens, so no join back to
-    ``df`` is needed (``df`` is read once). ``id_col`` must be unique.
-    """
-    keys = [id_col, *carry]
-    toks = lexicon_tokens(df, keys, text_col, outer=True, **context_kw)
-    hits = toks.join(_lexicon(lexicon, max_broadcast_rows), on="tok", how="left")
-    return _aggregate(hits, keys)
-
-
-def sentiment_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
-                     text_col: str = "reviewTot", max_broadcast_rows: int | None = None,
-                     **context_kw) -> DataFrame:
-    """Z1-Z3 per id for ids with at least one lexicon word (inner join)."""
-    toks = lexicon_tokens(df, [id_col], text_col, **context_kw)
-    hits = toks.join(_lexicon(lexicon, max_broadcast_rows), on="tok", how="inner")
-    return _aggregate(hits, [id_col])
-
-
-def add_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID",
-                  text_col: str = "reviewTot", max_broadcast_rows: int | None = None,
-                  **context_kw) -> DataFrame:
-    """Z1-Z3 joined back to every row, keeping all of ``df``'s columns (use
-    when wide columns such as the text are needed afterwards; persist ``df``
-    first so it is computed once). ``id_col`` must be unique."""
-    scores = sentiment_scores(df, lexicon, id_col, text_col, max_broadcast_rows, **context_kw)
+def add_sentiment(df: DataFrame, scores: DataFrame, id_col: str = "reviewID") -> DataFrame:
+    """Scores joined back to every row of ``df``; 0.0 when no lexicon word occurs."""
     out = df.join(scores, on=id_col, how="left")
-    zero = F.lit(0.0).cast("float")
-    return out.withColumns({
-        "compound_score": F.coalesce("compound_score", zero),
-        "polarity_score": F.coalesce("polarity_score", zero),
-        "sentiment_score": F.coalesce("sentiment_score", zero),
-    })
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0).cast("float")) for c in SCORES})
 
 
-def fixture_lexicon(df: DataFrame, text_col: str, min_length: int = 4) -> DataFrame:
-    """Lexicon derived from a corpus's own tokens with fixed arithmetic (the
-    fixture texts are invented words, so no real lexicon would match):
+def fixture_lexicon(df: DataFrame, text_col: str) -> DataFrame:
+    """Lexicon by fixed arithmetic over the words of a small table (the fixture
+    texts are invented words, so no real lexicon would match):
     valence = ascii(token) % 9 - 4, polarity = valence / 4,
-    subjectivity = (length(token) % 11) / 10, for tokens of ``min_length``+ chars.
+    subjectivity = (length(token) % 11) / 10.
     """
-    toks = explode_tokens(df, [], tokenize(text_col), "token")
-    distinct = toks.where(F.length("token") >= min_length).distinct()
+    distinct = explode_tokens(df, [], sentiment_tokens(text_col), "token").distinct()
     valence = (F.ascii("token") % 9 - 4).cast("double")
     return distinct.select(
         "token",

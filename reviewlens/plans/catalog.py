@@ -8,14 +8,13 @@ Doubles are rounded to 6 places on both sides before comparison.
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from reviewlens.plans.columns import RESULT_COLUMNS
 from reviewlens.session import configure
 
 
@@ -30,17 +29,20 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double / float column to ``places`` (as double) and widen
-    integer columns to bigint, so both engines report the same types."""
+def result_columns(name: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in RESULT_COLUMNS[name].split(", ")]
+
+
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """Round doubles and floats to 6 places; cast to the declared result columns, if there are any."""
+    if name not in RESULT_COLUMNS:
+        return df.select(*[F.round(F.col(f.name).cast("double"), 6).alias(f.name)
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+                           for f in df.schema.fields])
     cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), places).alias(f.name))
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            cols.append(F.col(f.name).cast("bigint").alias(f.name))
-        else:
-            cols.append(F.col(f.name))
+    for col, kind in result_columns(name):
+        value = F.col(col).cast(kind)
+        cols.append((F.round(value, 6) if kind == "double" else value).alias(col))
     return df.select(*cols)
 
 
@@ -48,7 +50,7 @@ def register(name: str, oracle: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
-            return rounded(fn(spark, sf_dir))
+            return typed(fn(spark, sf_dir), name)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         REGISTRY[name] = Query(name, run, oracle, (fn.__doc__ or "").strip())
@@ -61,69 +63,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q.run for k, q in REGISTRY.items()}
 
 
-# Tables used only to look up the oracle queries' output types (bind, no run).
-_TYPE_PROBE_DIR = "/root/testdata/sf0.001"
-_TYPE_PROBE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-                      "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-_FLOATING = ("DOUBLE", "FLOAT", "REAL")
-_INTEGRAL = ("TINYINT", "SMALLINT", "INTEGER", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT")
-
-
-def _wrap(sql: str, cols: list[tuple[str, str]]) -> str:
-    """Outer select making the oracle's output types match the Spark side:
-    floating / decimal columns rounded to 6 places as double, integral columns
-    widened to bigint (the Spark side does the same in ``rounded``)."""
-    exprs = []
-    for name, typ in cols:
-        q = '"' + name.replace('"', '""') + '"'
-        if typ in _FLOATING or typ.startswith("DECIMAL"):
-            exprs.append(f"round(cast({q} as double), 6) as {q}")
-        elif typ in _INTEGRAL:
-            exprs.append(f"cast({q} as bigint) as {q}")
-        else:
-            exprs.append(q)
-    return f"select {', '.join(exprs)}\nfrom (\n{sql}\n) as oracle_result"
+_DUCK = {"string": "varchar"}
 
 
-_TYPES_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "oracle_types.json")
-
-
-def oracle_output_types(probe_dir: str = _TYPE_PROBE_DIR) -> dict[str, list[tuple[str, str]]]:
-    """Output (column, DuckDB type) of every oracle query, from ``DESCRIBE``
-    (binding only, nothing is run) against the tables in ``probe_dir``."""
-    import duckdb
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the registered queries, cast to their result columns."""
     _load()
-    con = duckdb.connect()
-    for t in _TYPE_PROBE_TABLES:
-        path = f"{probe_dir}/{t}.parquet"
-        if os.path.exists(path):
-            con.execute(f"create view {t} as select * from read_parquet('{path}')")
     out = {}
-    for k, q in REGISTRY.items():
-        if q.oracle:
-            out[k] = [(r[0], r[1]) for r in con.execute(f"describe {q.oracle}").fetchall()]
-    con.close()
+    for name, query in REGISTRY.items():
+        if query.oracle:
+            cols = []
+            for col, kind in result_columns(name):
+                value = f'cast("{col}" as {_DUCK.get(kind, kind)})'
+                cols.append(f'{f"round({value}, 6)" if kind == "double" else value} as "{col}"')
+            out[name] = f"select {', '.join(cols)}\nfrom (\n{query.oracle}\n) as oracle_result"
     return out
 
 
-def _stored_types() -> dict[str, list[tuple[str, str]]]:
-    try:
-        with open(_TYPES_FILE) as f:
-            return {k: [tuple(c) for c in v] for k, v in json.load(f).items()}
-    except (OSError, ValueError):
-        return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    _load()
-    raw = {k: q.oracle for k, q in REGISTRY.items() if q.oracle}
-    try:
-        types = oracle_output_types()
-    except Exception:  # noqa: BLE001 - no DuckDB or no probe tables: use the stored types
-        types = _stored_types()
-    return {k: (_wrap(sql, types[k]) if k in types else sql) for k, sql in raw.items()}
-
-
 def _load() -> None:
     # Import the modules that register queries (idempotent).
     from reviewlens.plans import queries_eda, queries_prep, queries_text, queries_tokens, queries_ml  # noqa: F401

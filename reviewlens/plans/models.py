@@ -68,9 +68,10 @@ def logistic_full() -> LogisticRegression:
                               elasticNetParam=0.0)
 
 
-def random_forest(seed: int = SPLIT_SEED) -> RandomForestClassifier:
+def random_forest(seed: int = SPLIT_SEED, weight_col: str | None = None) -> RandomForestClassifier:
     """M8: random forest with defaults (seeded)."""
-    return RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
+    kw = {"weightCol": weight_col} if weight_col else {}
+    return RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **kw)
 
 
 def perceptron(n_features: int, seed: int = SPLIT_SEED) -> MultilayerPerceptronClassifier:
@@ -89,7 +90,7 @@ def cross_validated_logistic(parallelism: int = 4, seed: int = SPLIT_SEED) -> Cr
             .addGrid(lr.elasticNetParam, [0.0, 0.1, 0.2])
             .build())
     return CrossValidator(estimator=lr, estimatorParamMaps=grid,
-                          evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+                          evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0),
                           numFolds=3, parallelism=parallelism, seed=seed)
 
 
@@ -153,7 +154,3 @@ def feature_importances(spark: SparkSession, model, names: Sequence[str]) -> Dat
     return rows_to_frame(spark, [(i, names[i] if i < len(names) else f"f{i}", float(v))
                                  for i, v in enumerate(imp)], schema)
 
-
-def fit_pipeline(stages: Sequence, train: DataFrame) -> PipelineModel:
-    """M3: fit a pipeline of stages."""
-    return Pipeline(stages=list(stages)).fit(train)

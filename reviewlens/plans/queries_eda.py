@@ -11,7 +11,8 @@ from reviewlens.sources import reviews_from_documents
 
 
 def length_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.length_study(reviews_from_documents(spark, sf_dir))
+    # lengths and segments are computed on the document scan: no text in the joins
+    return prep.dedup_then_require(reviews_from_documents(spark, sf_dir, prep.length_columns))
 
 
 LT = S.with_ctes(S.REVIEWS, S.LENGTH_STUDY)
@@ -137,10 +138,26 @@ def s8_s6_length_rows_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFr
 
     from reviewlens.session import checkpoint_dir
     from reviewlens.sources import read_csv, write_csv
-    from pyspark.sql import types as T
 
     path = os.path.join(checkpoint_dir(spark), f"length-rows-{uuid.uuid4().hex}.csv")
     rows = length_rows(spark, sf_dir).select("reviewID", "label", "reviewTot_length", "segment_no",
                                              "reviewTot_segment")
     write_csv(rows, path)
-    return read_csv(spark, path, T._parse_datatype_string(LENGTH_ROW_SCHEMA))
+    return read_csv(spark, path, LENGTH_ROW_SCHEMA)
+
+
+@register("m14_pr_length", LT + """,
+sc as (select cast(reviewTot_length as double) as s, label as y from lt where label is not null),
+g as (select s, count(*) filter (where y = 1) as pos, count(*) as n from sc group by s),
+c as (select s, sum(pos) over w as tp, sum(n) over w as k, row_number() over (order by s desc) as i from g
+      window w as (order by s desc rows between unbounded preceding and current row)),
+tot as (select cast(sum(pos) as double) as p from g),
+pt as (select i, tp / p as recall, tp / cast(k as double) as prec from c, tot
+       union all select 0, 0.0, tp / cast(k as double) from c where i = 1)
+select sum((recall - prev_recall) * (prec + prev_prec) / 2) as area_under_pr
+from (select recall, prec, lag(recall) over (order by i) as prev_recall, lag(prec) over (order by i) as prev_prec from pt)""")
+def m14_pr_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the precision-recall curve of the review length."""
+    from reviewlens.operators import metrics
+    value = metrics.area_under_pr(length_rows(spark, sf_dir), "reviewTot_length")
+    return spark.createDataFrame([(float(value),)], "area_under_pr double")

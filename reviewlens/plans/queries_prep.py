@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions import dates, text
-from reviewlens.operators import features, metrics, prep
+from reviewlens.operators import features, prep
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
 from reviewlens.sources import (
@@ -20,6 +20,16 @@ from reviewlens.sources import (
 W = S.with_ctes
 
 
+def without_text(d: DataFrame) -> DataFrame:
+    """For queries that use no text: it is dropped on the document scan."""
+    return prep.drop_columns(d, ["reviewText", "summary"])
+
+
+def text_flags(d: DataFrame) -> DataFrame:
+    """Null marks instead of the texts, computed on the document scan."""
+    return d.withColumns({c: F.when(F.col(c).isNotNull(), F.lit("")) for c in ("reviewText", "summary")})
+
+
 @register("s1_scan_reviews", W(S.REVIEWS) + "select * from reviews")
 def s1_scan_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training table view (explicit columns, whole texts)."""
@@ -39,7 +49,7 @@ from reviews
 where cast('0x' || substring(md5(reviewID), 1, 4) as bigint) % 10 < 7""")
 def s3_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 / M2: repeatable 70 % sample on a key hash."""
-    r = reviews_from_documents(spark, sf_dir)
+    r = reviews_from_documents(spark, sf_dir, without_text)
     return hash_sample(r, "reviewID", 7).select("reviewID", "reviewerID", "label",
                                                   hash_fraction("reviewID").alias("bucket"))
 
@@ -51,7 +61,7 @@ select case when cast('0x' || substring(md5(reviewID), 1, 4) as bigint) % 10 < 8
 from reviews group by 1""")
 def m2_hash_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: sizes of the repeatable 80/20 split."""
-    r = reviews_from_documents(spark, sf_dir)
+    r = reviews_from_documents(spark, sf_dir, without_text)
     part = F.when(hash_fraction("reviewID") < 8, "train").otherwise("holdout")
     return r.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"),
                                              F.count("label").alias("labelled"))
@@ -82,7 +92,7 @@ def p1_review_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 select reviewID, label from reviews where reviewText is not null and label is not null""")
 def p9_drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with text and label."""
-    r = reviews_from_documents(spark, sf_dir)
+    r = reviews_from_documents(spark, sf_dir, text_flags)
     return prep.drop_missing(r, ["reviewText", "label"]).select("reviewID", "label")
 
 
@@ -90,7 +100,7 @@ def p9_drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 select reviewID, reviewerID, asin, unixReviewTime from dedup""")
 def p10_dedup_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: one review per (reviewer, product): latest, then smallest id."""
-    r = reviews_from_documents(spark, sf_dir)
+    r = reviews_from_documents(spark, sf_dir, without_text)
     return prep.dedup_latest(r, ["reviewerID", "asin"]).select("reviewID", "reviewerID", "asin", "unixReviewTime")
 
 
@@ -103,14 +113,14 @@ def p10_dedup_line_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("p11_quality_report", W(S.REVIEWS) + """
-select count(*) as rows, count(distinct (reviewerID, asin)) as distinct_keys,
+select count(*) as rows, (select count(*) from (select distinct reviewerID, asin from reviews)) as distinct_keys,
        count(*) filter (where reviewText is null) as null_reviewText,
        count(*) filter (where summary is null) as null_summary,
        count(*) filter (where label is null) as null_label
 from reviews""")
 def p11_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, distinct (reviewer, product) keys and nulls, one pass."""
-    r = reviews_from_documents(spark, sf_dir)
+    r = reviews_from_documents(spark, sf_dir, text_flags)
     return prep.quality_report(r, ["reviewerID", "asin"], ["reviewText", "summary", "label"])
 
 
@@ -118,10 +128,7 @@ def p11_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 select (select count(*) from line_reviews) as rows_before, (select count(*) from dedup) as rows_after""")
 def a17_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows before and after the dedup (line-item reviews)."""
-    r = reviews_from_lineitems(spark, sf_dir)
-    before = metrics.row_count(r).withColumnRenamed("rows", "rows_before")
-    after = metrics.row_count(prep.dedup_latest(r, ["reviewerID", "asin"])).withColumnRenamed("rows", "rows_after")
-    return before.select("rows_before", after.select("rows_after").scalar().alias("rows_after"))
+    return prep.dedup_row_counts(reviews_from_lineitems(spark, sf_dir), ["reviewerID", "asin"])
 
 
 @register("d5_review_dates", W(S.LINE_REVIEWS) + f"""
@@ -211,6 +218,13 @@ from reviews""")
 def w1_recency_order_hot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 on the document reviews: only 20 products, so every product is a hot
     group; the two-level order never holds a whole product in one task."""
-    r = prep.add_review_dates(reviews_from_documents(spark, sf_dir)).withColumnRenamed("asin", "productId")
+    r = prep.add_review_dates(reviews_from_documents(spark, sf_dir, without_text)).withColumnRenamed("asin", "productId")
     out = features.recency_order(r.select("reviewID", "productId", "reviewTime"))
     return out.select("reviewID", "productId", "reviewTime", F.col("reviewOrder").cast("bigint").alias("reviewOrder"))
+
+
+@register("p3_drop_list", W(S.LINE_REVIEWS) + """
+select reviewID, reviewerID, overall from line_reviews""")
+def p3_drop_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection by a list of columns to drop."""
+    return prep.drop_columns(reviews_from_lineitems(spark, sf_dir), ["asin", "verified", "unixReviewTime", "image", "style"])

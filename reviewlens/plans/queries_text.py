@@ -10,19 +10,25 @@ from reviewlens.operators import eda, metrics, sentiment
 from reviewlens.plans import studies
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
-from reviewlens.sources import reviews_from_documents, spread
+from reviewlens.sources import reviews_from_documents
 
 SA = S.with_ctes(S.REVIEWS, S.sentiment_study())
 
 
-def documents_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
-    return sentiment.fixture_lexicon(docs, "text")
+def benchmark_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon over the words of the small ``benchmark`` table."""
+    return sentiment.fixture_lexicon(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"), "text")
+
+
+def scored_reviews(spark: SparkSession, sf_dir: str, label: bool = True) -> DataFrame:
+    """Reviews with flags, lengths and scores computed on the document scan."""
+    lexicon = benchmark_lexicon(spark, sf_dir)
+    return reviews_from_documents(spark, sf_dir, lambda d: studies.score_texts(d, lexicon), label)
 
 
 def sentiment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment-study rows: scores -> dedup -> null drop -> rule prediction -> bins."""
-    scored = studies.sentiment_study(reviews_from_documents(spark, sf_dir), documents_lexicon(spark, sf_dir))
+    scored = studies.scored_study(scored_reviews(spark, sf_dir))
     return scored.withColumns({
         "Predicted_Label": bins.extremity_prediction("compound_score"),
         "Bin": bins.compound_bin("compound_score"),

@@ -3,7 +3,7 @@ N11-N14)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions import text
@@ -11,17 +11,17 @@ from reviewlens.functions.constants import TOKEN_GAP_PATTERN
 from reviewlens.operators import tokens
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
-from reviewlens.sources import reviews_from_documents
+from reviewlens.sources import reviews_from_documents, reviews_from_lineitems, texts_from_documents
 
 TXT = S.with_ctes(S.REVIEWS, S.text_rows())
 
 
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(reviewID, label, combined_text_length, combined_text, words, filtered)
-    with the model notebook's own ML stages (N1, N2)."""
-    r = reviews_from_documents(spark, sf_dir)
+    """(reviewID, combined_text_length, combined_text, words, filtered) with the
+    model notebook's own ML stages (N1, N2), straight from the document scan."""
+    r = texts_from_documents(spark, sf_dir)
     raw = text.combine_text("reviewText", "summary")
-    rows = r.select("reviewID", "label", text.text_length(raw).alias("combined_text_length"),
+    rows = r.select("reviewID", text.text_length(raw).alias("combined_text_length"),
                     text.clean_text(raw).alias("combined_text"))
     rows = RegexTokenizer(inputCol="combined_text", outputCol="words", pattern=TOKEN_GAP_PATTERN).transform(rows)
     return StopWordsRemover(inputCol="words", outputCol="filtered").transform(rows)
@@ -61,7 +61,7 @@ def n2_n14_stop_words_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 select reviewID, len(ngrams) as n_bigrams, array_to_string(ngrams, '|') as bigrams from bg""".replace("\n, bg", ",\nbg"))
 def n4_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``NGram(n=2)`` over the stop-word-filtered tokens."""
-    rows = NGram(n=2, inputCol="filtered", outputCol="ngrams").transform(text_rows(spark, sf_dir))
+    rows = _bigrams(text_rows(spark, sf_dir))
     return rows.select("reviewID", F.size("ngrams").alias("n_bigrams"), F.array_join("ngrams", "|").alias("bigrams"))
 
 
@@ -92,14 +92,79 @@ def n6_inverse_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame
     return tokens.inverse_document_frequency(vocab, n_docs)
 
 
+BIGRAM_SQL = TXT + """,
+bg as (select reviewID, list_transform(range(1, len(filtered)), lambda i: filtered[i] || ' ' || filtered[i + 1]) as terms
+       from lg_filt)"""
+
+
+def _vocab_ctes(source: str, column: str) -> str:
+    """Vocabulary, IDF and scaled TF-IDF of a token-array column."""
+    return f""",
+cell as (select reviewID, term, count(*) as tf from (select reviewID, unnest({column}) as term from {source}) group by all),
+ndocs as (select count(*) as n from {source}),
+vocab as (select term, count(*) as doc_freq, sum(tf) as term_freq from cell group by term),
+kept as (select term, doc_freq, case when doc_freq >= 5 then ln((n + 1.0) / (doc_freq + 1.0)) else 0.0 end as idf
+         from vocab, ndocs where doc_freq >= 50 and doc_freq <= 0.4 * n order by term_freq desc, term limit 10000),
+w as (select reviewID, term, tf * idf as x from cell join kept using (term)),
+rng as (select term, case when count(*) = (select n from ndocs) then min(x) else least(min(x), 0) end as lo, max(x) as hi
+        from w group by term),
+sc as (select reviewID, x, case when hi > lo then (x - lo) / (hi - lo) else 0.5 end as s from w join rng using (term))
+"""
+
+
+SCALED_SQL = """select reviewID, count(*) as n_terms, sum(x) as sum_tf_idf, max(s) as max_scaled from sc group by reviewID"""
+
+
+def _bigrams(rows: DataFrame) -> DataFrame:
+    return NGram(n=2, inputCol="filtered", outputCol="ngrams").transform(rows)
+
+
+def _idf(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    vocab = tokens.vocabulary(rows, "reviewID", column).checkpoint(eager=True)  # at most 10,000 terms
+    return vocab, tokens.inverse_document_frequency(vocab, rows.select(F.count(F.lit(1))).scalar())
+
+
+def _scaled(rows: DataFrame, column: str) -> DataFrame:
+    vocab, idf = _idf(rows, column)
+    cells = tokens.tf_idf_scaled(rows, vocab, idf, "reviewID", column)
+    return cells.groupBy("reviewID").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf_idf").alias("sum_tf_idf"),
+                                         F.max("scaled").alias("max_scaled"))
+
+
+@register("n6_bigram_document_frequency", BIGRAM_SQL + _vocab_ctes("bg", "terms") + "select term, doc_freq, idf from kept")
+def n6_bigram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N4 + N5 + N6: bigram vocabulary with document frequencies and IDF."""
+    return _idf(_bigrams(text_rows(spark, sf_dir)), "ngrams")[1]
+
+
+@register("n7_scaled_tf_idf", TXT + _vocab_ctes("lg_filt", "filtered") + SCALED_SQL)
+def n7_scaled_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N5 + N6 + N7 on sparse cells: TF-IDF and its min-max scaling per review."""
+    return _scaled(text_rows(spark, sf_dir), "filtered")
+
+
+@register("n7_scaled_bigram_tf_idf", BIGRAM_SQL + _vocab_ctes("bg", "terms") + SCALED_SQL)
+def n7_scaled_bigram_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N4-N7 on bigrams: TF-IDF and its min-max scaling per review."""
+    return _scaled(_bigrams(text_rows(spark, sf_dir)), "ngrams")
+
+
 @register("n8_string_index_reviewers", S.with_ctes(S.REVIEWS) + """
 select reviewerID, row_number() over (order by count(*) desc, reviewerID) - 1 as index
 from reviews where reviewerID is not null group by reviewerID""")
 def n8_string_index_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``StringIndexer`` (most frequent first, ties alphabetical)."""
-    r = reviews_from_documents(spark, sf_dir).select("reviewerID")
-    model = StringIndexer(inputCol="reviewerID", outputCol="index", handleInvalid="keep").fit(r)
-    return model.transform(r.distinct()).select("reviewerID", F.col("index").cast("bigint").alias("index"))
+    """Reviewer index, most frequent first, ties alphabetical."""
+    r = reviews_from_documents(spark, sf_dir, lambda d: d.drop("reviewText", "summary"), label=False)
+    return tokens.frequency_index(r, "reviewerID")
+
+
+@register("n8_string_index_products", S.with_ctes(S.LINE_REVIEWS) + """
+select asin as productId, row_number() over (order by count(*) desc, asin) - 1 as index
+from line_reviews where asin is not null group by asin""")
+def n8_string_index_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product index at volume."""
+    r = reviews_from_lineitems(spark, sf_dir).withColumnRenamed("asin", "productId")
+    return tokens.frequency_index(r, "productId")
 
 
 @register("n11_normalized_tokens", TXT + """

@@ -6,19 +6,25 @@ same parquet views. Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-from reviewlens.functions.constants import (
-    LENGTH_SEGMENT_BOUNDS,
-    LENGTH_SEGMENT_LABELS,
-    PUNCT_COLLAPSE_PATTERN,
-)
+# Values are written out here, apart from the library's constants, so that a
+# wrong constant cannot pass both sides.
+SEGMENTS = [
+    (500, "1.<500"), (2000, "2.500 to 2k"), (4000, "3.2k to 4k"), (6000, "4.4k to 6k"), (8000, "5.6k to 8k"),
+    (10000, "6.8k to 10K"), (12000, "7.10K to 12k"), (14000, "8.12K to 14k"), (16000, "9.14K to 16k"),
+    (18000, "10.16K to 18k"), (20000, "11.18K to 20k"),
+]
+NEGATE = """'not', 'no', 'never', 'none', 'nobody', 'nothing', 'neither', 'nor', 'nowhere', 'cannot', 'without',
+  'isnt', 'dont', 'doesnt', 'didnt', 'wasnt', 'wont', 'cant'"""
+BOOST = """'absolutely', 'completely', 'extremely', 'highly', 'incredibly', 'most', 'really', 'so', 'totally', 'very'"""
+DAMPEN = "'barely', 'hardly', 'less', 'little', 'slightly', 'somewhat'"
 
 # Reviews view of documents + orders + labels (same rule as the Spark adapter).
 REVIEWS = """reviews as (
   select cast(d.doc_id as varchar) as reviewID,
          cast(o.o_custkey as varchar) as reviewerID,
          d.source as asin,
-         case when d.doc_id % 97 = 0 then null else d.text end as reviewText,
-         case when d.doc_id % 7 = 0 then null else split_part(d.text, '.', 1) end as summary,
+         d.text as reviewText,
+         concat_ws(' ', d.lang, d.source) as summary,
          o.o_orderstatus = 'F' as verified,
          cast(substring(o.o_orderpriority, 1, 1) as double) as overall,
          cast(epoch(o.o_orderdate) as bigint) as unixReviewTime,
@@ -33,8 +39,8 @@ SCORING = """scoring as (
   select cast(d.doc_id as varchar) as reviewID,
          cast(o.o_custkey as varchar) as reviewerID,
          d.source as asin,
-         case when d.doc_id % 97 = 0 then null else d.text end as reviewText,
-         case when d.doc_id % 7 = 0 then null else split_part(d.text, '.', 1) end as summary,
+         d.text as reviewText,
+         concat_ws(' ', d.lang, d.source) as summary,
          o.o_orderstatus = 'F' as verified,
          cast(substring(o.o_orderpriority, 1, 1) as double) as overall,
          cast(epoch(o.o_orderdate) as bigint) as unixReviewTime
@@ -64,20 +70,17 @@ def combined(text: str = "reviewText", summary: str = "summary") -> str:
 
 
 def collapse(expr: str) -> str:
-    return f"regexp_replace({expr}, '{PUNCT_COLLAPSE_PATTERN}', ' ', 'g')"
+    return f"regexp_replace({expr}, '[-? ! , .]+', ' ', 'g')"
 
 
 def segment_no(x: str) -> str:
-    parts = [f"when {x} < {b} then {i}" for i, b in enumerate(LENGTH_SEGMENT_BOUNDS, start=1)]
-    n = len(LENGTH_SEGMENT_BOUNDS)
-    return f"(case {' '.join(parts)} when {x} >= {LENGTH_SEGMENT_BOUNDS[-1]} then {n + 1} else {n + 2} end)"
+    parts = [f"when {x} < {b} then {i}" for i, (b, _) in enumerate(SEGMENTS, start=1)]
+    return f"(case {' '.join(parts)} when {x} >= 20000 then 12 else 13 end)"
 
 
 def segment_label(x: str) -> str:
-    parts = [f"when {x} < {b} then '{LENGTH_SEGMENT_LABELS[i]}'" for i, b in enumerate(LENGTH_SEGMENT_BOUNDS)]
-    n = len(LENGTH_SEGMENT_BOUNDS)
-    return (f"(case {' '.join(parts)} when {x} >= {LENGTH_SEGMENT_BOUNDS[-1]} "
-            f"then '{LENGTH_SEGMENT_LABELS[n]}' else '{LENGTH_SEGMENT_LABELS[n + 1]}' end)")
+    parts = [f"when {x} < {b} then '{label}'" for b, label in SEGMENTS]
+    return f"(case {' '.join(parts)} when {x} >= 20000 then '12.20k+' else '13.Other' end)"
 
 
 def dedup(source: str, keys: str = "reviewerID, asin", name: str = "dedup") -> str:
@@ -120,28 +123,29 @@ def tokens_of(expr: str, pattern: str = r"\W") -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({expr}, '')), '{pattern}'), lambda x: x <> '')"
 
 
-# Fixture lexicon from the documents' own tokens (4+ characters).
+def sentiment_tokens_of(expr: str) -> str:
+    """Apostrophes dropped, then tokens."""
+    return tokens_of(f"replace(replace({expr}, chr(39), ''), chr(8217), '')")
+
+
+# Fixture lexicon from the benchmark table's words.
 LEXICON = f"""lexicon as (
   select token,
          cast(ascii(token) % 9 - 4 as double) as valence,
          cast(ascii(token) % 9 - 4 as double) / 4 as polarity,
          cast(length(token) % 11 as double) / 10 as subjectivity
-  from (select distinct unnest({tokens_of('text')}) as token from documents)
-  where length(token) >= 4
+  from (select distinct unnest({sentiment_tokens_of('text')}) as token from benchmark)
 )"""
 
 
 def sentiment_ctes(source: str, prefix: str) -> str:
     """Token context, lexicon hits and per-review scores of ``source``
     (columns reviewID, reviewTot); defines ``{prefix}_scores``."""
-    from reviewlens.functions.constants import (
-        BOOSTER_WORDS, DAMPENER_WORDS, NEGATION_WORDS,
-    )
-    neg, boo, dam = _sql_list(NEGATION_WORDS), _sql_list(BOOSTER_WORDS), _sql_list(DAMPENER_WORDS)
+    neg, boo, dam = NEGATE, BOOST, DAMPEN
     boosted = "(valence + boost * case when valence < 0 then -1.0 else 1.0 end)"
     return f"""{prefix}_toks as (
   select reviewID, arr, unnest(range(1, len(arr) + 1)) as i
-  from (select reviewID, {tokens_of('reviewTot')} as arr from {source})
+  from (select reviewID, {sentiment_tokens_of('reviewTot')} as arr from {source})
 ),
 {prefix}_ctx as (
   select reviewID, arr[i] as tok,
@@ -178,9 +182,6 @@ def right_closed_bin_sql(x: str, edges) -> str:
 
 # Sentiment-study rows: dedup -> null drop -> reviewTot -> scores (0 when no match) -> bins.
 def sentiment_study() -> str:
-    from reviewlens.functions.constants import (
-        COMPOUND_BIN_EDGES, POLARITY_BIN_EDGES, SUBJECTIVITY_BIN_EDGES,
-    )
     return f"""{dedup('reviews')},
 sa_rows as (
   select reviewID, label, {combined()} as reviewTot
@@ -197,9 +198,9 @@ sa0 as (
 ),
 sa as (
   select *, case when compound_score > 0.5 or compound_score < -0.5 then 1 else 0 end as Predicted_Label,
-         {right_closed_bin_sql('compound_score', COMPOUND_BIN_EDGES)} as Bin,
-         {right_closed_bin_sql('polarity_score', POLARITY_BIN_EDGES)} as Bin_Pol,
-         {right_closed_bin_sql('sentiment_score', SUBJECTIVITY_BIN_EDGES)} as Bin_Sen
+         {right_closed_bin_sql('compound_score', [-0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75])} as Bin,
+         {right_closed_bin_sql('polarity_score', [0.0, 0.25, 0.5, 0.75])} as Bin_Pol,
+         {right_closed_bin_sql('sentiment_score', [0.2, 0.4, 0.6, 0.8])} as Bin_Sen
   from sa0
 )"""
 
@@ -266,7 +267,7 @@ st as (select productId, count(distinct reviewID) as reviews_per_product,
 lg3 as (select lg2.*, st.reviews_per_product, st.reviewers_per_product, st.product_review_interval,
                row_number() over (partition by lg2.productId order by lg2.reviewTime desc, md5(lg2.reviewID), lg2.reviewID) as reviewOrder
         from lg2 join st on lg2.productId = st.productId),
-lg4 as (select *, {combined()} as reviewTot from lg3 where reviewText is not null and label is not null),
+lg4 as (select *, {combined()} as reviewTot, {clean_sql(combined())} as cleaned from lg3 where reviewText is not null and label is not null),
 {sentiment_ctes('lg4', 'lgs')}"""
 
 
@@ -277,5 +278,5 @@ select l.reviewID, l.reviewerID, l.productId, l.verified, l.overall, l.label, l.
        l.reviewers_per_product, l.product_review_interval, l.reviewOrder,
        round(cast(coalesce(s.polarity_score, cast(0.0 as float)) as double), 6) as polarity_score,
        round(cast(coalesce(s.sentiment_score, cast(0.0 as float)) as double), 6) as sentiment_score,
-       length(l.reviewTot) as combined_text_length
+       length(l.reviewTot) as combined_text_length, l.cleaned as combined_text
 from lg4 l left join lgs_scores s on l.reviewID = s.reviewID"""

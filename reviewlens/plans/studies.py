@@ -1,22 +1,23 @@
-"""The model notebook's feature build as one function with a train / score mode.
+"""Feature builds of the studies, with text work ahead of every join.
 
-Order of operations is kept where it changes results:
+``score_texts`` and ``model_texts`` turn the text columns of a review table into
+narrow per-row columns (flags, lengths, sentiment scores); the texts themselves
+go no further. They run on the whole table or, through an adapter's ``derive``
+hook, on the side of a join that holds the texts.
+
+The model's feature build then keeps the notebook's order where it changes results:
 
 1. ``verified`` to int; reviewer and product counts joined back (J1, J2) on the
    table *before* the dedup.
-2. train only: dedup on (reviewer, product) (P10).
+2. train only: dedup on (reviewer, product) (P10). The narrow result is
+   checkpointed, as the product aggregates and the numbering read it again.
 3. dates (D1-D4); product statistics and recency order (J3 + W1) *after* the
    dedup but *before* the null drop.
 4. train only: drop rows without text or label.
-5. polarity / subjectivity on the lower-cased text with punctuation (Z2, Z3),
-   length before cleaning (T6), and the regex-cleaned text (T3-T5).
-
-Step 5 is per row, so it is computed first: the sentiment scores and lengths
-are aggregated from the exploded tokens with the narrow columns carried along,
-and that narrow table is checkpointed (reliable, in ``spark.checkpoint.dir``).
-Steps 1-4 then run on narrow rows only, and the cleaned text is attached once
-at the end by one join on ``reviewID``: the review text is shuffled once, not
-through every dedup / window / join, and is never written to the checkpoint.
+5. the regex-cleaned text (T3-T5) is attached at the end by one join on
+   ``reviewID``, where a caller wants it.
+
+``reviewID`` must be unique; both builds check it first.
 """
 
 from __future__ import annotations
@@ -26,40 +27,51 @@ from pyspark.sql import DataFrame, functions as F
 from reviewlens.functions import text
 from reviewlens.operators import features, prep, sentiment
 
-_TEXT_COLUMNS = ("reviewText", "summary")
+
+def score_texts(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame | None = None) -> DataFrame:
+    """``df`` without its texts, with ``_has_text``, ``combined_text_length`` and the
+    Z1-Z3 scores of the lower-cased text and summary."""
+    texts = df.select("reviewID", text.combine_text("reviewText", "summary").alias("reviewTot"))
+    narrow = df.withColumns({
+        "_has_text": F.col("reviewText").isNotNull(),
+        "combined_text_length": text.text_length(text.combine_text("reviewText", "summary")),
+    }).drop("reviewText", "summary")
+    return sentiment.add_sentiment(narrow, sentiment.sentiment_scores(texts, lexicon, modifiers=modifiers))
+
+
+def cleaned_texts(df: DataFrame) -> DataFrame:
+    """(reviewID, combined_text): T1-T5."""
+    return df.select("reviewID", text.clean_text(text.combine_text("reviewText", "summary")).alias("combined_text"))
+
+
+def build_features(df: DataFrame, lexicon: DataFrame, mode: str = "train", modifiers: DataFrame | None = None) -> DataFrame:
+    """Model features of a review table (``mode`` is "train" or "score") with the cleaned text."""
+    narrow = build_narrow_features(score_texts(df, lexicon, modifiers), mode)
+    return narrow.join(cleaned_texts(df), on="reviewID", how="inner")
 
 
-def build_features(df: DataFrame, lexicon: DataFrame, mode: str = "train",
-                   checkpoint: bool = True, max_lexicon_broadcast_rows: int | None = None) -> DataFrame:
-    """Model features of a review table (``mode`` is "train" or "score");
-    ``reviewID`` must be unique."""
+def build_narrow_features(scored: DataFrame, mode: str = "train") -> DataFrame:
+    """Model features, without the text, of a table that went through ``score_texts``.
+
+    Nulls of the feature columns get fixed values, since the assembler refuses
+    them: ``verified`` 0, ``overall`` 0.0 (no rating given).
+    """
     if mode not in ("train", "score"):
         raise ValueError("mode must be 'train' or 'score'")
     train = mode == "train"
-    combined = text.combine_text("reviewText", "summary")
-    base = prep.cast_verified(df).withColumns({"combined_text": combined,
-                                               "_has_text": F.col("reviewText").isNotNull()})
-    base = base.withColumn("combined_text_length", text.text_length("combined_text"))
-    carry = [c for c in base.columns if c not in (*_TEXT_COLUMNS, "combined_text", "reviewID")]
-    if train:
-        # rows the null drop will remove skip the token work (scores unused)
-        kept = F.col("_has_text") & F.col("label").isNotNull()
-        base = base.withColumn("combined_text", F.when(kept, F.col("combined_text")))
-    narrow = sentiment.score_sentiment(base, lexicon, "reviewID", "combined_text", carry=carry,
-                                       max_broadcast_rows=max_lexicon_broadcast_rows)
-    if checkpoint:
-        narrow = narrow.checkpoint(eager=True)
-    r = features.add_group_count(narrow, "reviewerID", "review_count")
+    prep.require_unique(scored, "reviewID")
+    r = prep.cast_verified(scored).withColumns({"verified": F.coalesce(F.col("verified").cast("int"), F.lit(0)),
+                                                "overall": F.coalesce("overall", F.lit(0.0))})
+    r = features.add_group_count(r, "reviewerID", "review_count")
     r = r.withColumnRenamed("asin", "productId")
     r = features.add_group_count(r, "productId", "productId_count")
     if train:
         r = prep.dedup_latest(r, ["reviewerID", "productId"])
-    r = prep.add_review_dates(r)
+    r = prep.add_review_dates(r).checkpoint(eager=True)
     r = features.product_features(r, deduplicated=train)
     if train:
         r = r.where(F.col("_has_text") & F.col("label").isNotNull())
-    texts = df.select("reviewID", text.clean_text(combined).alias("combined_text"))
-    return r.drop("_has_text").join(texts, on="reviewID", how="inner")
+    return r.drop("_has_text")
 
 
 def length_feature_rows(df: DataFrame) -> DataFrame:
@@ -67,30 +79,17 @@ def length_feature_rows(df: DataFrame) -> DataFrame:
     return prep.length_study(df).select("reviewID", "label", "reviewTot_length")
 
 
-def sentiment_study(df: DataFrame, lexicon: DataFrame, **context_kw) -> DataFrame:
+def sentiment_study(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame | None = None) -> DataFrame:
     """Sentiment-study rows (SA): (reviewID, label, scores, reviewTime, year,
-    month, day_of_week, age, reviewerID, asin) after dedup and null drop.
-
-    Scores are a per-row function of the text, so they are computed *before*
-    the dedup: tokens are exploded and partially aggregated in the task that
-    read the review, and only narrow rows (id, keys, three scores) reach the
-    aggregate and dedup shuffles - the review text is never shuffled. The dedup
-    then keeps the same survivor as when scoring after it.
-    """
-    derived = prep.review_text_columns(df)
-    # Rows the null drop will remove keep their place in the dedup but skip the
-    # token work (their scores are never used).
-    kept = F.col("_has_text") & F.col("label").isNotNull()
-    derived = derived.withColumn("reviewTot", F.when(kept, F.col("reviewTot")))
-    keys = ["reviewerID", "asin", "unixReviewTime", "label", "_has_text"]
-    scored = sentiment.score_sentiment(derived, lexicon, carry=keys, **context_kw)
-    return prep.dedup_then_require(scored)
+    month, day_of_week, age, reviewerID, asin) after dedup and null drop."""
+    return scored_study(score_texts(df, lexicon, modifiers))
 
 
-def sentiment_feature_rows(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Sentiment-study rows for the one-feature models (SA)."""
-    return sentiment_study(df, lexicon).select("reviewID", "label", "compound_score", "polarity_score",
-                                               "sentiment_score")
+def scored_study(scored: DataFrame) -> DataFrame:
+    """Sentiment-study rows of a table that went through ``score_texts``. The scores
+    are per row, so the dedup keeps the same survivor as when scoring after it."""
+    prep.require_unique(scored, "reviewID")
+    return prep.dedup_then_require(scored)
 
 
 def numeric_label(df: DataFrame, label: str = "label") -> DataFrame:

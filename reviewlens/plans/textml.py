@@ -1,10 +1,10 @@
 """ML stages of the model notebook (N1-N10): tokenizer, stop words, Word2Vec,
 assembler, min-max scaler, and the bigram / TF-IDF branch.
 
-``Word2Vec`` trains on ``num_partitions`` partitions (Spark's default is one,
-i.e. one task); its vocabulary, like ``StringIndexer``'s labels, is collected
-to the driver by Spark's implementation, so it is bounded by the number of
-distinct words, not by the number of reviews. Sentences longer than
+``Word2Vec`` trains on as many partitions as the session shuffles to (Spark's
+default is one, i.e. one task); its vocabulary and vectors (100 floats a word)
+are held by the driver in Spark's implementation, so it is bounded by the
+number of distinct words, not by the number of reviews. Sentences longer than
 ``maxSentenceLength`` are split into chunks, all words are used.
 """
 
@@ -20,10 +20,10 @@ from pyspark.ml.feature import (
     NGram,
     RegexTokenizer,
     StopWordsRemover,
-    StringIndexer,
     VectorAssembler,
     Word2Vec,
 )
+from pyspark.sql import SparkSession
 
 from reviewlens.functions.constants import (
     FEATURE_COLUMNS,
@@ -48,16 +48,17 @@ def stop_words(input_col: str = "words", output_col: str = "filtered") -> StopWo
 
 
 def word2vec(input_col: str = "filtered", output_col: str = "word2vec_features", seed: int = 47,
-             num_partitions: int = 8, vector_size: int = WORD2VEC_SIZE,
+             num_partitions: int | None = None, vector_size: int = WORD2VEC_SIZE,
              min_count: int = WORD2VEC_MIN_COUNT) -> Word2Vec:
     """Document vector = mean of word vectors."""
+    num_partitions = num_partitions or int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
     return Word2Vec(vectorSize=vector_size, minCount=min_count, inputCol=input_col, outputCol=output_col,
                     seed=seed, numPartitions=num_partitions)
 
 
 def assembler(input_cols: Sequence[str] = FEATURE_COLUMNS, output_col: str = "features_assembled") -> VectorAssembler:
-    """N9 / N10 (``handleInvalid='keep'``: a null input gives NaN instead of failing)."""
-    return VectorAssembler(inputCols=list(input_cols), outputCol=output_col, handleInvalid="keep")
+    """A null input is an error (the feature build leaves none)."""
+    return VectorAssembler(inputCols=list(input_cols), outputCol=output_col, handleInvalid="error")
 
 
 def scaler(input_col: str = "features_assembled", output_col: str = "features") -> MinMaxScaler:
@@ -65,7 +66,7 @@ def scaler(input_col: str = "features_assembled", output_col: str = "features")
     return MinMaxScaler(inputCol=input_col, outputCol=output_col)
 
 
-def text_feature_pipeline(seed: int = 47, num_partitions: int = 8) -> Pipeline:
+def text_feature_pipeline(seed: int = 47, num_partitions: int | None = None) -> Pipeline:
     """Model notebook's text + assembly pipeline, with the assembler put back
     in front of the scaler (the notebook left it commented out)."""
     return Pipeline(stages=[tokenizer(), stop_words(), word2vec(seed=seed, num_partitions=num_partitions),
@@ -88,8 +89,3 @@ def tfidf_stages(input_col: str = "filtered", vocab_size: int = TF_VOCAB_SIZE, m
             IDF(inputCol="rawFeatures", outputCol="idfFeatures", minDocFreq=min_doc_freq),
             MinMaxScaler(inputCol="idfFeatures", outputCol="scaled_idfFeatures")]
 
-
-def id_indexers() -> list:
-    """N8 (dormant in the notebook): reviewer and product ids to indices."""
-    return [StringIndexer(inputCol="reviewerID", outputCol="indexed_reviewerID", handleInvalid="keep"),
-            StringIndexer(inputCol="productId", outputCol="indexed_productId", handleInvalid="keep")]

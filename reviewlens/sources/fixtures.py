@@ -8,58 +8,76 @@ Two shapes (see FIXTURES.md):
 * ``reviews_from_lineitems`` - one review per line item, for relational
   operators at volume (joins, distinct counts, windows, dedup). No text.
 
-Both read only the columns they use, so the scans are pruned.
+Both read only the columns they use, so the scans are pruned. ``derive`` runs on
+the document side (reviewID, asin, reviewText, summary) before the joins: a
+query that needs lengths, flags or scores computes them there and drops the
+text, so that the joins shuffle narrow rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewlens.sources.tables import spread
+Derive = Callable[[DataFrame], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def _review_columns(d: DataFrame, o: DataFrame) -> list[Column]:
-    # Missing fields are simulated on a fixed rule of the document id so both
-    # engines produce the same nulls: every 97th text and every 7th summary.
-    # The summary is the document's first sentence (text up to the first '.').
-    return [
-        d["doc_id"].cast("string").alias("reviewID"),
-        o["o_custkey"].cast("string").alias("reviewerID"),
-        d["source"].alias("asin"),
-        F.when(d["doc_id"] % 97 == 0, F.lit(None).cast("string")).otherwise(d["text"]).alias("reviewText"),
-        F.when(d["doc_id"] % 7 == 0, F.lit(None).cast("string"))
-        .otherwise(F.split_part(d["text"], F.lit("."), F.lit(1)))
-        .alias("summary"),
-        (o["o_orderstatus"] == "F").alias("verified"),
-        F.substring(o["o_orderpriority"], 1, 1).cast("double").alias("overall"),
-        F.unix_timestamp(o["o_orderdate"]).alias("unixReviewTime"),
-    ]
+def _documents(spark: SparkSession, sf_dir: str, derive: Derive | None) -> DataFrame:
+    d = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").select(
+        F.col("doc_id").alias("_doc_id"), F.col("doc_id").cast("string").alias("reviewID"),
+        F.col("source").alias("asin"), F.col("text").alias("reviewText"),
+        F.concat_ws(" ", "lang", "source").alias("summary"))
+    return derive(d) if derive else d
 
 
-def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-table view of ``documents`` joined to ``orders`` and ``labels``."""
-    d = spread(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id")
+def _with_orders(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     o = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
                "o_orderpriority", "o_orderdate")
+    return d.join(o, F.col("_doc_id") == F.col("o_orderkey"), "inner")
+
+
+def _review_columns(d: DataFrame) -> list[Column]:
+    more = [c for c in d.columns if c not in ("_doc_id", "reviewID", "asin")]
+    return [
+        F.col("reviewID"),
+        F.col("o_custkey").cast("string").alias("reviewerID"),
+        F.col("asin"),
+        *[F.col(c) for c in more],
+        (F.col("o_orderstatus") == "F").alias("verified"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("overall"),
+        F.unix_timestamp("o_orderdate").alias("unixReviewTime"),
+    ]
+
+
+def reviews_from_documents(spark: SparkSession, sf_dir: str, derive: Derive | None = None,
+                           label: bool = True) -> DataFrame:
+    """Training-table view of ``documents`` joined to ``orders`` and, unless no
+    label is wanted, ``labels``."""
+    d = _documents(spark, sf_dir, derive)
+    joined = _with_orders(spark, sf_dir, d)
+    if not label:
+        return joined.select(*_review_columns(d))
     lab = _table(spark, sf_dir, "labels", "doc_id", "quality")
-    joined = d.join(o, d["doc_id"] == o["o_orderkey"], "inner")
-    joined = joined.join(lab, on="doc_id", how="left")
-    return joined.select(*_review_columns(d, o), F.col("quality").cast("int").alias("label"))
+    joined = joined.join(lab, F.col("_doc_id") == F.col("doc_id"), "left")
+    return joined.select(*_review_columns(d), F.col("quality").cast("int").alias("label"))
+
 
+def texts_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reviewID, reviewText, summary) straight from the document scan."""
+    return _documents(spark, sf_dir, None).select("reviewID", "reviewText", "summary")
 
-def scoring_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def scoring_from_documents(spark: SparkSession, sf_dir: str, derive: Derive | None = None) -> DataFrame:
     """Scoring-table view: documents that have no label row (left anti join)."""
-    d = spread(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id")
-    o = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-               "o_orderpriority", "o_orderdate")
     lab = _table(spark, sf_dir, "labels", "doc_id")
-    unlabelled = d.join(lab, on="doc_id", how="left_anti")
-    joined = unlabelled.join(o, unlabelled["doc_id"] == o["o_orderkey"], "inner")
-    return joined.select(*_review_columns(unlabelled, o))
+    d = _documents(spark, sf_dir, derive)
+    unlabelled = d.join(lab, F.col("_doc_id") == F.col("doc_id"), "left_anti")
+    return _with_orders(spark, sf_dir, unlabelled).select(*_review_columns(d))
 
 
 def reviews_from_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +86,7 @@ def reviews_from_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``reviewID`` (order key and line number) is not unique in the fixture, so
     queries over this view return keys and aggregates, never a survivor's id.
     """
-    li = spread(_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey",
-                       "l_quantity", "l_returnflag"), "l_orderkey")
+    li = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
     o = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner")
     return j.select(

@@ -32,21 +32,3 @@ def scan_scoring(spark: SparkSession, source: str, columns: Sequence[str] | None
     """The scoring table (no label is used)."""
     cols = columns or [c for c in REVIEW_COLUMNS if c != "label"]
     return read_table(spark, source, cols)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan by ``keys`` only when it has fewer partitions than
-    the cluster's default parallelism.
-
-    A parquet file with a single row group is read by one task, so every
-    per-row step after it (regex cleaning, tokenising, exploding) would run on
-    one core. Large inputs are split into many scan tasks and are left alone
-    (no extra shuffle). Hashing by the join key lets a following sort-merge
-    join on that key reuse the partitioning.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, target), *keys) if keys else df.repartition(max(n, target))

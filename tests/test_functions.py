@@ -103,13 +103,6 @@ def test_vector_element(spark):
     assert abs(df.select(vector_element("v", 1).alias("p")).first().p - 0.75) < 1e-7
 
 
-def test_spread_only_splits_under_partitioned_scans(spark):
-    from reviewlens.sources.tables import spread
-    one = spark.range(100).coalesce(1)
-    assert spread(one, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 2)
-    assert spread(many, "id") is many
-
 
 def test_checkpoint_dir_is_kept_when_set(spark):
     from reviewlens.session import checkpoint_dir

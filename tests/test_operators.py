@@ -40,9 +40,10 @@ def test_recency_order_matches_flat_window_with_hot_product(spark):
         .withColumn("reviewTime", F.to_date("d")).drop("d")
     flat = df.withColumn("expected", F.row_number().over(
         Window.partitionBy("productId").orderBy(F.desc("reviewTime"), F.md5("reviewID"), "reviewID")))
-    got = features.recency_order(flat)
-    assert got.where(F.col("reviewOrder") != F.col("expected")).count() == 0
-    assert got.count() == df.count()
+    for slice_rows in (1, 7, 1000):  # hot products cut into many slices, a few, none
+        got = features.recency_order(flat, slice_rows=slice_rows)
+        assert got.where(F.col("reviewOrder") != F.col("expected")).count() == 0
+        assert got.count() == df.count()
 
 
 def test_product_features_inner_drops_null_product(spark):
@@ -69,7 +70,8 @@ def _lexicon(spark):
 def test_sentiment_semantics(spark):
     docs = spark.createDataFrame([("a", "good"), ("b", "not good"), ("c", "very good"), ("d", "nothing here"),
                                   ("e", "not so very good"), ("f", "")], "reviewID string, reviewTot string")
-    got = {r.reviewID: r for r in sentiment.score_sentiment(docs, _lexicon(spark)).collect()}
+    scores = sentiment.sentiment_scores(docs, _lexicon(spark))
+    got = {r.reviewID: r for r in sentiment.add_sentiment(docs, scores).collect()}
     comp = lambda s: s / math.sqrt(s * s + 15)
     assert abs(got["a"].compound_score - comp(2.0)) < 1e-6
     assert abs(got["b"].compound_score - comp(-0.74 * 2.0)) < 1e-6
@@ -82,12 +84,93 @@ def test_sentiment_semantics(spark):
     assert len(got) == 6
 
 
-def test_sentiment_join_back_equals_carry_form(spark):
-    docs = spark.createDataFrame([("a", "good bad fine", 1), ("b", "zzz", 0)], "reviewID string, reviewTot string, label int")
-    a = sorted(sentiment.score_sentiment(docs, _lexicon(spark), carry=["label"]).collect())
-    b = sorted(sentiment.add_sentiment(docs, _lexicon(spark)).select(
-        "reviewID", "label", "compound_score", "polarity_score", "sentiment_score").collect())
-    assert a == b
+def _compound(spark, text, lexicon=None, **kw):
+    docs = spark.createDataFrame([("a", text)], "reviewID string, reviewTot string")
+    rows = sentiment.sentiment_scores(docs, lexicon or _lexicon(spark), **kw).collect()
+    return rows[0].compound_score if rows else 0.0
+
+
+def test_contractions_negate(spark):
+    plain = _compound(spark, "dont feel good")
+    assert plain < 0
+    for text in ("don't feel good", "don\u2019t feel good", "It isn't good", "I can't call it good"):
+        assert abs(_compound(spark, text) - plain) < 1e-6, text
+
+
+def test_modifiers_are_a_table(spark):
+    mods = spark.createDataFrame([("hyper", "boost", 1.0), ("hyper", "boost", 0.5), ("un", "negate", None)],
+                                 "token string, kind string, weight double")
+    comp = lambda s: s / math.sqrt(s * s + 15)
+    assert abs(_compound(spark, "hyper good", modifiers=mods) - comp(3.0)) < 1e-6
+    assert abs(_compound(spark, "un good", modifiers=mods) - comp(-0.74 * 2.0)) < 1e-6
+    assert abs(_compound(spark, "not good", modifiers=mods) - comp(2.0)) < 1e-6
+
+
+def test_repeated_lexicon_entries_count_once(spark):
+    twice = _lexicon(spark).union(_lexicon(spark))
+    assert _compound(spark, "good", twice) == _compound(spark, "good")
+
+
+def test_repeated_review_ids_are_refused(spark):
+    import pytest
+    from reviewlens.plans import studies
+    rows = [("a", "u", "p", "good", None, True, 1.0, 10, 1), ("a", "v", "p", "bad", None, True, 1.0, 11, 0)]
+    df = spark.createDataFrame(rows, "reviewID string, reviewerID string, asin string, reviewText string, summary string, "
+                                     "verified boolean, overall double, unixReviewTime long, label int")
+    with pytest.raises(ValueError, match="must be unique"):
+        studies.sentiment_study(df, _lexicon(spark))
+    with pytest.raises(ValueError, match="must be unique"):
+        studies.build_features(df, _lexicon(spark))
+
+
+def test_feature_build_with_nulls(spark):
+    from reviewlens.plans import studies, textml
+    rows = [("a", "u", "p", "good day", None, None, None, 10, 1), ("b", "v", "p", None, "x", True, 2.0, 11, 0),
+            ("c", "w", "q", "bad", "y", False, 3.0, 12, None), ("d", None, "q", "fine", "z", True, 4.0, 13, 1)]
+    df = spark.createDataFrame(rows, "reviewID string, reviewerID string, asin string, reviewText string, summary string, "
+                                     "verified boolean, overall double, unixReviewTime long, label int")
+    train = {r.reviewID: r for r in studies.build_features(df, _lexicon(spark)).collect()}
+    assert set(train) == {"a", "d"} and train["a"].overall == 0.0 and train["a"].verified == 0
+    score = {r.reviewID: r for r in studies.build_features(df.drop("label"), _lexicon(spark), "score").collect()}
+    assert set(score) == {"a", "b", "c", "d"} and score["b"].combined_text == "x"
+    import pytest
+    with pytest.raises(Exception, match="null"):
+        textml.assembler(["overall"], "v").transform(df.select("overall")).collect()
+
+
+def test_quality_report_and_row_counts_keep_null_keys(spark):
+    df = spark.createDataFrame([("u", "p"), (None, "p"), (None, "p"), ("u", None)], "a string, b string")
+    r = prep.quality_report(df, ["a", "b"], ["a"]).first()
+    kept = prep.dedup_latest(df.withColumns({"unixReviewTime": F.lit(1), "reviewID": F.lit("x")}), ["a", "b"]).count()
+    assert (r.rows, r.distinct_keys, r.null_a) == (4, 3, 2) and kept == 3
+    c = prep.dedup_row_counts(df, ["a", "b"]).first()
+    assert (c.rows_before, c.rows_after) == (4, 3)
+    assert prep.drop_columns(df, ["b", "nothing"]).columns == ["a"]
+
+
+def test_lemma_with_two_rows_adds_no_token(spark):
+    df = spark.createDataFrame([("d", ["cats", "run"])], "id string, toks array<string>")
+    lem = spark.createDataFrame([("cats", "catt"), ("cats", "cat")], "form string, lemma string")
+    assert tokens.lemmatize(df, lem, "id", "toks").first().lemmas == ["cat", "run"]
+
+
+def test_frequency_index_matches_a_flat_ranking(spark):
+    vals = ["b"] * 3 + ["a"] * 3 + ["zz"] * 5 + [f"v{i:03d}" for i in range(300)] + ["é", "", None, None]
+    df = spark.createDataFrame([(v,) for v in vals], "k string")
+    from collections import Counter
+    counts = Counter(v for v in vals if v is not None)
+    want = {v: i for i, (v, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0].encode())))}
+    assert {r.k: r["index"] for r in tokens.frequency_index(df, "k").collect()} == want
+
+
+def test_accuracy_counts_any_label_and_report_refuses_others(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 1), (2, 2), (0, 1), (None, 1)], "label int, prediction int")
+    assert abs(metrics.accuracy(df).first().accuracy - 2 / 3) < 1e-12
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        metrics.confusion_matrix(df).collect()
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        metrics.classification_report(df).collect()
 
 
 def test_lemmatize_and_mark_unknown_keep_order(spark):

@@ -56,8 +56,9 @@ def test_sentiment_independent_of_partitioning(spark, docs, parts):
                                 "token string, valence double, polarity double, subjectivity double")
     rows = [(f"d{i}", " ".join(w), i % 2) for i, w in enumerate(docs)]
     df = spark.createDataFrame(rows, "reviewID string, reviewTot string, label int")
-    a = sorted(sentiment.score_sentiment(df, lex, carry=["label"]).collect())
-    b = sorted(sentiment.score_sentiment(df.repartition(parts), lex, carry=["label"]).collect())
+    def scored(x):
+        return sorted(sentiment.add_sentiment(x.drop("reviewTot"), sentiment.sentiment_scores(x, lex)).collect())
+    a, b = scored(df), scored(df.repartition(parts))
     assert a == b and len(a) == len(rows)
 
 

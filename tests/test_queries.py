@@ -54,13 +54,8 @@ def test_ml_invariants(spark):
     assert sub and all(0.0 <= r.label <= 1.0 for r in sub)
     imp = qs["m15_feature_importances"](spark, SF_SMALL).collect()
     assert len(imp) == 112 and abs(sum(r.importance for r in imp) - 1.0) < 1e-4
-    m = qs["m6_main_model_metrics"](spark, SF_SMALL).first()
+    m = qs["m8_random_forest_metrics"](spark, SF_SMALL).first()
     assert 0.0 <= m.auc <= 1.0 and 0.0 <= m.accuracy <= 1.0
     vec = qs["n3_n9_n7_feature_vectors"](spark, SF_SMALL).collect()
     assert all(r.w2v_size == 100 and r.n_features == 112 for r in vec)
     assert all(0.0 <= r.min_scaled <= r.max_scaled <= 1.0 for r in vec)
-
-
-def test_stored_oracle_types_are_current():
-    from reviewlens.plans import catalog
-    assert catalog._stored_types() == catalog.oracle_output_types()
