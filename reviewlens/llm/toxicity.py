@@ -34,6 +34,7 @@ from reviewlens.llm.common import id_fold, labelled_sample, stored
 MAX_TRAIN_ROWS = 40_000
 MAX_ENTRIES = 5_000          # bound of the lexicon that is sent to the workers
 MAX_EXCEPTIONS = 5_000
+ENTRIES_AT_ONCE = 200_000    # candidates that a training task counts before it passes them on
 STEMS = (4, 5, 6)            # lengths of word beginnings that may be entries
 MIN_TEXTS = 3                # toxic training texts that must hold an entry
 MIN_WEIGHT = 2.0             # log odds that an entry must reach
@@ -135,15 +136,24 @@ def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
 def _found(sample: DataFrame, make) -> DataFrame:
     """``entry, pos, neg``: training texts with and without the label that hold each candidate."""
 
+    def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        pos, neg = zip(*counts.values()) if counts else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pos, pa.int64()),
+                                           pa.array(neg, pa.int64())], names=["entry", "pos", "neg"])
+
     def run(batches):
+        counts: dict[str, list[int]] = {}  # combined in the task, a bounded number at a time
         for batch in batches:
-            out = [(e, y) for text, y in zip(batch.column(0), batch.column(1).to_pylist())
-                   for e in make(fold(text.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in out], pa.string()),
-                                              pa.array([y for _, y in out], pa.int32())], names=["entry", "y"])
-
-    return (sample.select("text", F.col("y").cast("int")).mapInArrow(run, "entry string, y int")
-            .groupBy("entry").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
+                for entry in make(fold(text.as_py())):
+                    counts.setdefault(entry, [0, 0])[1 - y] += 1
+                if len(counts) >= ENTRIES_AT_ONCE:
+                    yield rows(counts)
+                    counts = {}
+        yield rows(counts)
+
+    return (sample.select("text", F.col("y").cast("int")).mapInArrow(run, "entry string, pos long, neg long")
+            .groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
 def phrases_of(weights: dict[str, float]):
