@@ -3,8 +3,8 @@
 Folding: lower case, compatibility decomposition without combining marks,
 look-alike letters of other alphabets and digits or signs that stand for
 letters, invisible characters dropped, the rest to single spaces. The lexicon holds
-whole folded words and word beginnings with their log odds among toxic and
-other training texts; exception phrases are neighbouring words around an entry
+whole folded words and word beginnings, weighted by a cautious estimate of their
+log odds among toxic and other training texts; exception phrases are neighbouring words around an entry
 that are mostly seen in texts without the label, and matches inside them do not
 count. A text's density is the weight matched per 100 words on a log scale; a
 logistic curve turns it into a score.
@@ -35,9 +35,10 @@ MAX_TRAIN_ROWS = 40_000
 MAX_ENTRIES = 5_000          # bound of the lexicon that is sent to the workers
 MAX_EXCEPTIONS = 5_000
 ENTRIES_AT_ONCE = 200_000    # candidates that a training task counts before it passes them on
-STEMS = (4, 5, 6)            # lengths of word beginnings that may be entries
+STEMS = (4, 5, 6, 7, 8)      # lengths of word beginnings that may be entries
 MIN_TEXTS = 3                # toxic training texts that must hold an entry
-MIN_WEIGHT = 2.0             # log odds that an entry must reach
+MIN_WEIGHT = 1.5             # weight that an entry must reach
+CAUTION = 1.64               # standard errors taken off the log odds: rare words need clearer evidence
 
 # Letters of other alphabets that look like Latin ones.
 LOOKALIKES = {
@@ -176,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     neg = n - pos
     if not pos or not neg:
         return ToxicModel({}, (), 0.0, 50.0 if pos else -50.0)
-    odds = (F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0)))
-    lexicon = (_found(sample, entries_of).filter(F.col("pos") >= MIN_TEXTS).withColumn("weight", odds)
-               .filter((F.col("weight") >= MIN_WEIGHT) & (F.col("pos") > 4 * F.col("neg")))
+    has, lacks = F.col("pos") + 0.5, F.col("neg") + 0.5
+    odds = F.log(has / (pos + 1.0)) - F.log(lacks / (neg + 1.0))
+    lexicon = (_found(sample, entries_of).filter(F.col("pos") >= MIN_TEXTS)
+               .withColumn("weight", odds - CAUTION * F.sqrt(1 / has + 1 / lacks)).filter(F.col("weight") >= MIN_WEIGHT)
                .orderBy(F.desc("weight"), F.desc("pos"), "entry").limit(MAX_ENTRIES))
     weights = {row.entry: row.weight for row in lexicon.collect()}
     excused = (_found(sample, phrases_of(weights)).filter((F.col("neg") >= 2) & (F.col("neg") > F.col("pos")))
