@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from conftest import SF_SMALL  # noqa: E402
+from conftest import SF_CHECK, SF_SMALL  # noqa: E402
 
 
 def test_entry_runs(spark):
@@ -47,15 +47,60 @@ def test_oracle_matches(spark, name):
     assert OC.canon(srows, sdf.columns) == OC.canon(drows, dcols)
 
 
-def test_ml_invariants(spark):
-    import __spark_entry__ as E
-    qs = E.queries()
-    sub = qs["m17_m18_submission"](spark, SF_SMALL).collect()
-    assert sub and all(0.0 <= r.label <= 1.0 for r in sub)
-    imp = qs["m15_feature_importances"](spark, SF_SMALL).collect()
-    assert len(imp) == 112 and abs(sum(r.importance for r in imp) - 1.0) < 1e-4
-    m = qs["m8_random_forest_metrics"](spark, SF_SMALL).first()
-    assert 0.0 <= m.auc <= 1.0 and 0.0 <= m.accuracy <= 1.0
-    vec = qs["n3_n9_n7_feature_vectors"](spark, SF_SMALL).collect()
-    assert all(r.w2v_size == 100 and r.n_features == 112 for r in vec)
-    assert all(0.0 <= r.min_scaled <= r.max_scaled <= 1.0 for r in vec)
+def _unit(x):
+    return x is not None and 0.0 <= x <= 1.0
+
+
+def _metrics(rows):
+    return len(rows) == 1 and all(_unit(rows[0][c]) for c in ("auc", "area_under_pr", "accuracy", "weighted_precision", "weighted_recall"))
+
+
+def _listing(feature):
+    return lambda rows: rows and all(r.label in (0.0, 1.0) and r.prediction in (0, 1) and _unit(r.probability)
+                                     and r.prediction == int(r.probability > 0.5) and r[feature] is not None for r in rows)
+
+
+# What must hold for each query without SQL; the scale factor is 0.01 where 0.001 has too few rows.
+INVARIANTS = {
+    "m4_lr_length_predictions": _listing("reviewTot_length"),
+    "m4_lr_compound_predictions": _listing("compound_score"),
+    "m4_lr_polarity_predictions": _listing("polarity_score"),
+    "m4_lr_subjectivity_predictions": _listing("sentiment_score"),
+    "m4_one_feature_model_metrics": lambda rows: len(rows) == 4 and all(
+        _unit(r.auc) and _unit(r.area_under_pr) and _unit(r.accuracy) for r in rows),
+    "m1_random_split_counts": lambda rows: sum(r.rows for r in rows) == 87 and {r.part for r in rows} == {"train", "test"},
+    "n3_n9_n7_feature_vectors": lambda rows: rows and all(
+        r.w2v_size == 100 and r.n_features == 112 and 0.0 <= r.min_scaled <= r.max_scaled <= 1.0 for r in rows),
+    "a11_prediction_counts": lambda rows: rows and all(r.prediction in (0, 1) and r["count"] > 0 for r in rows),
+    "m15_feature_importances": lambda rows: len(rows) == 112 and abs(sum(r.importance for r in rows) - 1.0) < 1e-4
+    and {"overall", "verified", "combined_text_length"} <= {r.feature for r in rows},
+    "o3_top20_feature_importances": lambda rows: len(rows) == 20 and [r.importance for r in rows] == sorted(
+        (r.importance for r in rows), reverse=True),
+    "m17_m18_submission": lambda rows: len(rows) == 113 == len({r.reviewID for r in rows}) and all(_unit(r.label) for r in rows),
+    "s5_s6_submission_csv_round_trip": lambda rows: len(rows) == 113 and all(_unit(r.label) for r in rows),
+    "o4_prediction_preview": lambda rows: len(rows) == 5 and [r.combined_text_length for r in rows] == sorted(
+        r.combined_text_length for r in rows),
+    "m7_logistic_full_metrics": _metrics,
+    "m8_random_forest_metrics": _metrics,
+    "m9_perceptron_metrics": _metrics,
+    "m10_cross_validated_logistic": lambda rows: len(rows) == 27 and sum(r.best for r in rows) == 1 and all(
+        r.cv_auc <= max(x.cv_auc for x in rows if x.best) and (r.holdout_auc is not None) == r.best for r in rows),
+    "m5_bigram_gbt_importances": lambda rows: rows and all(len(r.feature.split()) == 2 for r in rows)
+    and [r["index"] for r in rows] == list(range(len(rows))),
+    "m19_class_weighted_forest_metrics": _metrics,
+    "n5_n6_n7_tfidf_vectors": lambda rows: len(rows) == 200 and all(
+        0 <= r.nonzero_terms <= r.vocab_size and _unit(r.max_scaled) for r in rows),
+    "s3_bernoulli_sample": lambda rows: 100 < len(rows) < 180 and len({r.reviewID for r in rows}) == len(rows),
+}
+
+
+def test_every_query_has_sql_or_an_invariant():
+    from reviewlens.plans import catalog
+    assert set(catalog.queries()) == set(catalog.oracle_sql()) | set(INVARIANTS)
+
+
+@pytest.mark.parametrize("name", sorted(INVARIANTS))
+def test_invariants(spark, name):
+    from reviewlens.plans import catalog
+    sf = SF_CHECK if name == "m5_bigram_gbt_importances" else SF_SMALL
+    assert INVARIANTS[name](catalog.queries()[name](spark, sf).collect())
