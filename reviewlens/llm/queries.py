@@ -99,4 +99,38 @@ QUERIES = {f.__name__: f for f in (
     op1_token_blocks, op2_toxic_lexicon, op3_cross_polytope, op4_paragraph_sketch, op5_poisson_mix, op6_quality_rules,
     op7_two_pass_shards, op8_tree_scoring, op9_rank_queue_bpe, op10_simhash_trees)}
 
-ORACLE_SQL: dict[str, str] = {}
+# Weights, seed and step are written out apart from the code above.
+POISSON_MIX_SQL = """
+with recursive counted as (
+  select source, count(*) as n,
+         case source when 'src1' then 2.0::double when 'src2' then 1.5::double else 1.0::double end as weight
+  from documents group by source
+),
+rate as (
+  select source, (select sum(n) from counted)::double * weight / (select sum(weight) from counted) / n as mean from counted
+),
+step as (
+  select source, greatest(ceil(mean / 32), 1)::integer as steps, mean / greatest(ceil(mean / 32), 1) as m from rate
+),
+cdf as (
+  select source, m, 0 as k, exp(-m) as p, exp(-m) as c, floor(m + 12 * sqrt(m) + 20)::integer as last from step
+  union all
+  select source, m, k + 1, p * m / (k + 1), c + p * m / (k + 1), last from cdf where k < last
+),
+draw as (
+  select d.doc_id, d.source, j,
+         ('0x' || substring(md5('42/' || d.doc_id || '/' || j), 1, 13))::bigint::double / 4503599627370496 as u
+  from documents d join step s on d.source is not distinct from s.source, unnest(range(1, s.steps + 1)) as t(j)
+),
+part as (
+  select w.doc_id, w.j, coalesce(min(c.k) filter (where c.c > w.u), max(c.k)) as k
+  from draw w join cdf c on w.source is not distinct from c.source group by w.doc_id, w.j
+),
+total as (select doc_id, sum(k)::integer as copies from part group by doc_id)
+select d.doc_id, d.text, d.lang, d.source, d.n_chars, r::integer as replica, md5('order-42/' || d.doc_id || '/' || r) as mix_key
+from documents d join total t on d.doc_id = t.doc_id, unnest(range(0, t.copies)) as x(r)
+"""
+
+# The other operators train, hash with XXH64, permute with a generator or merge in loops,
+# which SQL does not express; tests hold them against brute-force versions.
+ORACLE_SQL = {"op5_poisson_mix": POISSON_MIX_SQL}
