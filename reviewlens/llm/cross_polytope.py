@@ -136,7 +136,7 @@ def search(queries: DataFrame, index: DataFrame, k: int, tables: int, probes: in
             .select("rep", "near", "score"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, probes: int = 32, seed: int = 7,
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, probes: int = 40, seed: int = 7,
             id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found; ``is_query`` is a condition on column ``id``."""
     spark = vectors.sparkSession
