@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, trees: in
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component; rows without an id stay out
-    if their component has one. All columns are kept."""
+    """Rows of ``docs`` without those whose component has a smaller id. Rows without
+    an id cannot be named and stay, as do rows that repeat a kept id. All columns are kept."""
     found = near_duplicates(docs, **parameters)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
