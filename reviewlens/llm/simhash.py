@@ -1,16 +1,20 @@
 """SimHash near-duplicates found through vantage-point trees.
 
-Fingerprints within ``max_bits`` are searched in a forest: the 64 bits are cut
-into ``trees`` blocks, and by the pigeonhole principle two such fingerprints
-differ in at most ``radius = max_bits // trees`` bits of some block. One
-vantage-point tree for each block parts the fingerprints by the Hamming
-distance of that block: all nodes of a level share a vantage point ``v`` and a
-fingerprint goes to the inner side if ``d(x, v) <= r``. By the triangle
-inequality a partner lies within ``radius`` of that distance, so a branch is
-pruned unless the searched shell ``d - radius .. d + radius`` reaches over
-``r``; a fingerprint near a boundary is also sent to the shard on the other side.
-(Over all 64 bits distances crowd at 32 +- 4: a search of radius 4 would visit
-both sides of two nodes in three. Blocks keep the radius at 0 by default.)
+Fingerprints within ``max_bits`` are searched in a forest over ``blocks`` cuts of
+the 64 bits. With more blocks than ``max_bits``, two such fingerprints agree on at
+least ``blocks - max_bits`` blocks, so there is one tree for each choice of so many
+blocks, searched with radius 0; with fewer blocks there is one tree a block,
+searched with radius ``max_bits // blocks`` (pigeonhole principle). A vantage-point
+tree parts the fingerprints by the Hamming distance of its blocks: all nodes of a
+level share a vantage point ``v`` and a fingerprint goes to the inner side if
+``d(x, v) <= r``. By the triangle inequality a partner lies within the radius of
+that distance, so a branch is pruned unless the shell ``d - radius .. d + radius``
+reaches over ``r``; a fingerprint near a boundary also goes to the shard across it.
+
+Over all 64 bits distances crowd at 32 +- 4: a search of radius 4 would visit
+both sides of two nodes in three and compare a third of all pairs. Five blocks
+give 5 trees of 12 or 13 bits, good for up to some 10**8 different fingerprints;
+beyond, 6 blocks give 15 trees of 21 bits and 7 blocks 35 trees of 27.
 
 Inside a shard whole distances are compared and each fingerprint is tied to the
 smallest one it reaches there: as many links as members, never all pairs.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -76,10 +81,13 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
             .mapInArrow(run, "doc_id long, fp long"))
 
 
-def blocks(trees: int) -> list[tuple[int, int]]:
-    """(shift, bits) of each block of the fingerprint."""
-    cuts = [64 * i // trees for i in range(trees + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def forest(blocks: int, max_bits: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """(shift, bits) of the blocks of each tree, and the search radius."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    if blocks <= max_bits:
+        return [[part] for part in parts], max_bits // blocks
+    return [list(chosen) for chosen in combinations(parts, blocks - max_bits)], 0
 
 
 def _both(searched: Column, sides: Column) -> Column:
@@ -87,28 +95,28 @@ def _both(searched: Column, sides: Column) -> Column:
     return F.flatten(F.transform(searched, lambda s: F.transform(sides, lambda side: s * 2 + side)))
 
 
-def shard_of(fp: Column, shift: int, bits: int, levels: int, radius: int, seed: int) -> tuple[Column, Column]:
-    """(home shard, all shards to search) in the tree of one block, level by level.
+def shards_of(fp: Column, parts: list[tuple[int, int]], levels: int, radius: int, seed: int) -> Column:
+    """Shards in which the tree of these blocks searches: the home shard and those across near boundaries.
 
-    A level's vantage point is a seeded random block value and its boundary the
-    median distance of random blocks.
+    A level's vantage point is a seeded random value of the blocks and its
+    boundary the median distance of random values.
     """
-    draw = random.Random(f"{seed}-{shift}")
     signed = lambda x: x - (1 << 64) if x >> 63 else x  # noqa: E731  as a Spark long
-    own = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(signed((1 << bits) - 1)))
-    home, searched = F.lit(0), F.array(F.lit(0))
-    boundary = bits // 2
+    draw = random.Random(f"{seed}-{parts}")
+    mask = sum(((1 << bits) - 1) << shift for shift, bits in parts)
+    boundary = sum(bits for _, bits in parts) // 2
+    searched = F.array(F.lit(0)) if radius else F.lit(0)
     for _ in range(levels):
-        d = F.bit_count(own.bitwiseXOR(F.lit(signed(draw.getrandbits(bits)))))
-        home = home * 2 + (d > boundary).cast("int")
-        inner, outer = d - radius <= boundary, d + radius > boundary
+        vantage = draw.getrandbits(64) & mask
+        d = F.bit_count(fp.bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.lit(signed(vantage))))
         if radius:
+            inner, outer = d - radius <= boundary, d + radius > boundary
             sides = F.when(inner & outer, F.array(F.lit(0), F.lit(1))).when(outer, F.array(F.lit(1))).otherwise(
                 F.array(F.lit(0)))
             searched = _both(searched, sides)
         else:
-            searched = F.array(home)
-    return home, searched
+            searched = searched * 2 + (d > boundary).cast("int")
+    return searched if radius else F.array(searched)
 
 
 def reachable(fps: np.ndarray, max_bits: int) -> np.ndarray:
@@ -131,14 +139,12 @@ def reachable(fps: np.ndarray, max_bits: int) -> np.ndarray:
     return root
 
 
-def links(distinct: DataFrame, max_bits: int, trees: int, levels: int, seed: int = SEED) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int, blocks: int, levels: int, seed: int = SEED) -> DataFrame:
     """``a, b`` (fingerprints, a > b): in every shard each member tied to the smallest it reaches."""
-    radius = max_bits // trees
-    tree = []
-    for number, (shift, bits) in enumerate(blocks(trees)):
-        home, searched = shard_of(F.col("fp"), shift, bits, levels, radius, seed)
-        tree.append(F.struct(F.lit(number).alias("tree"), searched.alias("shards")))
-    dealt = (distinct.select("fp", F.explode(F.array(*tree)).alias("t"))
+    trees, radius = forest(blocks, max_bits)
+    searched = [F.struct(F.lit(number).alias("tree"), shards_of(F.col("fp"), parts, levels, radius, seed).alias("shards"))
+                for number, parts in enumerate(trees)]
+    dealt = (distinct.select("fp", F.explode(F.array(*searched)).alias("t"))
              .select("fp", F.col("t.tree").alias("tree"), F.explode("t.shards").alias("shard")))
     parts = (dealt.groupBy("tree", "shard").count()
              .filter(F.col("count") > SHARD_ROWS)
@@ -189,12 +195,12 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, trees: int = 5, levels: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, blocks: int = 5, levels: int = 12) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest doc id reachable by links of up to ``max_bits`` bits."""
     spark = prepare(docs.sparkSession)
     own = stored(spark, fingerprints(docs, size), "simhash")
     by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(by_fp.select("fp"), max_bits, trees, levels))
+    roots = components(links(by_fp.select("fp"), max_bits, blocks, levels))
     named = by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id").checkpoint()

@@ -62,10 +62,10 @@ def test_simhash_odd_rows(spark, make):
     assert sh.near_duplicates(make([])).count() == 0
 
 
-@pytest.mark.parametrize("trees,levels", [(5, 12), (3, 4), (2, 3), (1, 3)])
-def test_every_forest_finds_every_link(spark, trees, levels):
+@pytest.mark.parametrize("blocks,levels", [(5, 12), (6, 14), (3, 4), (2, 3), (1, 3)])
+def test_every_forest_finds_every_link(spark, blocks, levels):
     """Chains of near fingerprints, boundary cases included, for radius 0, 1, 2 and 4."""
-    rng = np.random.default_rng(trees)
+    rng = np.random.default_rng(blocks)
     fps = set()
     for _ in range(40):
         x = int(rng.integers(0, 2**63))
@@ -84,7 +84,7 @@ def test_every_forest_finds_every_link(spark, trees, levels):
             seen.update(near)
             todo.extend(near)
         want[x] = min(seen)
-    edges = sh.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, trees, levels)
+    edges = sh.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, blocks, levels)
     got = {r.fp: r.root for r in sh.components(edges).collect()}
     assert {x: got.get(x, x) for x in signed} == want
 
