@@ -70,6 +70,13 @@ MAIN_MODEL = {
     "max_iter": 2000,
     "feature_fraction": 0.85,
 }
+# The other models' settings, where they differ from the library defaults.
+BIGRAM_MODEL = {"max_iter": 10, "vocab_size": 10000, "min_df": 50, "max_df": 0.40}
+LOGISTIC_MODEL = {"maxIter": 20, "regParam": 0.1, "elasticNetParam": 0.0}
+PERCEPTRON_MODEL = {"hidden": [2], "classes": 2, "maxIter": 10, "blockSize": 128}
+LOGISTIC_GRID = {"maxIter": [10, 20, 30], "regParam": [0.1, 0.01, 0.001], "elasticNetParam": [0.0, 0.1, 0.2]}
+GRID_FOLDS = 3
+
 SPLIT_SEED = 47
 SPLIT_WEIGHTS = [0.8, 0.2]
 

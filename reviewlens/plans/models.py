@@ -23,7 +23,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from reviewlens.functions.constants import MAIN_MODEL, SPLIT_SEED, SPLIT_WEIGHTS
+from reviewlens.functions.constants import (
+    BIGRAM_MODEL, GRID_FOLDS, LOGISTIC_GRID, LOGISTIC_MODEL, MAIN_MODEL, PERCEPTRON_MODEL, SPLIT_SEED, SPLIT_WEIGHTS,
+)
 from reviewlens.functions.vectors import vector_element
 from reviewlens.plans import textml
 from reviewlens.sources.files import rows_to_frame
@@ -53,8 +55,9 @@ def main_gbt(max_iter: int = MAIN_MODEL["max_iter"], step_size: float = MAIN_MOD
     return GBTClassifier(**kw)
 
 
-def bigram_gbt(max_iter: int = 10, seed: int = SPLIT_SEED, vocab_size: int = 10000,
-               min_df: float = 50, max_df: float = 0.40) -> Pipeline:
+def bigram_gbt(max_iter: int = BIGRAM_MODEL["max_iter"], seed: int = SPLIT_SEED,
+               vocab_size: int = BIGRAM_MODEL["vocab_size"], min_df: float = BIGRAM_MODEL["min_df"],
+               max_df: float = BIGRAM_MODEL["max_df"]) -> Pipeline:
     """M5: tokens -> stop words -> bigrams -> counts -> boosted trees (10 rounds)."""
     stages = [textml.tokenizer(), textml.stop_words(),
               *textml.bigram_count_stages(vocab_size=vocab_size, min_df=min_df, max_df=max_df),
@@ -64,8 +67,7 @@ def bigram_gbt(max_iter: int = 10, seed: int = SPLIT_SEED, vocab_size: int = 100
 
 def logistic_full() -> LogisticRegression:
     """M7: logistic regression on the full feature vector."""
-    return LogisticRegression(featuresCol="features", labelCol="label", maxIter=20, regParam=0.1,
-                              elasticNetParam=0.0)
+    return LogisticRegression(featuresCol="features", labelCol="label", **LOGISTIC_MODEL)
 
 
 def random_forest(seed: int = SPLIT_SEED, weight_col: str | None = None) -> RandomForestClassifier:
@@ -78,20 +80,21 @@ def perceptron(n_features: int, seed: int = SPLIT_SEED) -> MultilayerPerceptronC
     """M9: the notebook's [2, 2, 2] layers with the input layer set to the
     feature-vector size (the first layer must equal it)."""
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
-                                          layers=[n_features, 2, 2], maxIter=10, blockSize=128, seed=seed)
+                                          layers=[n_features, *PERCEPTRON_MODEL["hidden"], PERCEPTRON_MODEL["classes"]],
+                                          maxIter=PERCEPTRON_MODEL["maxIter"], blockSize=PERCEPTRON_MODEL["blockSize"], seed=seed)
 
 
 def cross_validated_logistic(parallelism: int = 4, seed: int = SPLIT_SEED) -> CrossValidator:
     """27-point grid x 3 folds, area under ROC."""
     lr = LogisticRegression(featuresCol="features", labelCol="label")
     grid = (ParamGridBuilder()
-            .addGrid(lr.maxIter, [10, 20, 30])
-            .addGrid(lr.regParam, [0.1, 0.01, 0.001])
-            .addGrid(lr.elasticNetParam, [0.0, 0.1, 0.2])
+            .addGrid(lr.maxIter, LOGISTIC_GRID["maxIter"])
+            .addGrid(lr.regParam, LOGISTIC_GRID["regParam"])
+            .addGrid(lr.elasticNetParam, LOGISTIC_GRID["elasticNetParam"])
             .build())
     return CrossValidator(estimator=lr, estimatorParamMaps=grid,
                           evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0),
-                          numFolds=3, parallelism=parallelism, seed=seed)
+                          numFolds=GRID_FOLDS, parallelism=parallelism, seed=seed)
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:

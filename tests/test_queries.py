@@ -104,3 +104,19 @@ def test_invariants(spark, name):
     from reviewlens.plans import catalog
     sf = SF_CHECK if name == "m5_bigram_gbt_importances" else SF_SMALL
     assert INVARIANTS[name](catalog.queries()[name](spark, sf).collect())
+
+
+def test_main_model_fits_scores_and_reports(spark):
+    """M6 end to end on whole-table functions; two rounds stand for the default of 2000."""
+    from reviewlens.functions.constants import MAIN_MODEL
+    from reviewlens.plans import models, scoring, studies
+    from reviewlens.plans.queries_text import benchmark_lexicon
+    from reviewlens.sources import reviews_from_documents, scoring_from_documents
+    lexicon = benchmark_lexicon(spark, SF_SMALL)
+    vectors, trees = scoring.train_main_model(reviews_from_documents(spark, SF_SMALL), lexicon, max_iter=2)
+    assert trees.getNumTrees == 2 and models.main_gbt().getMaxIter() == MAIN_MODEL["max_iter"] == 2000
+    report = scoring.holdout_metrics(trees.transform(vectors.holdout)).first()
+    assert 0.0 <= report.auc <= 1.0 and 0.0 <= report.accuracy <= 1.0
+    unseen = studies.build_features(scoring_from_documents(spark, SF_SMALL), lexicon, "score")
+    rows = scoring.submission(scoring.score_table(vectors.text_model, trees, unseen)).collect()
+    assert len(rows) == 113 and all(0.0 <= r.label <= 1.0 for r in rows)
