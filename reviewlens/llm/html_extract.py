@@ -43,11 +43,17 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
              "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section main div body html td th blockquote aside nav form footer header".split())
 
-# Words in class, id or role that name parts beside the article.
-BESIDE = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|comment\w*|disqus|
-    replies|respond|sidebar|side|widget|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|cookie\w*|
-    consent|gdpr|notice|popup|modal|overlay|breadcrumb\w*|menu|navbar|nav|navigation|pagination|pager|toolbar|footer|
-    masthead|header|topbar|skip|complementary|contentinfo|search|alert)(?=$|[\s_-])""", re.I | re.X)
+# Words in class, id or role that name parts beside the article
+# ("has-sidebar" and the like describe a layout and do not count).
+_WORD = r"(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)(?:^|[\s_-])(?:%s)(?=$|[\s_-])"
+BESIDE = re.compile(_WORD % (
+    r"ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|comment\w*|disqus|replies|respond|sidebar|side|widget|related|"
+    r"recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice|popup|modal|overlay|"
+    r"breadcrumb\w*|menu|navbar|nav|navigation|pagination|pager|toolbar|footer|skip|complementary|contentinfo|search|alert"), re.I)
+# These head the page unless they stand inside an article, where they hold its headline.
+HEADS_PAGE = re.compile(_WORD % "header|masthead|topbar|banner", re.I)
+# An article element may itself be a reader's comment or a teaser.
+ASIDE_ARTICLE = re.compile(_WORD % r"comment\w*|reply|replies|teaser|promo\w*|related|sponsor\w*", re.I)
 
 
 class Node:
@@ -59,6 +65,14 @@ class Node:
         self.score, self.chars, self.link_chars = 0.0, 0, 0
 
 
+def in_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
 class Builder(HTMLParser):
     """Tree of a page. An end tag closes the nearest open element of its name;
     block elements close an open paragraph, as in browsers."""
@@ -87,12 +101,18 @@ class Builder(HTMLParser):
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true")
                      or (k == "style" and re.search(r"display\s*:\s*none", v or "", re.I)) for k, v in attrs)
-        node = Node(tag, self.at, hidden or bool(named and tag not in ("html", "body", "article", "main")
-                                                 and BESIDE.search(named)))
+        node = Node(tag, self.at, hidden or bool(named and self.named_beside(tag, named)))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
 
+    def named_beside(self, tag: str, named: str) -> bool:
+        if tag in ("html", "body", "main"):
+            return False
+        if tag == "article":
+            return bool(ASIDE_ARTICLE.search(named))
+        return bool(BESIDE.search(named) or (HEADS_PAGE.search(named) and not in_article(self.at)))
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -114,14 +134,7 @@ def skipped(node: Node) -> bool:
     """Left out with all below it. A header inside an article holds its headline and stays."""
     if node.beside or node.tag in SKIPPED:
         return True
-    if node.tag == "header":
-        up = node.parent
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return False
-            up = up.parent
-        return True
-    return False
+    return node.tag == "header" and not in_article(node.parent)
 
 
 def text_of(node: Node) -> str:

@@ -154,6 +154,14 @@ def test_article_without_its_surroundings(box):
     assert hx.main_text(page + "</body></html>") == WANT
 
 
+def test_layout_classes_and_comment_articles():
+    page = ("<body class='has-sidebar'><div class='masthead'>Site</div><div class='content no-sidebar'><article class='post'>"
+            "<div class='post-header'><h1>Head</h1></div><p>Some text, long enough, with commas, to be the article of this page."
+            "<div class='share-buttons'>Share this, now</div></article></div>"
+            "<div class='thread'><article class='comment'><p>I, too, have, many, commas, and, words, to, say, here.</p></article></div>")
+    assert hx.main_text(page) == "Head\n\nSome text, long enough, with commas, to be the article of this page."
+
+
 def test_odd_html():
     assert hx.main_text(None) == hx.main_text("") == hx.main_text("<p></p>") == hx.main_text("<script>x</script>") == ""
     assert hx.main_text("just text") == "just text"
