@@ -19,7 +19,6 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -29,16 +28,25 @@ from reviewlens.llm.pretokens import pieces, unmarked
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 OUTPUT_IDS = OUTPUT + ", ids binary"
-CACHE_ENTRIES = 500_000  # pieces and pre-tokens that one worker remembers, of up to 64 characters
+REMEMBERED = 1_000_000  # pieces that one worker remembers with their ids (up to 200 MB)
+LONGEST_REMEMBERED = 64
+ROWS_AT_ONCE = 500      # rows whose ids a task holds before it passes them on
 
 
-def remember(cache: dict[str, bytes], key: str, ids: bytes) -> None:
-    """Keep ids for later; a full cache first forgets its older half."""
-    if len(cache) >= CACHE_ENTRIES:
-        for old in list(islice(cache, CACHE_ENTRIES // 2)):
-            del cache[old]
-    if len(key) <= 64:
-        cache[key] = ids
+class Recent:
+    """Ids of short texts met lately, in two generations: when the young one
+    fills half of the limit it becomes the old one, and what is used from there moves back."""
+
+    def __init__(self, limit: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = max(1, limit // 2)
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[key] = ids
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -68,8 +76,9 @@ class Encoder:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.queue = RankQueue(len(self.tokens))
-        self.by_piece: dict[str, bytes] = {}
-        self.by_word: dict[str, bytes] = {}
+        self.by_piece = Recent(REMEMBERED)
+        self.by_word = Recent(REMEMBERED // 8)  # pre-tokens of other pieces
+        self.marks = {mark: self._word(mark) for mark in ".,"}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -129,15 +138,29 @@ class Encoder:
         return out
 
     def _word(self, word: str) -> bytes:
-        ids = self.by_word.get(word)
+        ids = self.by_word.young.get(word)
         if ids is None:
-            ids = array("I", self.merge(word.encode())).tobytes()
-            remember(self.by_word, word, ids)
+            ids = self.by_word.old.get(word) or array("I", self.merge(word.encode())).tobytes()
+            self.by_word.put(word, ids)
         return ids
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._word, self.pattern.findall(text)))
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation lacks. A piece of letters is one
+        pre-token; a mark behind letters is a pre-token of its own."""
+        ids = self.by_piece.old.get(piece)
+        if ids is None:
+            if piece.isalpha():
+                ids = array("I", self.merge(b" " + piece.encode())).tobytes()
+            elif piece[-1:] in self.marks and piece[:-1].isalpha():
+                ids = (self.by_piece.young.get(piece[:-1]) or self._piece(piece[:-1])) + self.marks[piece[-1]]
+            else:
+                ids = self._plain(unmarked(piece))
+        self.by_piece.put(piece, ids)
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -145,12 +168,11 @@ class Encoder:
         cut = pieces(text)
         if cut is None:
             return self._plain(text)
-        found = list(map(self.by_piece.get, cut))
+        found = list(map(self.by_piece.young.get, cut))
         i = -1
         for _ in range(found.count(None)):
             i = found.index(None, i + 1)
-            found[i] = self._plain(unmarked(cut[i]))
-            remember(self.by_piece, cut[i], found[i])
+            found[i] = self.by_piece.young.get(cut[i]) or self._piece(cut[i])
         return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
@@ -179,7 +201,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(blob.value, pattern)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             counts, digests, decoded, kept = [], [], [], []
             for text in batch.column(1):
                 ids = encoder.encode(text.as_py() or "")
