@@ -34,20 +34,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from reviewlens.llm.bpe import remember
+from reviewlens.llm.bpe import Recent
 from reviewlens.llm.pretokens import pieces, unmarked
 
 MAGIC, BLOCK = b"PFR1", 128
 PERCENTILES = (50, 75, 90, 97, 100)
-TOKENS_PER_FILE = 4_000_000  # a file ends with the document that reaches this many
+TOKENS_PER_FILE = 2_000_000  # a file ends with the document that reaches this many
+CHARS_AT_ONCE = 1_000_000
+REMEMBERED = 2_000_000       # pieces that one worker remembers with their ids (up to 350 MB)
 HEAD = struct.Struct("<4sIQQQ")
 MANIFEST = "file string, tokens long, documents long"
 OUTPUT = "file string, doc_id long, first long, n_tokens long, ids_crc32 long"
 
 
+_HALF = np.zeros(1 << 16, np.uint8)  # bit lengths of 16-bit numbers
+for _bits in range(16):
+    _HALF[1 << _bits:2 << _bits] = _bits + 1
+
+
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs (0 for 0)."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    """Bits that each unsigned 32-bit value needs (0 for 0)."""
+    if not values.size or values.max() < 1 << 16:
+        return _HALF[values]
+    high = values >> 16
+    return np.where(high > 0, 16 + _HALF[high], _HALF[values & 0xFFFF]).astype(np.uint8)
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,31 +96,42 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     rows = padded.reshape(n_blocks, BLOCK)
     low = rows.min(axis=1)
     gaps = rows - low[:, None]
-    ordered = np.sort(gaps, axis=1)
-    most = bit_lengths(ordered[:, -1])
+    needed = np.sort(bit_lengths(gaps), axis=1)
+    most = needed[:, -1].astype(np.int64)
     best = np.full(n_blocks, np.iinfo(np.int64).max)
     widths = np.zeros(n_blocks, np.int64)
     for p in PERCENTILES:
-        width = bit_lengths(ordered[:, (BLOCK - 1) * p // 100])
-        over = (gaps >> width[:, None].astype(np.uint32) != 0).sum(axis=1)
-        size = 16 * width + over * np.where(most - width > 16, 5, 3)
+        width = needed[:, (BLOCK - 1) * p // 100]  # bit length of the percentile: lengths keep the order
+        over = (needed > width[:, None]).sum(axis=1)
+        size = 16 * width.astype(np.int64) + over * np.where(most - width > 16, 5, 3)
         better = size < best
         best, widths = np.where(better, size, best), np.where(better, width, widths)
     body: list[bytes] = [b""] * n_blocks
-    for width in np.unique(widths):
+    for width in np.unique(widths).tolist():
         at = np.flatnonzero(widths == width)
         own = gaps[at]
+        block = np.zeros((len(at), 6 + 16 * width), np.uint8)
+        block[:, :4] = low[at].astype("<u4").view(np.uint8).reshape(-1, 4)
+        block[:, 4] = width
+        if width:
+            block[:, 6:] = pack(own & np.uint32((1 << width) - 1), width)
         high = own >> np.uint32(width) if width < 32 else np.zeros_like(own)
-        packed = pack(own & np.uint32((1 << int(width)) - 1), int(width)) if width else np.zeros((len(at), 0), np.uint8)
         row, column = np.nonzero(high)
-        ends = np.searchsorted(row, np.arange(len(at) + 1))
-        column, values = column.astype(np.uint8), high[row, column]
-        for i, block in enumerate(at.tolist()):
-            a, b = ends[i], ends[i + 1]
-            large = b > a and values[a:b].max() > 0xFFFF
-            body[block] = (struct.pack("<IBB", int(low[block]), int(width) + 128 * bool(large), int(b - a))
-                           + packed[i].tobytes() + column[a:b].tobytes()
-                           + values[a:b].astype("<u4" if large else "<u2").tobytes())
+        values = high[row, column]
+        counts = np.bincount(row, minlength=len(at))
+        wide = np.zeros(len(at), bool)
+        np.logical_or.at(wide, row, values > 0xFFFF)
+        block[:, 4] += 128 * wide.astype(np.uint8)
+        block[:, 5] = counts
+        ends, column = np.cumsum(counts).tolist(), column.astype(np.uint8)
+        short = values.astype("<u2")
+        first = 0
+        for i, (k, last) in enumerate(zip(at.tolist(), ends)):
+            body[k] = block[i].tobytes()
+            if last > first:
+                high_bits = values[first:last].astype("<u4") if wide[i] else short[first:last]
+                body[k] += column[first:last].tobytes() + high_bits.tobytes()
+            first = last
     starts = np.zeros(n_blocks + 1, np.uint32)
     np.cumsum([len(x) for x in body], out=starts[1:])
     return starts, b"".join(body)
@@ -192,34 +213,78 @@ class PieceTokenizer:
     """The library's tokenizer behind a bounded memory of pieces already encoded.
 
     Pieces are cut where no pre-token can cross (see ``pretokens``), so their
-    ids in a row are the ids of the whole text.
+    ids in a row are the ids of the whole text. A mark behind letters is a
+    pre-token of its own, and words of letters with a space in front stay apart
+    when joined, so new words go to the library as one text and are told apart
+    by the bytes that each token stands for.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)         # byte-level: one character for each byte
+        self.known = Recent(REMEMBERED)
+        self.marks = {mark: ids for mark, ids in zip(".,", self._ids([".", ","]))}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        cut = pieces(text)
-        if cut is None:
-            return self._ids([text])[0]
-        found = list(map(self.known.get, cut))
-        missing, i = [], -1
-        for _ in range(found.count(None)):
-            i = found.index(None, i + 1)
-            missing.append(i)
-        if missing:
-            for i, ids in zip(missing, self._ids([unmarked(cut[i]) for i in missing])):
-                found[i] = ids
-                remember(self.known, cut[i], ids)
-        return b"".join(found)
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space in front."""
+        if not words:
+            return []
+        joined = " " + " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.token_bytes[ids])
+        cuts = np.cumsum([len(w.encode()) + 1 for w in words])
+        at = [0, *(4 * (np.searchsorted(ends, cuts) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        known, older, marks = self.known.young, self.known.old, self.marks
+        cuts = [pieces(text) if text else [] for text in texts]
+        found = [None if cut is None else list(map(known.get, cut)) for cut in cuts]
+        gaps: list[tuple[list, int, str]] = []
+        for cut, ids in zip(cuts, found):
+            i = -1
+            for _ in range(ids.count(None) if ids else 0):
+                i = ids.index(None, i + 1)
+                gaps.append((ids, i, cut[i]))
+        new: dict[str, bytes] = {}
+        words, others, ends = {}, [], []
+        for piece in {piece for _, _, piece in gaps}:
+            if piece in older:
+                new[piece] = older[piece]
+            elif piece.isalpha():
+                words[piece] = None
+            elif piece[-1:] in marks and piece[:-1].isalpha():
+                ends.append(piece)
+                stem = piece[:-1]
+                ids = known.get(stem) or older.get(stem)
+                if ids is None:
+                    words[stem] = None
+                else:
+                    new[piece] = ids + marks[piece[-1]]
+            else:
+                others.append(piece)
+        stems = dict(zip(words, self._words(list(words))))
+        new.update(zip(others, self._ids([unmarked(piece) for piece in others])))
+        for piece in ends:
+            if piece not in new:
+                new[piece] = stems[piece[:-1]] + marks[piece[-1]]
+        new.update(stems)
+        for ids, i, piece in gaps:
+            ids[i] = new[piece]
+        for piece, ids in new.items():
+            self.known.put(piece, ids)
+        whole = iter(self._ids([text for text, cut in zip(texts, cuts) if cut is None]))
+        return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
 
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
@@ -233,6 +298,20 @@ def worker_tokenizer(definition: str) -> PieceTokenizer:
     return _TOKENIZERS[key]
 
 
+def encoded(tokenizer: PieceTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """Documents with their ids, encoded ``CHARS_AT_ONCE`` characters (or one text) at a time."""
+    doc_ids, texts, chars = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            doc_ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            chars += len(texts[-1])
+            if chars >= CHARS_AT_ONCE:
+                yield from zip(doc_ids, tokenizer.encode(texts))
+                doc_ids, texts, chars = [], [], 0
+    yield from zip(doc_ids, tokenizer.encode(texts))
+
+
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
                       tokens_per_file: int = TOKENS_PER_FILE) -> DataFrame:
     """Plan that encodes ``doc_id, text`` and writes the files; run it by writing its rows (the manifest).
@@ -266,15 +345,14 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
             number, held = number + 1, 0
             return row
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokenizer.encode(text.as_py() or "") + end
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) >> 2)
-                parts.append(ids)
-                held += len(ids) >> 2
-                if held >= tokens_per_file:
-                    yield flush()
+        for doc_id, ids in encoded(tokenizer, batches):
+            ids += end
+            doc_ids.append(doc_id)
+            lengths.append(len(ids) >> 2)
+            parts.append(ids)
+            held += len(ids) >> 2
+            if held >= tokens_per_file:
+                yield flush()
         if doc_ids:
             yield flush()
 

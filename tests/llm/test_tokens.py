@@ -48,10 +48,17 @@ def test_bpe_on_long_pretokens():
 
 
 def test_forgetting_pieces_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    monkeypatch.setattr(tb, "REMEMBERED", 4)
     encoder = bpe.Encoder(TABLE, P.PATTERN)
-    text = " ".join(f"word{i % 23}" for i in range(500))
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        library = tb.PieceTokenizer(f.read())
+    text = " ".join(f"word{chr(97 + i % 23)}{'.,!'[i % 3] if i % 5 == 0 else ''}" for i in range(500)) + "\n\n\nend  "
     assert encoder.encode(text) == expected(text)
+    for _ in range(3):
+        got = library.encode([text, "", text[:60], "Word. word, word.\nword"])
+        assert got == [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                       for t in (text, "", text[:60], "Word. word, word.\nword")]
 
 
 @settings(max_examples=200, deadline=None)
