@@ -164,6 +164,11 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFra
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` that reach the threshold, with their columns as they were."""
-    rows, names = with_statistics(docs)
-    return rows.filter(model.score() >= threshold).select(docs.columns)
+    """Rows of ``docs`` that reach the threshold, with their columns as they were.
+
+    Rejected rows vanish in an explode of an empty array: a filter would be
+    pushed below the projection and compute each statistic anew in every rule."""
+    rows, _ = with_statistics(docs)
+    none = F.array().cast("array<boolean>")
+    keep = F.explode(F.when(model.score() >= threshold, F.array(F.lit(True))).otherwise(none))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], keep.alias("accepted_row")).drop("accepted_row")
