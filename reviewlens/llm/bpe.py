@@ -19,6 +19,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from string import punctuation
 
 import pyarrow as pa
 import regex
@@ -28,7 +29,7 @@ from reviewlens.llm.pretokens import pieces, unmarked
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 OUTPUT_IDS = OUTPUT + ", ids binary"
-REMEMBERED = 1_000_000  # pieces that one worker remembers with their ids (up to 200 MB)
+REMEMBERED = 700_000    # pieces that one worker remembers with their ids (up to 140 MB)
 LONGEST_REMEMBERED = 64
 ROWS_AT_ONCE = 500      # rows whose ids a task holds before it passes them on
 
@@ -48,6 +49,12 @@ class Recent:
                 self.old, self.young = self.young, {}
             self.young[key] = ids
 
+    def put_all(self, new: dict[str, bytes]) -> None:
+        """Like ``put`` for each; the young generation may pass its half by one batch."""
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young.update((key, ids) for key, ids in new.items() if len(key) <= LONGEST_REMEMBERED)
+
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
     """A rank file: base64 token and rank in each line."""
@@ -78,7 +85,6 @@ class Encoder:
         self.queue = RankQueue(len(self.tokens))
         self.by_piece = Recent(REMEMBERED)
         self.by_word = Recent(REMEMBERED // 8)  # pre-tokens of other pieces
-        self.marks = {mark: self._word(mark) for mark in ".,"}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -149,15 +155,16 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that the young generation lacks. A piece of letters is one
-        pre-token; a mark behind letters is a pre-token of its own."""
+        pre-token; ASCII punctuation behind letters is a pre-token of its own."""
         ids = self.by_piece.old.get(piece)
         if ids is None:
-            if piece.isalpha():
+            stem = piece.rstrip(punctuation)
+            if not stem.isalpha():
+                ids = self._plain(unmarked(piece))
+            elif stem == piece:
                 ids = array("I", self.merge(b" " + piece.encode())).tobytes()
-            elif piece[-1:] in self.marks and piece[:-1].isalpha():
-                ids = (self.by_piece.young.get(piece[:-1]) or self._piece(piece[:-1])) + self.marks[piece[-1]]
             else:
-                ids = self._plain(unmarked(piece))
+                ids = (self.by_piece.young.get(stem) or self._piece(stem)) + self._word(piece[len(stem):])
         self.by_piece.put(piece, ids)
         return ids
 
