@@ -20,12 +20,14 @@ an empty table gives no file; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from reviewlens.llm.bpe import Recent
-from reviewlens.llm.pretokens import pieces, unmarked
+from reviewlens.llm.pretokens import BREAK, pieces, unmarked
 
 MAGIC, BLOCK = b"PFR1", 128
 PERCENTILES = (50, 75, 90, 97, 100)
@@ -209,14 +211,19 @@ class TokenFile:
         return part[a - lo * BLOCK:b - lo * BLOCK]
 
 
+def _word(piece: str) -> bool:
+    """Letters behind one space or line break."""
+    return piece.isalpha() or (piece[:1] == BREAK and piece[1:].isalpha())
+
+
 class PieceTokenizer:
     """The library's tokenizer behind a bounded memory of pieces already encoded.
 
     Pieces are cut where no pre-token can cross (see ``pretokens``), so their
-    ids in a row are the ids of the whole text. A mark behind letters is a
-    pre-token of its own, and words of letters with a space in front stay apart
-    when joined, so new words go to the library as one text and are told apart
-    by the bytes that each token stands for.
+    ids in a row are the ids of the whole text. Marks behind letters are a
+    pre-token of their own, and words of letters with a space or line break in front
+    stay apart when joined, so new words go to the library as one text and are
+    told apart by the bytes that each token stands for.
     """
 
     def __init__(self, definition: str):
@@ -227,27 +234,35 @@ class PieceTokenizer:
         for token, i in vocabulary.items():
             self.token_bytes[i] = len(token)         # byte-level: one character for each byte
         self.known = Recent(REMEMBERED)
-        self.marks = {mark: ids for mark, ids in zip(".,", self._ids([".", ","]))}
+        self.marks = Recent(REMEMBERED // 8)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each with a space in front."""
+        """Ids of the pieces that ``_word`` accepts."""
         if not words:
             return []
-        joined = " " + " ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        texts = [unmarked(word) for word in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.token_bytes[ids])
-        cuts = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.cumsum([len(text.encode()) for text in texts])
         at = [0, *(4 * (np.searchsorted(ends, cuts) + 1)).tolist()]
         raw = ids.tobytes()
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
+    def _marks(self, marks: set[str]) -> dict[str, bytes]:
+        """Ids of runs of ASCII punctuation."""
+        found = {mark: self.marks.young.get(mark) or self.marks.old.get(mark) for mark in marks}
+        new = [mark for mark, ids in found.items() if ids is None]
+        found.update(zip(new, self._ids(new)))
+        self.marks.put_all(found)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, older, marks = self.known.young, self.known.old, self.marks
+        known, older = self.known.young, self.known.old
         cuts = [pieces(text) if text else [] for text in texts]
         found = [None if cut is None else list(map(known.get, cut)) for cut in cuts]
         gaps: list[tuple[list, int, str]] = []
@@ -259,30 +274,25 @@ class PieceTokenizer:
         new: dict[str, bytes] = {}
         words, others, ends = {}, [], []
         for piece in {piece for _, _, piece in gaps}:
+            stem = piece.rstrip(punctuation)
             if piece in older:
                 new[piece] = older[piece]
-            elif piece.isalpha():
-                words[piece] = None
-            elif piece[-1:] in marks and piece[:-1].isalpha():
-                ends.append(piece)
-                stem = piece[:-1]
-                ids = known.get(stem) or older.get(stem)
-                if ids is None:
-                    words[stem] = None
-                else:
-                    new[piece] = ids + marks[piece[-1]]
-            else:
+            elif not _word(stem):
                 others.append(piece)
+            else:
+                if stem != piece:
+                    ends.append((piece, stem))
+                if stem not in known and stem not in older:
+                    words[stem] = None
         stems = dict(zip(words, self._words(list(words))))
-        new.update(zip(others, self._ids([unmarked(piece) for piece in others])))
-        for piece in ends:
-            if piece not in new:
-                new[piece] = stems[piece[:-1]] + marks[piece[-1]]
         new.update(stems)
+        new.update(zip(others, self._ids([unmarked(piece) for piece in others])))
+        marks = self._marks({piece[len(stem):] for piece, stem in ends})
+        for piece, stem in ends:
+            new[piece] = (stems.get(stem) or known.get(stem) or older[stem]) + marks[piece[len(stem):]]
         for ids, i, piece in gaps:
             ids[i] = new[piece]
-        for piece, ids in new.items():
-            self.known.put(piece, ids)
+        self.known.put_all(new)
         whole = iter(self._ids([text for text, cut in zip(texts, cuts) if cut is None]))
         return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
@@ -345,16 +355,20 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
             number, held = number + 1, 0
             return row
 
-        for doc_id, ids in encoded(tokenizer, batches):
-            ids += end
-            doc_ids.append(doc_id)
-            lengths.append(len(ids) >> 2)
-            parts.append(ids)
-            held += len(ids) >> 2
-            if held >= tokens_per_file:
+        gc.disable()  # the loop makes no reference cycles; looking for them visits every piece held
+        try:
+            for doc_id, ids in encoded(tokenizer, batches):
+                ids += end
+                doc_ids.append(doc_id)
+                lengths.append(len(ids) >> 2)
+                parts.append(ids)
+                held += len(ids) >> 2
+                if held >= tokens_per_file:
+                    yield flush()
+            if doc_ids:
                 yield flush()
-        if doc_ids:
-            yield flush()
+        finally:
+            gc.enable()
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .repartitionByRange(F.col("doc_id").asc_nulls_first())

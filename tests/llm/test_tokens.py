@@ -38,6 +38,17 @@ def test_bpe_equals_the_library_and_round_trips(text):
     assert ENCODER.decode(ids) == text.encode()
 
 
+LIBRARY = tb.PieceTokenizer(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abé漢 \n.,!'\"$s1\t\x00"), st.characters(codec="utf-8"))), max_size=4))
+def test_pieces_through_the_library_equal_whole_texts(texts):
+    want = [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert LIBRARY.encode(texts) == want
+    assert [ENCODER.encode(t) for t in texts] == [expected(t) for t in texts]
+
+
 def test_bpe_on_long_pretokens():
     rng = random.Random(3)
     text = "".join(rng.choice("abcst") for _ in range(5_000))
