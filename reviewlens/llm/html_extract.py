@@ -4,9 +4,9 @@ The page is parsed into a tree that forgives missing end tags. Paragraphs pass
 points to the elements around them: one, one for every comma and one for every
 100 characters (at most 3); the parent gets them whole, the grandparent half,
 further ancestors less. What a container has gathered is discounted by its link
-density, the share of its text inside links. The best container is the article;
-its siblings stay if they score well beside it or are long paragraphs with few
-links. Navigation, headers and footers of the page, asides, forms, scripts,
+density, the share of its text inside links. The best container is the article, or
+the whole article or main element it lies in; siblings stay if they score well
+beside it or are text with few links (``kept_parts``). Navigation, headers and footers of the page, asides, forms, scripts,
 styles, hidden parts, adverts, notices, sidebars and reader comments are left
 out by element or by their class, id and role.
 
@@ -38,6 +38,7 @@ SKIPPED = frozenset("""script style noscript template iframe object embed svg ca
 CONTAINERS = frozenset("article body blockquote center div main section td".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_PARTS = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
@@ -201,19 +202,72 @@ def best_container(order: list[Node]) -> Node | None:
     return top
 
 
-def kept_siblings(top: Node) -> list[Node]:
-    """The best container with the siblings that belong to the article, in page order."""
-    if top.parent is None or top.tag == "body":
-        return [top]
+def whole_element(top: Node) -> Node:
+    """The outermost article around the best container, else the main element around it, else itself."""
+    article = main = None
+    node = top
+    while node is not None:
+        if node.tag == "article":
+            article = node
+        elif node.tag == "main":
+            main = node
+        node = node.parent
+    return article or main or top
+
+
+def runs_of(node: Node) -> Iterator[Node]:
+    """The element's kept block children; the text and inline elements between two of them as one node without a name."""
+    run = Node("root", node)
+    for x in [*node.children, None]:
+        if isinstance(x, str) or (x is not None and x.tag not in BLOCKS):
+            if isinstance(x, str) or not skipped(x):
+                run.children.append(x)
+                run.chars += len(x.strip()) if isinstance(x, str) else x.chars
+                run.link_chars += 0 if isinstance(x, str) else x.link_chars
+            continue
+        if run.chars:
+            yield run
+        run = Node("root", node)
+        if x is not None and not skipped(x):
+            yield x
+
+
+def holds_paragraphs(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in TEXT_PARTS:
+            return True
+        stack.extend(c for c in x.children if isinstance(c, Node) and not skipped(c))
+    return False
+
+
+def kept_parts(top: Node) -> list[Node]:
+    """The whole element of the best container with the siblings that belong to the article, in page order.
+
+    Headings, lists, tables, figures, preformatted text and paragraphs with few links stay. Containers stay
+    if they score well. Beside a plain container, so do those with few links unless an article
+    stands there; right in the body they must hold paragraphs, as unnamed notices stand there too."""
+    whole = whole_element(top)
+    if whole.parent is None or whole.tag == "body":
+        return [whole]
+    parent = whole.parent
     least = max(10.0, 0.2 * top.score)
+    in_body = parent.tag in ("body", "html", "root")
+    alone = whole.tag not in ("article", "main") and not any(isinstance(x, Node) and x.tag == "article"
+                                                             for x in parent.children)
     out = []
-    for x in top.parent.children:
-        if x is top:
+    for x in runs_of(parent):
+        if x is whole:
             out.append(x)
-        elif isinstance(x, Node) and not skipped(x) and x.chars:
+        elif x.chars:
             density = x.link_chars / x.chars
-            plain = x.tag == "p" and (x.chars > 80 and density < 0.25)
-            if plain or (x.tag in CONTAINERS and x.score >= least and density < 0.5):
+            if x.tag in CONTAINERS:
+                keep = x.score >= least and density < 0.5
+                keep = keep or (alone and density < 0.25 and (not in_body or holds_paragraphs(x)))
+            else:
+                keep = density < 0.25 and (x.tag != "root" or not in_body or x.chars > 80)
+            if keep:
                 out.append(x)
     return out
 
@@ -259,7 +313,7 @@ def main_text(html: str | None) -> str:
     top = best_container(order)
     if top is None:
         top = builder.root
-    return "\n\n".join(b for part in kept_siblings(top) for b in blocks_of(part))
+    return "\n\n".join(b for part in kept_parts(top) for b in blocks_of(part))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -162,6 +162,40 @@ def test_layout_classes_and_comment_articles():
     assert hx.main_text(page) == "Head\n\nSome text, long enough, with commas, to be the article of this page."
 
 
+PARAGRAPH = "<p>" + "some, words, in, a, paragraph, " + "of an article of the page " * 5 + "</p>"
+
+
+def shown(*parts):
+    import re
+    return "\n\n".join(" ".join(x.split()) for part in parts for x in re.split(r"<[^>]*>", part) if x.strip())
+
+
+@pytest.mark.parametrize("n", [1, 5, 8, 30])
+@pytest.mark.parametrize("box", ["article", "main"])
+def test_whole_article_at_any_length(n, box):
+    head = "<h1>Head</h1><h2>Sub</h2><p>Short.</p>"
+    tail = "<ul><li>one</li></ul><table><tr><td>cell</td></tr></table><pre>code</pre><figure><figcaption>fig</figcaption></figure>"
+    few = "<section>" + PARAGRAPH * 3 + "</section>"
+    page = (f"<body>{''.join(PARTS)}<{box}>{head}<div>{PARAGRAPH * n}</div>{few}{tail}"
+            f"<div class='share'><p>Share, it</p></div></{box}>{''.join(TAIL)}")
+    assert hx.main_text(page) == shown(head, PARAGRAPH * n, few, tail)
+
+
+def test_unequal_sections_and_nested_containers():
+    many, few = (f"<section>{PARAGRAPH * n}</section>" for n in (20, 3))
+    for page in (f"<article>{many}{few}</article>", f"<div class='post'>{few}{many}</div>", f"<body>{many}{few}", f"{many}{few}",
+                 f"<article><div><div>{many}</div></div><div>{few}</div></article>"):
+        assert hx.main_text("<nav>Go, there</nav>" + page) == shown(*([few, many] if "post" in page else [many, few])), page
+
+
+def test_siblings_of_a_plain_container():
+    links = "<ul><li><a href='/'>One, link</a></li><li><a href='/'>and, more</a></li></ul><div><a href='/'>links, only</a></div>"
+    page = (f"<div class='wrap'><h1>Head</h1>Loose <b>words</b><p>Short.</p>{links}<div>{PARAGRAPH * 8}</div>"
+            "<ol><li>item</li></ol><pre>code</pre><div>last words</div></div><div>A notice without a name</div>")
+    assert hx.main_text("<body>" + page) == "\n\n".join(
+        ["Head", "Loose words", "Short.", shown(PARAGRAPH * 8), "item", "code", "last words"])
+
+
 def test_odd_html():
     assert hx.main_text(None) == hx.main_text("") == hx.main_text("<p></p>") == hx.main_text("<script>x</script>") == ""
     assert hx.main_text("just text") == "just text"
