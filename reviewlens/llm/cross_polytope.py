@@ -11,7 +11,8 @@ Equal vectors are searched once: they tie with each other for any query, so of a
 group only the ``k + 1`` smallest ids can be answers. A bucket larger than twice the mean, or
 than ``BLOCK_ROWS``, is cut into blocks, each searched by a task of its own; all
 its rows stay candidates. Each block returns at most its ``k + 1`` best for a
-query, so no list of pairs is made.
+query, so no list of pairs is made. Distinct vectors of equal score are ordered,
+here and over all blocks, by the smallest id of each.
 
 Vectors null, empty, zero, of another length than most, or with null or non-finite
 components take no part. Ids that repeat or are null: each row is a candidate,
@@ -31,7 +32,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reviewlens.llm.common import stored
 
 BLOCK_ROWS = 32_768
-SPARE = 4  # kept beyond k in a block, so that rounding in matrix products cannot cost an answer
+CELLS = 1 << 21  # scores held at a time in a block
+NO_ID = (1 << 63) - 1  # stands for a null id in the order of ties
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -66,22 +68,23 @@ def axes(x: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
 
 
 def hashed(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
-    """``rep, v`` with one row for each table and probed ``bucket``."""
+    """``rep, least, v`` with one row for each table and probed ``bucket``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+            x = np.asarray(batch.column(2).flatten(), np.float64).reshape(batch.num_rows, -1)
             for table in range(tables):
                 found = axes(x, table, seed, probes)
                 rows = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows),
+                    [*(c.take(rows) for c in batch.columns),
                      pa.array(np.full(found.size, table, np.int32)), pa.array(found.reshape(-1).astype(np.int32))],
-                    names=["rep", "v", "tbl", "bucket"])
+                    names=["rep", "least", "v", "tbl", "bucket"])
 
-    return vectors.select("rep", "v").mapInArrow(run, "rep long, v array<float>, tbl int, bucket int")
+    return vectors.select("rep", "least", "v").mapInArrow(
+        run, "rep long, least long, v array<float>, tbl int, bucket int")
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -94,8 +97,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == usual[0].d) if usual else rows
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, tables: int, probes: int, seed: int) -> DataFrame:
-    """``rep, near, score``: distinct query vectors and their best ``k + 1`` distinct vectors (itself included)."""
+def indexed(index: DataFrame, tables: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The index's rows in their buckets, dealt to blocks; ``tbl, bucket, blocks``."""
     stored_at = hashed(index, tables, 1, seed)
     stored_at = stored(index.sparkSession, stored_at, "ann-index")
     counts = stored_at.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -106,34 +109,50 @@ def search(queries: DataFrame, index: DataFrame, k: int, tables: int, probes: in
     blocks = F.broadcast(blocks)
     members = (stored_at.join(blocks, ["tbl", "bucket"])
                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    asked = (hashed(queries, tables, probes, seed).join(blocks, ["tbl", "bucket"])
+    return members, blocks
+
+
+def search(queries: DataFrame, members: DataFrame, blocks: DataFrame, k: int, tables: int, probes: int,
+           seed: int) -> DataFrame:
+    """``rep, near, least, score``: distinct query vectors and their best ``k + 1`` distinct vectors (itself included)."""
+    asked = (hashed(queries.withColumn("least", F.lit(NO_ID)), tables, probes, seed)
+             .join(blocks, ["tbl", "bucket"])
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "near": [], "score": []})
+            return pd.DataFrame({"rep": [], "near": [], "least": [], "score": []})
+        # smallest id first, so that the order of columns breaks ties
+        right = right.sort_values(["least", "rep"])
         q = np.stack(left["v"].to_numpy()).astype(np.float64)
         x = np.stack(right["v"].to_numpy()).astype(np.float64)
-        ids, n = right["rep"].to_numpy(), min(k + 1 + SPARE, len(right))
+        ids, least, n = right["rep"].to_numpy(), right["least"].to_numpy(), min(k + 1, len(right))
         reps, out = left["rep"].to_numpy(), []
-        for at in range(0, len(q), 256):
-            dots = q[at:at + 256] @ x.T
-            top = np.argpartition(-dots, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(n), (len(dots), 1))
-            row = np.repeat(np.arange(len(dots)), n) + at
-            col = top.reshape(-1)
+        # twice what a product's rounding can be off for any pair, so that it cannot cost an answer or a tie
+        slack = 4 * np.finfo(np.float64).eps * x.shape[1] * np.linalg.norm(x, axis=1).max() * np.linalg.norm(q, axis=1)
+        step = max(1, min(256, CELLS // len(x)))
+        for at in range(0, len(q), step):
+            dots = q[at:at + step] @ x.T
+            reached = np.partition(dots, len(x) - n, axis=1)[:, len(x) - n] - slack[at:at + step]
+            row, col = np.nonzero(dots >= reached[:, None])
             # sums in one fixed order: the same pair has the same score in every block
-            exact = (q[row] * x[col]).cumsum(axis=1)[:, -1]
-            out.append(pd.DataFrame({"rep": reps[row], "near": ids[col], "score": exact}))
+            exact = np.concatenate([(q[row[i:i + 65_536] + at] * x[col[i:i + 65_536]]).cumsum(axis=1)[:, -1]
+                                    for i in range(0, len(row), 65_536)])
+            order = np.lexsort((-exact, row))  # stable
+            row, col, exact = row[order], col[order], exact[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+            row, col = row[kept] + at, col[kept]
+            out.append(pd.DataFrame({"rep": reps[row], "near": ids[col], "least": least[col], "score": exact[kept]}))
         return pd.concat(out)
 
     keys = ["tbl", "bucket", "block"]
     found = (asked.select(*keys, "rep", "v").groupBy(*keys)
-             .cogroup(members.select(*keys, "rep", "v").groupBy(*keys))
-             .applyInPandas(best, "rep long, near long, score double"))
-    order = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
-    return (found.groupBy("rep", "near").agg(F.max("score").alias("score"))
+             .cogroup(members.filter(F.col("tbl") < tables).select(*keys, "rep", "least", "v").groupBy(*keys))
+             .applyInPandas(best, "rep long, near long, least long, score double"))
+    order = Window.partitionBy("rep").orderBy(F.desc("score"), "least", "near")
+    return (found.groupBy("rep", "near").agg(F.max("score").alias("score"), F.min("least").alias("least"))
             .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
-            .select("rep", "near", "score"))
+            .select("rep", "near", "least", "score"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, probes: int = 40, seed: int = 7,
@@ -146,10 +165,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4,
     members = (rows.withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1)
                .withColumn("rep", F.xxhash64("v")))
     members = stored(spark, members, "ann-members")
-    index = members.filter("place = 1").select("rep", "v")
+    # never null, as pandas would make doubles of all ids in its block
+    index = members.filter("place = 1").select("rep", F.coalesce("id", F.lit(NO_ID)).alias("least"), "v")
     queries = rows.filter(is_query).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("rep"), "v")
     asked = queries.groupBy("rep").agg(F.first("v").alias("v"))
-    found = search(asked, index, k, tables, probes, seed)
+    found = search(asked, *indexed(index, tables, seed), k, tables, probes, seed)
     near = members.select(F.col("rep").alias("near"), "id")
     ranked = Window.partitionBy("rep").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     lists = (found.join(near, "near").withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1)

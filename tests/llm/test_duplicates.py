@@ -200,6 +200,30 @@ def test_all_buckets_probed_is_exact(spark):
     assert cp.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [64, cp.BLOCK_ROWS])
+def test_ties_of_distinct_vectors_go_to_smaller_ids(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(cp, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(600)
+    data = [(int(i), [float(x) for x in rng.integers(0, 2, 8)]) for i in ids]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = {}
+    for r in cp.nearest(df, F.col("id") % 20 == 0, k=20, tables=1, probes=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_nearest(data, 20, lambda q: q % 20 == 0)
+
+
+def test_ties_of_large_and_missing_ids(spark):
+    """Ties of one bucket, with ids beyond what a double holds and without one."""
+    big = 1 << 60
+    data = [(None if i % 9 == 5 else big + i, [1.0, i / 1024] + [0.0] * 6) for i in range(60, -1, -1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    want = [big + i for i in range(1, 61) if i % 9 != 5]
+    for k in (20, 58):
+        rows = cp.nearest(df, F.col("id") == big, k=k, tables=1, probes=16).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in rows] == [(i, 1.0) for i in (want + [None] * 7)[:k]]
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (21, [0.5, 0.5])], "vec_id long, embedding array<float>")
     rows = cp.nearest(df, F.col("id") % 20 == 0, k=20, tables=1, probes=4).collect()
