@@ -11,7 +11,8 @@ Equal vectors are searched once: they tie with each other for any query, so of a
 group only the ``k + 1`` smallest ids can be answers. A bucket larger than twice the mean, or
 than ``BLOCK_ROWS``, is cut into blocks, each searched by a task of its own; all
 its rows stay candidates. Each block returns at most its ``k + 1`` best for a
-query, so no list of pairs is made. Distinct vectors of equal score are ordered,
+query, so no list of pairs is made. A query whose buckets held fewer than ``k``
+candidates is searched again in all buckets of one table, which is exact. Distinct vectors of equal score are ordered,
 here and over all blocks, by the smallest id of each.
 
 Vectors null, empty, zero, of another length than most, or with null or non-finite
@@ -33,6 +34,7 @@ from reviewlens.llm.common import stored
 
 BLOCK_ROWS = 32_768
 CELLS = 1 << 21  # scores held at a time in a block
+ALL = 1 << 31  # probes: every axis
 NO_ID = (1 << 63) - 1  # stands for a null id in the order of ties
 
 
@@ -169,12 +171,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4,
     index = members.filter("place = 1").select("rep", F.coalesce("id", F.lit(NO_ID)).alias("least"), "v")
     queries = rows.filter(is_query).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("rep"), "v")
     asked = queries.groupBy("rep").agg(F.first("v").alias("v"))
-    found = search(asked, *indexed(index, tables, seed), k, tables, probes, seed)
+    at = indexed(index, tables, seed)
     near = members.select(F.col("rep").alias("near"), "id")
     ranked = Window.partitionBy("rep").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
-    lists = (found.join(near, "near").withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1)
-             .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("near")))
-    lists = stored(spark, lists, "ann-lists")
+
+    def listed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
+        found = search(vectors, *at, k, tables, probes, seed)
+        found = found.join(near, "near").withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1)
+        found = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("near"))
+        return stored(spark, found, "ann-lists")
+
+    lists = listed(asked, tables, probes)
+    # the query's own row is one of k + 1; rows beyond the k + 1 smallest ids of equal vectors do not change this minimum
+    whole = lists.filter(F.size("near") >= min(k + 1, members.count()))
+    short = stored(spark, asked.join(whole.select("rep"), "rep", "left_anti"), "ann-short")
+    if not short.isEmpty():
+        # every row lies on one axis of a table, so all axes of one find all rows
+        lists = whole.unionByName(listed(short, 1, ALL))
     own = F.slice(F.filter("near", lambda x: ~x["id"].eqNullSafe(F.col("query_id"))), 1, k)
     return (queries.select("query_id", "rep").join(lists, "rep")
             .select("query_id", F.posexplode(own).alias("rank", "x"))

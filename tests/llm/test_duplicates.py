@@ -277,6 +277,24 @@ def test_fewer_candidates_than_k(spark):
         (0, 1, 20, 1.0), (0, 2, 21, 0.5), (20, 1, 0, 1.0), (20, 2, 21, 0.5)]
 
 
+def test_short_answers_are_completed(spark):
+    """Few rows in 64 dimensions, and queries that face away from a crowded bucket."""
+    rng = np.random.default_rng(4)
+    few = [(i, [float(np.float32(x)) for x in rng.normal(size=64)]) for i in range(0, 300, 20)]
+    schema = "vec_id long, embedding array<float>"
+    got = {}
+    for r in cp.nearest(spark.createDataFrame(few, schema), F.col("id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got == {i: {j for j, _ in few if j != i} for i, _ in few}
+    axis = np.eye(64)[0]
+    crowd = [(i, [float(np.float32(x)) for x in axis + rng.normal(size=64) / 1000]) for i in range(1, 100)]
+    crowd += [(200, (-axis).tolist()), (300, axis.tolist())]
+    rows = cp.nearest(spark.createDataFrame(crowd, schema), F.col("id") >= 200, k=20).orderBy("query_id", "rank").collect()
+    for q, x in crowd[-2:]:
+        want = sorted((-float(np.cumsum(np.array(x) * np.array(y))[-1]), i) for i, y in crowd if i != q)[:20]
+        assert [(r.score, r.vec_id) for r in rows if r.query_id == q] == [(-s, i) for s, i in want]
+
+
 def test_op3_recall(spark):
     sf = "/root/testdata/sf0.01"
     data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
