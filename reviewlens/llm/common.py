@@ -88,3 +88,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_fold,
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * max_rows / n))
     return (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
             .join(F.broadcast(known), "doc_id"))
+
+
+def quoted(name: str) -> str:
+    """A column name as it stands in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame, alias: str = "record") -> Column:
+    """All columns as one struct, so that an operator's own names cannot clash with them."""
+    return F.struct(*[F.col(quoted(name)).alias(name) for name in df.columns]).alias(alias)
+
+
+def fields_of(names: list[str], record: str = "record") -> list[Column]:
+    """The columns that ``whole_row`` put into ``record``."""
+    return [F.col(f"{record}.{quoted(name)}").alias(name) for name in names]
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is. In a text of ASCII alone ``lower`` does just that, and faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

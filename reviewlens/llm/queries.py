@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm import (
-    bpe, cross_polytope, html_extract, mixing, paragraph_sketch, rule_ensemble, sharding, simhash, token_blocks, toxicity,
+    bpe, cross_polytope, exact_dedup, html_extract, mixing, paragraph_sketch, rule_ensemble, sharding, simhash, spelling,
+    token_alignment, token_blocks, toxicity,
 )
 from reviewlens.llm.common import id_fold, prepare, shared_folder, stored, table
 
@@ -95,9 +96,32 @@ def op10_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_perfect_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, with corpus-wide counts of the linked ids."""
+    prepare(spark)
+    documents, _ = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                         public_tokenizers.path("piece_bpe_32k.model"))
+    return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents added to a new digest index in two batches, each with the row that stays for its text."""
+    prepare(spark)
+    index = exact_dedup.DigestIndex(spark, shared_folder(spark, "digest-index"))
+    found = exact_dedup.deduplicate_in_batches(table(spark, sf_dir, "documents"), index, batches=2)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words' number, its form and root."""
+    prepare(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_blocks, op2_toxic_lexicon, op3_cross_polytope, op4_paragraph_sketch, op5_poisson_mix, op6_quality_rules,
-    op7_two_pass_shards, op8_tree_scoring, op9_rank_queue_bpe, op10_simhash_trees)}
+    op7_two_pass_shards, op8_tree_scoring, op9_rank_queue_bpe, op10_simhash_trees, op11_perfect_hash_alignment,
+    op12_digest_index, op13_chunk_join)}
 
 # Weights, seed and step are written out apart from the code above.
 POISSON_MIX_SQL = """
@@ -131,6 +155,59 @@ select d.doc_id, d.text, d.lang, d.source, d.n_chars, r::integer as replica, md5
 from documents d join total t on d.doc_id = t.doc_id, unnest(range(0, t.copies)) as x(r)
 """
 
+DIGEST_INDEX_SQL = """
+with d as (
+  select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
+  from documents
+)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept,
+       text_sha256
+from d window same as (partition by text_sha256)
+"""
+
+# CRC32 by its table, built from the polynomial; near words by deleting one code point.
+CHUNK_JOIN_SQL = """
+with recursive crc as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+  from range(256) as x(i)
+),
+met as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+),
+told as (select doc_id, run, count(*) as times from met where length(run) >= 7 group by doc_id, run),
+hashed as (
+  select run, times, xor(list_reduce(
+           flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+                                  lambda s: case when unicode(s) < 128 then [unicode(s)::bigint] else [195::bigint, unicode(s)::bigint - 64] end)),
+           lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as h
+  from told, crc
+),
+word as (
+  select case when h % 31 = 0 then run[:(h % length(run))] || run[(h % length(run)) + 2:] else run end as word, sum(times)::bigint as n
+  from hashed group by 1 having length(word) >= 7 and n >= 2
+),
+less as (select word, n, i, word[:i - 1] || word[i + 1:] as short from word, unnest(range(1, length(word) + 1)) as x(i)),
+pair as (
+  select x.word as word, y.word as other, y.n as n from less x join less y on x.short = y.short and x.i = y.i and x.word <> y.word
+  union select x.word, y.word, y.n from less x join word y on x.short = y.word
+  union select y.word, x.word, x.n from less x join word y on x.short = y.word
+),
+near as (select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as other_n from pair group by word),
+form as (
+  select w.word, w.n, coalesce(e.n_near, 0) as n_near, case when e.other_n >= 10 * w.n then e.other end as form,
+         case when e.other_n >= 10 * w.n then e.other_n end as form_n
+  from word w left join near e on w.word = e.word
+),
+step as (
+  select word, word as at, form as ahead from form
+  union all
+  select s.word, f.word, f.form from step s join form f on s.ahead = f.word
+)
+select f.word, f.form, s.at as root, f.n, f.n_near, f.form_n from form f join step s on f.word = s.word and s.ahead is null
+"""
+
 # The other operators train, hash with XXH64, permute with a generator or merge in loops,
 # which SQL does not express; tests hold them against brute-force versions.
-ORACLE_SQL = {"op5_poisson_mix": POISSON_MIX_SQL}
+ORACLE_SQL = {"op5_poisson_mix": POISSON_MIX_SQL, "op12_digest_index": DIGEST_INDEX_SQL, "op13_chunk_join": CHUNK_JOIN_SQL}

@@ -23,6 +23,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -223,12 +224,16 @@ class PieceTokenizer:
     ids in a row are the ids of the whole text. Marks behind letters are a
     pre-token of their own, and words of letters with a space or line break in front
     stay apart when joined, so new words go to the library as one text and are
-    told apart by the bytes that each token stands for.
+    told apart by the bytes that each token stands for. A text that holds the string of
+    an added token goes to the library whole; unless ``special_tokens`` is set, such
+    strings are ordinary text.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, special_tokens: bool = True):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special_tokens
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added and special_tokens else None
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -263,7 +268,8 @@ class PieceTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         known, older = self.known.young, self.known.old
-        cuts = [pieces(text) if text else [] for text in texts]
+        whole = self.added.search if self.added else lambda text: None
+        cuts = [(None if whole(text) else pieces(text)) if text else [] for text in texts]
         found = [None if cut is None else list(map(known.get, cut)) for cut in cuts]
         gaps: list[tuple[list, int, str]] = []
         for cut, ids in zip(cuts, found):
@@ -293,18 +299,18 @@ class PieceTokenizer:
         for ids, i, piece in gaps:
             ids[i] = new[piece]
         self.known.put_all(new)
-        whole = iter(self._ids([text for text, cut in zip(texts, cuts) if cut is None]))
-        return [next(whole) if ids is None else b"".join(ids) for ids in found]
+        uncut = iter(self._ids([text for text, cut in zip(texts, cuts) if cut is None]))
+        return [next(uncut) if ids is None else b"".join(ids) for ids in found]
 
 
-_TOKENIZERS: dict[str, PieceTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, bool], PieceTokenizer] = {}
 
 
-def worker_tokenizer(definition: str) -> PieceTokenizer:
-    key = hashlib.sha256(definition.encode()).hexdigest()
+def worker_tokenizer(definition: str, special_tokens: bool = True) -> PieceTokenizer:
+    key = (hashlib.sha256(definition.encode()).hexdigest(), special_tokens)
     if key not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work to cores
-        _TOKENIZERS[key] = PieceTokenizer(definition)
+        _TOKENIZERS[key] = PieceTokenizer(definition, special_tokens)
     return _TOKENIZERS[key]
 
 
