@@ -68,6 +68,9 @@ DAMPENER_WORDS = ["barely", "hardly", "less", "little", "slightly", "somewhat"]
 MAIN_MODEL = {
     "step_size": 0.05,
     "max_iter": 2000,
+    "num_leaves": 50,
+    "lambda_l1": 1.0,
+    "lambda_l2": 1.0,
     "feature_fraction": 0.85,
 }
 # The other models' settings, where they differ from the library defaults.

@@ -27,6 +27,7 @@ from reviewlens.functions.constants import (
     BIGRAM_MODEL, GRID_FOLDS, LOGISTIC_GRID, LOGISTIC_MODEL, MAIN_MODEL, PERCEPTRON_MODEL, SPLIT_SEED, SPLIT_WEIGHTS,
 )
 from reviewlens.functions.vectors import vector_element
+from reviewlens.operators import boosting
 from reviewlens.plans import textml
 from reviewlens.sources.files import rows_to_frame
 
@@ -42,12 +43,18 @@ def one_feature_logistic(feature: str, label: str = "label") -> Pipeline:
                             LogisticRegression(featuresCol="features", labelCol=label)])
 
 
+def main_settings(max_iter: int = MAIN_MODEL["max_iter"], seed: int = SPLIT_SEED) -> boosting.Settings:
+    """M6: the main model's settings for ``boosting.fit`` (leaf-wise trees, L1/L2 penalties)."""
+    return boosting.Settings(learning_rate=MAIN_MODEL["step_size"], rounds=max_iter, num_leaves=MAIN_MODEL["num_leaves"],
+                             lambda_l1=MAIN_MODEL["lambda_l1"], lambda_l2=MAIN_MODEL["lambda_l2"],
+                             feature_fraction=MAIN_MODEL["feature_fraction"], seed=seed)
+
+
 def main_gbt(max_iter: int = MAIN_MODEL["max_iter"], step_size: float = MAIN_MODEL["step_size"],
              feature_fraction: float = MAIN_MODEL["feature_fraction"], max_depth: int = 6,
              seed: int = SPLIT_SEED, weight_col: str | None = None) -> GBTClassifier:
-    """M6 re-aimed on Spark's boosted trees: learning rate 0.05, feature
-    fraction 0.85 per tree node; depth-limited trees stand in for 50 leaves
-    (2^6 = 64); no L1/L2 leaf penalties exist in ``pyspark.ml``."""
+    """Spark's own boosted trees beside M6 (``main_settings``): learning rate 0.05,
+    feature fraction 0.85 per tree node, depth-limited trees, no leaf penalties."""
     kw = dict(featuresCol="features", labelCol="label", stepSize=step_size, maxIter=max_iter,
               maxDepth=max_depth, featureSubsetStrategy=str(feature_fraction), seed=seed)
     if weight_col:

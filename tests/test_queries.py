@@ -114,7 +114,7 @@ def test_main_model_fits_scores_and_reports(spark):
     from reviewlens.sources import reviews_from_documents, scoring_from_documents
     lexicon = benchmark_lexicon(spark, SF_SMALL)
     vectors, trees = scoring.train_main_model(reviews_from_documents(spark, SF_SMALL), lexicon, max_iter=2)
-    assert trees.getNumTrees == 2 and models.main_gbt().getMaxIter() == MAIN_MODEL["max_iter"] == 2000
+    assert len(trees.trees) == 2 and models.main_gbt().getMaxIter() == MAIN_MODEL["max_iter"] == 2000
     report = scoring.holdout_metrics(trees.transform(vectors.holdout)).first()
     assert 0.0 <= report.auc <= 1.0 and 0.0 <= report.accuracy <= 1.0
     unseen = studies.build_features(scoring_from_documents(spark, SF_SMALL), lexicon, "score")
