@@ -2,8 +2,8 @@
 
 The page is parsed into a tree that forgives missing end tags. Paragraphs pass
 points to the elements around them: one, one for every comma and one for every
-100 characters (at most 3); the parent gets them whole, the grandparent half,
-further ancestors less. What a container has gathered is discounted by its link
+100 characters (at most 3); the parent gets them whole, the grandparent half, the
+next a sixth and each further one two thirds of that, so one pass upwards does it. What a container has gathered is discounted by its link
 density, the share of its text inside links. The best container is the article, or
 the whole article or main element it lies in; siblings stay if they score well
 beside it or are text with few links (``kept_parts``). Navigation, headers and footers of the page, asides, forms, scripts,
@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -58,20 +59,35 @@ ASIDE_ARTICLE = re.compile(_WORD % r"comment\w*|reply|replies|teaser|promo\w*|re
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "own", "score", "chars", "link_chars", "beside")
+    __slots__ = ("tag", "parent", "children", "own", "score", "chars", "link_chars", "beside", "in_article",
+                 "commas", "solid", "words", "starts", "ends")
 
     def __init__(self, tag: str, parent: "Node | None", beside: bool = False):
         self.tag, self.parent, self.beside = tag, parent, beside
         self.children: list[Node | str] = []
         self.score, self.chars, self.link_chars = 0.0, 0, 0
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        # the text below: commas, characters but white space, words, and whether it starts and ends inside a word
+        self.commas, self.solid, self.words, self.starts, self.ends = 0, 0, 0, None, False
+
+    def follow(self, commas: int, solid: int, words: int, starts: bool | None, ends: bool) -> None:
+        """Adds what stands behind the text so far (``starts`` is None for no text at all)."""
+        if starts is None:
+            return
+        self.words += words - (self.ends and starts)
+        self.commas += commas
+        self.solid += solid
+        if self.starts is None:
+            self.starts = starts
+        self.ends = ends
+
+    def text_length(self) -> int:
+        """Characters of the text below, white space as single spaces."""
+        return self.solid + max(self.words - 1, 0)
 
 
 def in_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+    return node is not None and node.in_article
 
 
 class Builder(HTMLParser):
@@ -83,12 +99,23 @@ class Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("root", None)
+        self.open: Counter[str] = Counter()  # open elements of each name
+
+    def leave(self, node: Node) -> None:
+        """Closes an open element and all that are open inside it."""
+        inner = self.at
+        while inner is not node.parent:
+            self.open[inner.tag] -= 1
+            inner = inner.parent
+        self.at = node.parent
 
     def close_up_to(self, names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        if not any(self.open[name] for name in names):
+            return
         node = self.at
         while node.parent is not None and node.tag not in stop:
             if node.tag in names:
-                self.at = node.parent
+                self.leave(node)
                 return
             node = node.parent
 
@@ -106,6 +133,7 @@ class Builder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def named_beside(self, tag: str, named: str) -> bool:
         if tag in ("html", "body", "main"):
@@ -120,12 +148,12 @@ class Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
+        while node.tag != tag:
             node = node.parent
+        self.leave(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -138,19 +166,8 @@ def skipped(node: Node) -> bool:
     return node.tag == "header" and not in_article(node.parent)
 
 
-def text_of(node: Node) -> str:
-    parts, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif not skipped(x):
-            stack.extend(reversed(x.children))
-    return " ".join("".join(parts).split())
-
-
 def measure(root: Node) -> list[Node]:
-    """Sets the text and link lengths of all kept nodes; returns them, parents first."""
+    """Sets the lengths of text and links of all kept nodes; returns them, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -160,9 +177,13 @@ def measure(root: Node) -> list[Node]:
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len(x.strip())
+                words = x.split()
+                node.follow(x.count(","), sum(map(len, words)), len(words), not x[:1].isspace() if x else None,
+                            not x[-1:].isspace())
             elif not skipped(x):
                 node.chars += x.chars
                 node.link_chars += x.link_chars
+                node.follow(x.commas, x.solid, x.words, x.starts, x.ends)
         if node.tag == "a":
             node.link_chars = node.chars
     return order
@@ -171,27 +192,35 @@ def measure(root: Node) -> list[Node]:
 def points(node: Node) -> float:
     """Points of a paragraph's text, or of the text that a container holds itself."""
     if node.tag in PARAGRAPHS and node.tag not in CONTAINERS:
-        text = text_of(node)
+        commas, length = node.commas, node.text_length()
     else:
         text = " ".join(x.strip() for x in node.children if isinstance(x, str)).strip()
-    return 0.0 if not text else 1.0 + text.count(",") + min(len(text) // 100, 3)
+        commas, length = text.count(","), len(text)
+    return 0.0 if not length else 1.0 + commas + min(length // 100, 3)
 
 
 def best_container(order: list[Node]) -> Node | None:
     """Scores containers and returns the best one."""
+    around: dict[int, Node | None] = {}  # the nearest container around each node
+    gains: dict[int, list[float]] = {}   # of a container: points from one level below, two, and further
     for node in order:
+        up = node.parent
+        around[id(node)] = None if up is None else up if up.tag in CONTAINERS else around.get(id(up))
+        if node.tag in CONTAINERS:
+            gains[id(node)] = [0.0, 0.0, 0.0]
+    for node in reversed(order):
         direct = node.tag in PARAGRAPHS or (node.tag in CONTAINERS and any(isinstance(x, str) and x.strip()
                                                                              for x in node.children))
-        if not direct:
-            continue
-        gained, up, share = points(node), node if node.tag in CONTAINERS else node.parent, 1.0
-        level = 0
-        while up is not None and up.tag != "root":
-            if up.tag in CONTAINERS:
-                up.score += gained * share
-                level += 1
-                share = 0.5 if level == 1 else 1.0 / (3 * level)
-            up = up.parent
+        box = node if node.tag in CONTAINERS else around[id(node)]
+        if direct and box is not None:
+            gains[id(box)][0] += points(node)
+        if node.tag in CONTAINERS:
+            near, second, far = gains[id(node)]
+            node.score += near + 0.5 * second + far
+            if around[id(node)] is not None:
+                above = gains[id(around[id(node)])]
+                above[1] += near
+                above[2] += second / 6.0 + far * 2.0 / 3.0
     top = None
     for node in order:
         if node.tag in CONTAINERS and node.chars:

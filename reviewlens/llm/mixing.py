@@ -10,14 +10,16 @@ numbers of at most that mean (their cumulative sums would underflow).
 Only DataFrame functions are used. Sources that the weights do not name get
 ``default_weight``; null is a source like any other. Negative or missing weights
 count as 0: such rows go. Without a positive weight, or for an empty table, the
-result is empty. Rows with equal ids (or without one) get equal counts.
+result is empty. A row is named by its id, one without an id by the md5 of its text;
+rows of one name get equal counts. Columns keep the names they have; ``mix`` adds
+``replica`` and ``mix_key``, which replace columns of those names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlens.llm.common import stored
+from reviewlens.llm.common import fields_of, stored, whole_row
 
 STEP = 32.0
 MAX_SOURCES = 100_000  # rates are broadcast only up to this many sources (a few MB)
@@ -55,31 +57,41 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float, sou
     return counted.select(source, "n", rate.alias("rate"))
 
 
+def row_name(doc_id: Column, text: Column) -> Column:
+    """What the hashes of a row start from: its id or, without one, its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text-"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 def replicated(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, seed: int = 42,
                target_rows: int | None = None) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson count, as ``replica`` 0, 1, ...; not yet shuffled."""
+    """``record`` (a row of ``docs``), ``name`` and ``replica`` 0, 1, ... by its Poisson count; not yet shuffled."""
     rate = rates(docs, weights, default_weight, target_rows=target_rows)
     # one row a source: broadcast if that is provably small, else a join that splits hot sources
     few = rate.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
-    rate = rate.select(F.col("source").alias("rate_source"), F.col("rate").alias("mix_rate"))
-    out = docs.join(F.broadcast(rate) if few else rate, F.col("source").eqNullSafe(F.col("rate_source")))
-    steps = F.greatest(F.ceil(F.col("mix_rate") / STEP).cast("int"), F.lit(1))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    one = lambda j: poisson(uniform(F.lit(str(seed)), key, j.cast("string")), F.col("mix_rate") / steps)
+    rate = rate.select(F.col("source").alias("rate_source"), "rate")
+    rows = docs.select(whole_row(docs), row_name(F.col("doc_id"), F.col("text")).alias("name"))
+    out = rows.join(F.broadcast(rate) if few else rate, F.col("record.source").eqNullSafe(F.col("rate_source")))
+    steps = F.greatest(F.ceil(F.col("rate") / STEP).cast("int"), F.lit(1))
+    one = lambda j: poisson(uniform(F.lit(str(seed)), F.col("name"), j.cast("string")), F.col("rate") / steps)
     count = F.aggregate(F.transform(F.sequence(F.lit(1), steps), one), F.lit(0), lambda a, b: a + b)
-    return (out.withColumn("mix_count", count).filter("mix_count > 0")
-            .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
-            .drop("mix_count", "mix_rate", "rate_source"))
+    return (out.select("record", "name", count.alias("copies")).filter("copies > 0")
+            .select("record", "name", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("replica")))
 
 
 def shuffled(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """Global shuffle: a hash of seed, id and replica picks the partition and the place in it (``mix_key``)."""
-    key = F.md5(F.concat_ws("/", F.lit(f"order-{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                            F.col("replica").cast("string")))
+    """Global shuffle: a hash of seed, name and replica picks the partition and the place in it (``mix_key``)."""
+    key = F.md5(F.concat_ws("/", F.lit(f"order-{seed}"), "name", F.col("replica").cast("string")))
     return rows.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, seed: int = 42,
         target_rows: int | None = None) -> DataFrame:
     """Rows of ``docs`` at the target weights in shuffled order, with ``replica`` and ``mix_key``."""
-    return shuffled(replicated(docs, weights, default_weight, seed, target_rows), seed)
+    rows = shuffled(replicated(docs, weights, default_weight, seed, target_rows), seed)
+    own = [name for name in docs.columns if name not in ("replica", "mix_key")]
+    return rows.select(*fields_of(own), "replica", "mix_key")
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str, float], **parameters) -> DataFrame:
+    """Like ``mix`` with just the columns of ``docs``, all as they were."""
+    return shuffled(replicated(docs, weights, **parameters)).select(*fields_of(docs.columns))

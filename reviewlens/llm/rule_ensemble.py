@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlens.llm.common import id_fold, labelled_sample, stored
+from reviewlens.llm.common import fields_of, id_fold, labelled_sample, stored, whole_row
 
 MAX_TRAIN_ROWS = 20_000
 FOREST = {"numTrees": 12, "maxDepth": 3, "maxBins": 64, "seed": 17, "featureSubsetStrategy": "onethird",
@@ -156,11 +156,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(rows, names)
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``record`` (the row) and ``text``: the statistics' names stand beside the row's own, not among them."""
+    return docs.select(whole_row(docs), F.col("text"))
+
+
 def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (these names are replaced if present)."""
-    rows, names = with_statistics(docs)
+    rows, _ = with_statistics(_apart(docs))
+    own = fields_of([name for name in docs.columns if name not in ("score", "predicted")])
     return (rows.withColumn("score", model.score())
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*names))
+            .select(*own, "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
@@ -168,7 +174,7 @@ def accepted(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataF
 
     Rejected rows vanish in an explode of an empty array: a filter would be
     pushed below the projection and compute each statistic anew in every rule."""
-    rows, _ = with_statistics(docs)
+    rows, _ = with_statistics(_apart(docs))
     none = F.array().cast("array<boolean>")
     keep = F.explode(F.when(model.score() >= threshold, F.array(F.lit(True))).otherwise(none))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], keep.alias("accepted_row")).drop("accepted_row")
+    return rows.select("record", keep.alias("accepted_row")).select(*fields_of(docs.columns))

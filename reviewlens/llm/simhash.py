@@ -39,10 +39,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlens.llm.common import prepare, stored
+from reviewlens.llm.common import fields_of, prepare, stored, whole_row
 
 SHARD_ROWS = 20_000
 SEED = 42
+SALTS = 32           # parts of a large component in joins and aggregates
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -68,17 +69,16 @@ def fingerprint(text: str, size: int) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, fp``; one narrow pass over the texts."""
+def fingerprints(docs: DataFrame, size: int, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The integer columns ``names`` and ``fp``; one narrow pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([fingerprint(t.as_py() or "", size) for t in batch.column(1)], pa.int64())],
-                names=["doc_id", "fp"])
+            fp = [fingerprint(t.as_py() or "", size) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(fp, pa.int64())], names=[*names, "fp"])
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(*[F.col(name).cast("long") for name in names], F.col("text").cast("string"))
+            .mapInArrow(run, ", ".join(f"{name} long" for name in (*names, "fp"))))
 
 
 def forest(blocks: int, max_bits: int) -> tuple[list[list[tuple[int, int]]], int]:
@@ -195,21 +195,53 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp")
 
 
+def own_components(own: DataFrame, max_bits: int, blocks: int, levels: int) -> DataFrame:
+    """``fp, component_id`` of every fingerprint in ``own`` (``doc_id, fp``, stored).
+
+    The smallest id of a component is found by two partial aggregates, by fingerprint and
+    by (root, part of it); rows meet it over the fingerprints, of which no copy is sent.
+    """
+    by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = components(links(by_fp.select("fp"), max_bits, blocks, levels))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    named = by_fp.join(roots, "fp", "left").select("fp", "least_id", "root", salt).checkpoint()
+    linked = named.filter("root is not null")  # a component's smallest fingerprint, its root, has none itself
+    among = linked.groupBy("root", "salt").agg(F.min("least_id").alias("among"))
+    among = among.groupBy(F.col("root").alias("head")).agg(F.min("among").alias("among"))
+    heads = (named.filter("root is null").join(among, F.col("fp") == F.col("head"), "left")
+             .select("fp", "head", F.least("among", "least_id").alias("component_id")).checkpoint())
+    # members of a large component meet their root's id in as many parts
+    dealt = heads.filter("head is not null").select(
+        F.col("head").alias("root"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return heads.select("fp", "component_id").unionByName(
+        linked.join(dealt, ["root", "salt"]).select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, blocks: int = 5, levels: int = 12) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest doc id reachable by links of up to ``max_bits`` bits."""
     spark = prepare(docs.sparkSession)
     own = stored(spark, fingerprints(docs, size), "simhash")
-    by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(by_fp.select("fp"), max_bits, blocks, levels))
-    named = by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id").checkpoint()
+    labels = own_components(own, max_bits, blocks, levels).checkpoint()
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of ``docs`` without those whose component has a smaller id. Rows without
-    an id cannot be named and stay, as do rows that repeat a kept id. All columns are kept."""
-    found = near_duplicates(docs, **parameters)
-    drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+def keep_one(docs: DataFrame, size: int = 4, max_bits: int = 4, blocks: int = 5, levels: int = 12) -> DataFrame:
+    """One row of each component of ``docs``: the smallest id, rows without an id last; all columns are kept.
+
+    Rows are named by number, so neither equal ids nor missing ones mix rows up. Which of several
+    rows with the smallest id and different texts stays is the smallest fingerprint's; of rows
+    equal in both, the first. Texts are written once, with their number, and not shuffled unless
+    the dropped numbers are too many to broadcast.
+    """
+    spark = prepare(docs.sparkSession)
+    numbered = stored(spark, docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs)), "numbered")
+    texts = numbered.select("row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text"))
+    own = stored(spark, fingerprints(texts, size, ("row", "doc_id")), "simhash")
+    labels = own_components(own.select(F.col("row").alias("doc_id"), "fp"), max_bits, blocks, levels)
+    # component by component the first row; counted in parts of a component, then over the parts
+    named = own.join(labels, "fp").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row"))
+    kept = named.groupBy("component_id", "salt").agg(first.alias("first")).groupBy("component_id").agg(
+        F.min("first").alias("first"))
+    kept = kept.select(F.col("first.row").alias("row")).checkpoint()
+    return numbered.join(kept, "row", "left_semi").select(*fields_of(docs.columns))

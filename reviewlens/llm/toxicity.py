@@ -10,7 +10,7 @@ count. A text's density is the weight matched per 100 words on a log scale; a
 logistic curve turns it into a score.
 
 Labels are learned on at most ``max_rows`` labelled rows (equal texts count
-once); every text is scored whole. A null text counts as empty: density 0.
+once), which bounds the lexicon and the exceptions; every text is scored whole. A null text counts as empty: density 0.
 Training rows of one class, or none: every score is the share of label 1 (0
 without rows). Repeated rows score alike; an empty table gives no rows.
 """
@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from reviewlens.llm.common import id_fold, labelled_sample, stored
 
 MAX_TRAIN_ROWS = 40_000
-MAX_ENTRIES = 5_000          # bound of the lexicon that is sent to the workers
-MAX_EXCEPTIONS = 5_000
+TRAIN_PARTS = 48             # parts of the stored training texts
 ENTRIES_AT_ONCE = 200_000    # candidates that a training task counts before it passes them on
 STEMS = (4, 5, 6, 7, 8)      # lengths of word beginnings that may be entries
 MIN_TEXTS = 3                # toxic training texts that must hold an entry
@@ -116,13 +115,19 @@ def density(words: list[str], machine) -> float:
             excused.append((start, end))
         elif weight > by_word.get(start, 0.0):
             by_word[start] = weight
-    total = sum(w for start, w in by_word.items() if not any(a <= start < b for a, b in excused))
+    total, reach = 0.0, 0
+    waiting = sorted(excused, reverse=True)
+    for start in sorted(by_word):  # both lists once: how far the exceptions met so far reach
+        while waiting and waiting[-1][0] <= start:
+            reach = max(reach, waiting.pop()[1])
+        if start >= reach:
+            total += by_word[start]
     return math.log1p(100.0 * total / len(words))
 
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``doc_id``, ``score`` for every row; one narrow pass over the texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES + MAX_EXCEPTIONS short strings
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # short strings, bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value.automaton()
@@ -172,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """Lexicon, exceptions and curve from the labelled rows outside fold ``held_out``."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, lambda i: id_fold(i, folds) != held_out, max_rows)
-    sample = stored(spark, sample.groupBy("text").agg(F.max("y").alias("y")), "toxic-training")
+    sample = stored(spark, sample.groupBy("text").agg(F.max("y").alias("y")).repartition(TRAIN_PARTS), "toxic-training")
     n, pos = sample.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
     neg = n - pos
     if not pos or not neg:
@@ -180,12 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     has, lacks = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(has / (pos + 1.0)) - F.log(lacks / (neg + 1.0))
     lexicon = (_found(sample, entries_of).filter(F.col("pos") >= MIN_TEXTS)
-               .withColumn("weight", odds - CAUTION * F.sqrt(1 / has + 1 / lacks)).filter(F.col("weight") >= MIN_WEIGHT)
-               .orderBy(F.desc("weight"), F.desc("pos"), "entry").limit(MAX_ENTRIES))
+               .withColumn("weight", odds - CAUTION * F.sqrt(1 / has + 1 / lacks)).filter(F.col("weight") >= MIN_WEIGHT))
     weights = {row.entry: row.weight for row in lexicon.collect()}
-    excused = (_found(sample, phrases_of(weights)).filter((F.col("neg") >= 2) & (F.col("neg") > F.col("pos")))
-               .orderBy(F.desc("neg"), "entry").limit(MAX_EXCEPTIONS).select("entry"))
-    model = ToxicModel(weights, tuple(r.entry for r in excused.collect()), 0.0, 0.0)
+    excused = _found(sample, phrases_of(weights)).filter((F.col("neg") >= 2) & (F.col("neg") > F.col("pos")))
+    model = ToxicModel(weights, tuple(sorted(r.entry for r in excused.select("entry").collect())), 0.0, 0.0)
     curve = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-4, maxIter=100).fit(densities(sample, model))
     return ToxicModel(weights, model.exceptions, float(curve.coefficients[0]), float(curve.intercept))
 

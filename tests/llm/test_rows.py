@@ -18,11 +18,11 @@ from tests.llm.conftest import ODD
 SF = "/root/testdata/sf0.001"
 
 
-def brute_poisson(doc_id, mean, seed=42):
+def brute_poisson(name, mean, seed=42):
     steps = max(1, math.ceil(mean / mixing.STEP))
     total = 0
     for j in range(1, steps + 1):
-        digest = hashlib.md5(f"{seed}/{'' if doc_id is None else doc_id}/{j}".encode()).hexdigest()
+        digest = hashlib.md5(f"{seed}/{name}/{j}".encode()).hexdigest()
         u, m = int(digest[:13], 16) / 2**52, mean / steps
         p = c = math.exp(-m)
         k = 0
@@ -35,13 +35,15 @@ def brute_poisson(doc_id, mean, seed=42):
 
 
 def brute_mix(rows, weights, default, target=None):
-    n = Counter(s for _, s in rows)
+    """Rows are (id, source) or, where an id may be missing, (id, source, text)."""
+    n = Counter(s for _, s, *_ in rows)
     weight = {s: max(weights.get(s, default), 0.0) for s in n}
     target = len(rows) if target is None else target
     out = Counter()
-    for i, s in rows:
+    for i, s, *text in rows:
+        name = i if i is not None else "text-" + hashlib.md5((text[0] or "").encode()).hexdigest()
         mean = target * weight[s] / sum(weight.values()) / n[s] if sum(weight.values()) else 0.0
-        for r in range(brute_poisson(i, mean) if mean else 0):
+        for r in range(brute_poisson(name, mean) if mean else 0):
             out[(i, s, r)] += 1
     return out
 
@@ -49,8 +51,8 @@ def brute_mix(rows, weights, default, target=None):
 @pytest.mark.parametrize("weights,default,target", [({"a": 3.0, "b": 1.0}, 1.0, None), ({"a": 1.0}, 0.0, 500),
                                                     ({"a": -1.0}, 0.0, None), ({}, 1.0, 20_000)])
 def test_mix_counts(spark, make, weights, default, target):
-    rows = [(i, "a" if i % 10 else "b") for i in range(120)] + [(None, "c"), (7, "a")]
-    docs = make([(i, f"t{i}", s) for i, s in rows])
+    rows = [(i, "a" if i % 10 else "b", f"t{i}") for i in range(120)] + [(None, "c", "tNone"), (7, "a", "t7")]
+    docs = make([(i, t, s) for i, s, t in rows])
     mixed = mixing.mix(docs, weights, default, target_rows=target)
     assert mixed.columns == [*docs.columns, "replica", "mix_key"]
     assert Counter((r.doc_id, r.source, r.replica) for r in mixed.collect()) == brute_mix(rows, weights, default, target)
@@ -59,7 +61,7 @@ def test_mix_counts(spark, make, weights, default, target):
 
 def test_mix_keeps_null_sources_and_odd_texts(spark, make):
     docs = make(ODD).withColumn("source", F.when(F.col("doc_id") > 3, F.lit(None)).otherwise(F.col("source")))
-    rows = [(r.doc_id, r.source) for r in docs.collect()]
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
     got = Counter((r.doc_id, r.source, r.replica) for r in mixing.mix(docs, {}, target_rows=40).collect())
     assert got == brute_mix(rows, {}, 1.0, 40)
 
@@ -258,6 +260,16 @@ def test_pipeline_stages_on_odd_rows(spark, make):
     docs = make(ODD)
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, make([]), SF).collect()
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        assert stage(spark, docs, SF).columns == docs.columns
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        found = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "non_toxic":
+            assert found == texts
+        elif name == "near_dedup":  # blank texts are one group, as are the equal ones
+            assert sorted(((i, t) for i, t in found.elements()), key=str) == sorted(
+                [x for x in texts if x[0] in (1, 2, 3, 9, 11, None)], key=str)
+        else:
+            assert set(found) <= set(texts)
         stage(spark, docs, SF).collect()
