@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to the sources' target weights, in shuffled order."""
     prepare(spark)
-    return mixing.mix(docs, MIX_WEIGHTS).select(docs.columns)
+    return mixing.mixed_rows(docs, MIX_WEIGHTS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
