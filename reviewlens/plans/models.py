@@ -27,7 +27,7 @@ from reviewlens.functions.constants import (
     BIGRAM_MODEL, GRID_FOLDS, LOGISTIC_GRID, LOGISTIC_MODEL, MAIN_MODEL, PERCEPTRON_MODEL, SPLIT_SEED, SPLIT_WEIGHTS,
 )
 from reviewlens.functions.vectors import vector_element
-from reviewlens.operators import boosting
+from reviewlens.operators import boosting, ranks
 from reviewlens.plans import textml
 from reviewlens.sources.files import rows_to_frame
 
@@ -129,9 +129,8 @@ def prediction_counts(pred: DataFrame) -> DataFrame:
 
 def binary_metrics_from_scores(scored: DataFrame, score: str, label: str = "label") -> dict[str, float]:
     """M11 + M14 from a score column (exact, evaluated on per-score counts)."""
-    from reviewlens.operators.metrics import area_under_pr, area_under_roc
-    return {"areaUnderROC": area_under_roc(scored, score, label),
-            "areaUnderPR": area_under_pr(scored, score, label)}
+    row = ranks.areas(scored, score, label).first()
+    return {"areaUnderROC": row.area_under_roc or 0.0, "areaUnderPR": row.area_under_pr or 0.0}
 
 
 def binary_metrics(pred: DataFrame, label: str = "label") -> dict[str, float]:
