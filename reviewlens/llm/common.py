@@ -53,11 +53,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read from there:
     cuts the lineage, survives lost executors and keeps column pruning."""
     folder = shared_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.option("compression", codec).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -39,7 +39,7 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 
 def scattered(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
-    """Pass 1: ``bucket, record`` of every row, written; the number of rows."""
+    """Pass 1: ``bucket, order, record`` of every row, written; the number of rows."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     total, n = docs.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-total // bucket_bytes))
@@ -51,8 +51,9 @@ def scattered(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame,
     few = repeated.limit(MAX_REPEATED + 1).count() <= MAX_REPEATED
     rows = rows.join(F.broadcast(repeated) if few else repeated, "key", "left")
     own = F.col("key").bitwiseXOR(F.when(F.col("parts").isNotNull(), F.xxhash64(F.pmod("row", "parts"))).otherwise(F.lit(0)))
-    rows = rows.select(F.pmod(own, F.lit(buckets)).alias("bucket"), "record")
-    return stored(docs.sparkSession, rows, "buckets"), n
+    order = F.xxhash64(F.lit(seed + 1), "record.text").alias("order")  # the window must not send the text once more
+    rows = rows.select(F.pmod(own, F.lit(buckets)).alias("bucket"), order, "record")
+    return stored(docs.sparkSession, rows, "buckets", codec="zstd"), n
 
 
 def permuted(seed: int):
@@ -87,7 +88,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, bucket_byt
     counts = stored(spark, counts.select("bucket", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")),
                     "bucket-places")
     # a fixed order first: what arrives depends on the order of network fetches
-    order = Window.partitionBy("bucket").orderBy("record.doc_id", "record.text")
+    order = Window.partitionBy("bucket").orderBy("record.doc_id", "order")
     placed = (rows.join(counts, "bucket").withColumn("number", (F.row_number().over(order) - 1).cast("long"))
               .withColumn("place", permuted(seed)("bucket", "n", "number") + F.col("before")))
     # the last shard whose first place, s * n // shards, is not beyond this place
@@ -95,7 +96,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, bucket_byt
     first: Column = F.expr(f"cast(shard as bigint) * {total} div {shards}")
     out = placed.withColumn("shard", shard).withColumn("slot", F.col("place") - first)
     folder = shared_folder(spark, "shards")
-    out.select("record", "slot", "shard").write.partitionBy("shard").parquet(folder)
+    out.select("record", "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     kinds = T.StructType([T.StructField("record", schema_in), T.StructField("slot", T.LongType()),
                           T.StructField("shard", T.IntegerType())])
     own = fields_of([name for name in schema_in.names if name not in ("shard", "slot")])
