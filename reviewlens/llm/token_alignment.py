@@ -6,7 +6,7 @@ same bytes, and offsets where tokens of both end cut a document into groups. A l
 a token of A and one of B whose byte ranges overlap; an id pair's count is the number
 of links of the corpus that hold it.
 
-1. One pass over the texts encodes them; ids are stored, two bytes each.
+1. One pass over the texts encodes and aligns them piece by piece; ids are stored, two bytes each.
 2. The distinct linked pairs are found and dealt by hash to segments of about
    ``SEGMENT_PAIRS``; one task a segment builds its minimal perfect hash.
 3. Counting pass: each task adds its links to dense vectors indexed by the hash,
@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reviewlens.llm.bpe import Recent
 from reviewlens.llm.common import stored
 from reviewlens.llm.perfect_hash import PerfectHash, mixed
-from reviewlens.llm.token_blocks import worker_tokenizer
+from reviewlens.llm.pretokens import BREAK, pieces, unmarked
+from reviewlens.llm.token_blocks import PieceTokenizer
 
 SEGMENT_PAIRS = 1 << 16
 SEGMENTS_AT_ONCE = 128
@@ -48,6 +51,9 @@ CHARS_AT_ONCE = 1_000_000
 TOKENS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
           "a_ids binary, b_ids binary")
 SEED = 0x5EED
+REMEMBERED = 600_000    # aligned pieces that one worker remembers (some 200 MB)
+SMALL_MEMORY = 20_000
+MARK, WHITE = "\u2581", " \n"
 
 
 def byte_of_character() -> dict[str, int]:
@@ -58,11 +64,31 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class Piece(NamedTuple):
+    """A text between two places where tokens of both end: ids, groups (each ended by ``;``) and counts."""
+
+    a: bytes
+    b: bytes
+    groups: str
+    n_groups: int
+    n_links: int
+
+
+NOTHING = Piece(b"", b"", "", 0, 0)
+
+
 class Pair:
-    """Both tokenizers with the bytes that their ids stand for."""
+    """Both tokenizers with the bytes that their ids stand for.
+
+    Texts are cut in front of single spaces and line breaks, where neither tokenizer's tokens
+    reach across (see ``pretokens``; no piece of B holds a space mark behind another character, or
+    a line break). Both sides of a cut are aligned apart, and pieces met before are not
+    encoded or aligned again. Other texts are encoded whole.
+    """
 
     def __init__(self, definition_a: str, model_b: bytes):
-        self.a = worker_tokenizer(definition_a, special_tokens=False)
+        self.a = PieceTokenizer(definition_a, special_tokens=False)
+        self.a.known = Recent(SMALL_MEMORY)  # what is remembered here are whole pieces
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         alphabet = byte_of_character()
         vocabulary = self.a.tokenizer.get_vocab()
@@ -70,35 +96,76 @@ class Pair:
         for token, i in vocabulary.items():
             known = all(c in alphabet for c in token)
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
-        self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
-                        else self.b.id_to_piece(i).replace("▁", " ").encode()
-                        for i in range(self.b.get_piece_size())]
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(MARK, " ").encode()
+                        for i, name in enumerate(names)]
+        self.cuts_hold = not any("\n" in name or MARK in name.lstrip(MARK) for name in names) and MARK in names
+        self.a_texts = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], object)
+        self.b_texts = np.array([[f"{i},", f"{i};"] for i in range(len(self.b_bytes))], object)
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
         self.kind = id_kind(len(self.a_bytes), len(self.b_bytes))
-        # an id's decimal text with what follows it inside a group and at its group's end
-        self.a_texts = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], object)
-        self.b_texts = np.array([[f"{i},", f"{i};"] for i in range(len(self.b_bytes))], object)
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B for each text; none where the bytes differ."""
-        out = []
-        spaced = [" " + text if text else "" for text in texts]
-        for text, raw, own in zip(spaced, self.a.encode(spaced), self.b.encode(texts, num_threads=1)):
-            a, b = np.frombuffer(raw, "<u4"), np.array(own, np.int64)
-            want = text.encode("utf-8", "surrogatepass")
-            if not text or (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != want
-                            or b"".join(map(self.b_bytes.__getitem__, own)) != want):
-                a, b = a[:0], b[:0]
-            out.append((a.astype(self.kind), b.astype(self.kind)))
+        self.memory = Recent(REMEMBERED)
+
+    def aligned(self, texts: list[str], a: np.ndarray, b: np.ndarray) -> list[Piece] | None:
+        """The alignment of each of ``texts`` from the tokens of all of them end to end, None if
+        those do not spell the texts or reach across."""
+        want = [text.encode("utf-8", "surrogatepass") for text in texts]
+        joined = b"".join(want)
+        if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != joined
+                or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != joined):
+            return None
+        both = Alignment(self.a_length[a], self.b_length[b])
+        ends = np.cumsum([len(x) for x in want])
+        if not both.last_group[np.searchsorted(both.ends, ends)].all():
+            return None
+        a_cut, b_cut = np.searchsorted(both.a_ends, ends, "right"), np.searchsorted(both.b_ends, ends, "right")
+        links = np.searchsorted(both.ends, ends, "right")
+        groups = np.cumsum(both.last_group)[links - 1]
+        # an id's decimal text and what follows it inside a group or at its group's end, groups in order
+        words = np.concatenate([self.a_texts[a, np.append(both.a_group[1:] != both.a_group[:-1], True).astype(int)],
+                                self.b_texts[b, np.append(both.b_group[1:] != both.b_group[:-1], True).astype(int)]])
+        order = np.argsort(np.concatenate([2 * both.a_group, 2 * both.b_group + 1]), kind="stable")
+        words, size = words[order].tolist(), np.dtype(self.kind).itemsize
+        a_raw, b_raw = a.astype(self.kind).tobytes(), b.astype(self.kind).tobytes()
+        cuts = np.stack([a_cut, b_cut, links, groups], axis=1).tolist()
+        out, last = [], [0, 0, 0, 0]
+        for cut in cuts:
+            out.append(Piece(a_raw[size * last[0]:size * cut[0]], b_raw[size * last[1]:size * cut[1]],
+                             "".join(words[last[0] + last[1]:cut[0] + cut[1]]), cut[3] - last[3], cut[2] - last[2]))
+            last = cut
         return out
 
-    def groups_text(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3`` of one document."""
-        texts = np.concatenate([self.a_texts[a, np.append(a_group[1:] != a_group[:-1], True).astype(int)],
-                                self.b_texts[b, np.append(b_group[1:] != b_group[:-1], True).astype(int)]])
-        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        return "".join(texts[order].tolist())[:-1]
+    def whole(self, text: str) -> Piece:
+        """A text by both libraries at once; nothing if they spell it differently."""
+        a = np.frombuffer(self.a.encode([" " + text])[0], "<u4")
+        found = self.aligned([" " + text], a, np.array(self.b.encode(text), np.int64))
+        return found[0] if found else NOTHING
+
+    def fresh(self, marked: list[str]) -> dict[str, Piece]:
+        """New pieces aligned. Those that do not end in white space go to the libraries as one text, which
+        starts with a space; the others, and all if that fails, are left to whole texts."""
+        joined = sorted((p for p in marked if p and not p[-1].isspace() and p != BREAK), key=lambda p: p[0] == BREAK)
+        if not joined or joined[0][0] == BREAK:
+            return {}
+        texts = [unmarked(p) for p in joined]
+        text = "".join(texts)
+        a = np.array(self.a.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        found = self.aligned(texts, a, np.array(self.b.encode(text[1:]), np.int64))
+        return dict(zip(joined, found)) if found else {}
+
+    def align(self, texts: list[str]) -> list[list[Piece]]:
+        """The aligned pieces of each text; none for texts that the tokenizers spell differently."""
+        young, old = self.memory.young, self.memory.old
+        cuts = [pieces(" " + text) if text and self.cuts_hold and text[0] not in WHITE and "  " not in text else None
+                for text in texts]
+        missing = {p for cut in cuts if cut for p in cut[1:] if p not in young}
+        new = {p: old[p] for p in missing if p in old}
+        new.update(self.fresh([p for p in missing if p not in new]))
+        found = [None if cut is None else [young.get(p) or new.get(p) for p in cut[1:]] for cut in cuts]
+        self.memory.put_all(new)
+        return [[NOTHING] if not text else [self.whole(text)] if own is None or None in own else own
+                for text, own in zip(texts, found)]
 
 
 def id_kind(*sizes: int) -> str:
@@ -114,14 +181,13 @@ class Alignment:
         total = int(a_ends[-1]) if len(a_ends) else 0
         a_mark, b_mark = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
         a_mark[a_ends], b_mark[b_ends] = True, True
-        self.ends = np.flatnonzero(a_mark | b_mark)
+        self.a_ends, self.b_ends, self.ends = a_ends, b_ends, np.flatnonzero(a_mark | b_mark)
         a_here, b_here = a_mark[self.ends], b_mark[self.ends]
         self.a_at = np.cumsum(a_here) - a_here      # token of A and of B on each stretch
         self.b_at = np.cumsum(b_here) - b_here
-        both = a_here & b_here
-        group = np.cumsum(both) - both
+        self.last_group = a_here & b_here           # stretches that end a group
+        group = np.cumsum(self.last_group) - self.last_group
         self.a_group, self.b_group = group[a_here], group[b_here]
-        self.last_group = both                      # stretches that end a group
 
 
 _PAIRS: dict[str, Pair] = {}
@@ -145,24 +211,21 @@ def tokens(docs: DataFrame, files) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = worker_pair(*files.value)
+        size = np.dtype(pair.kind).itemsize
         for batch in batches:
             for start, stop in text_runs(batch.column(2)):
-                texts = [x or "" for x in batch.column(2).slice(start, stop - start).to_pylist()]
-                found = pair.encode(texts)
-                out = {name: [] for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-                for a, b in found:
-                    align = Alignment(pair.a_length[a], pair.b_length[b])
-                    out["n_a"].append(len(a))
-                    out["n_b"].append(len(b))
-                    out["n_groups"].append(int(align.last_group.sum()))
-                    out["n_links"].append(len(align.ends) if len(a) else 0)
-                    text = pair.groups_text(a, b, align.a_group, align.b_group) if len(a) else ""
-                    out["groups_sha256"].append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+                found = pair.align([x or "" for x in batch.column(2).slice(start, stop - start).to_pylist()])
+                a_ids = [b"".join([p.a for p in own]) for own in found]
+                b_ids = [b"".join([p.b for p in own]) for own in found]
+                groups = ["".join([p.groups for p in own])[:-1].encode() for own in found]
+                numbers = {"n_a": [len(x) // size for x in a_ids], "n_b": [len(x) // size for x in b_ids],
+                           "n_groups": [sum([p.n_groups for p in own]) for own in found],
+                           "n_links": [sum([p.n_links for p in own]) for own in found]}
                 yield pa.RecordBatch.from_pydict({
                     "row": batch.column(0).slice(start, stop - start), "doc_id": batch.column(1).slice(start, stop - start),
-                    **{k: pa.array(v, pa.string() if k == "groups_sha256" else pa.int64()) for k, v in out.items()},
-                    "a_ids": pa.array([a.tobytes() for a, _ in found], pa.binary()),
-                    "b_ids": pa.array([b.tobytes() for _, b in found], pa.binary())})
+                    **{k: pa.array(v, pa.int64()) for k, v in numbers.items()},
+                    "groups_sha256": pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in groups], pa.string()),
+                    "a_ids": pa.array(a_ids, pa.binary()), "b_ids": pa.array(b_ids, pa.binary())})
 
     return (docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
                         F.col("text").cast("string")).mapInArrow(run, TOKENS))
