@@ -35,6 +35,7 @@ from reviewlens.session import ship_package
 
 UNIT = float(1 << 24)
 CHECKPOINT_TREES = 25
+PART_ROWS = 50_000       # least rows of a part of the state, on average
 MAX_BINS = 255
 STATE = "y double, margin double, bins binary"
 SPLITS = "node int, feature int, gain double, bin int, g long, h long, n long"
@@ -381,7 +382,9 @@ def fit(rows: DataFrame, s: Settings = Settings(), features: str = "features", l
         return BoostedTrees([[] for _ in range(size or 0)], [], start, features)
     start = math.log(ones / (n - ones))
     edges = bin_edges(rows, features, size, s.max_bins)
-    state = quantised(rows, features, label, edges, start).checkpoint(eager=True)
+    parts = max(1, -(-n // PART_ROWS))  # a pass over few rows should not wait for many tasks
+    state = quantised(rows, features, label, edges, start)
+    state = (state.coalesce(parts) if parts < state.rdd.getNumPartitions() else state).checkpoint(eager=True)
     trees: list[Tree] = []
     recent: list[Tree] = []
     for number in range(s.rounds):

@@ -82,4 +82,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Import the modules that register queries (idempotent).
-    from reviewlens.plans import queries_eda, queries_prep, queries_text, queries_tokens, queries_ml  # noqa: F401
+    from reviewlens.plans import queries_eda, queries_prep, queries_text, queries_tokens, queries_ml, queries_stores  # noqa: F401

@@ -73,4 +73,9 @@ RESULT_COLUMNS = {
     "m14_pr_length": "area_under_pr double",
     "m19_class_weights": "label bigint, n bigint, class_weight double",
     "m17_scored_ids": "reviewID string",
+    "j2_bucketed_product_counts": "reviewID string, reviewerID string, productId string, productId_count bigint",
+    "j3_w1_bucketed_product_features": "productId string, reviewerID string, reviewID string, reviewTime date, reviews_per_product bigint, reviewers_per_product bigint, product_review_interval bigint, reviewOrder bigint",
+    "m17_point_in_time_statistics": "reviewID string, known_reviews bigint, known_reviewers bigint, known_interval bigint, known boolean",
+    "a5_merged_reviewers_per_product": "productId string, reviewers bigint",
+    "m19_oversampled_class_counts": "label bigint, rows bigint, synthetic bigint",
 }

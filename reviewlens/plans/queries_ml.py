@@ -136,8 +136,8 @@ def n9_n7_scaled_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A11, M15, O3, O4, M17, M18, S5 and S6 are registered on the random forest at its
-# defaults (M8). The main boosted trees (M6) take 2000 rounds, hours here; the
-# library fits them (``scoring.train_main_model``), and no smaller fit stands in.
+# defaults (M8). The main boosted trees (M6) take up to 2000 rounds, minutes even on
+# small tables; the library fits them (``scoring.train_main_model``), and no smaller fit stands in.
 def _forest(spark: SparkSession, sf_dir: str):
     v = _vectors(spark, sf_dir)
     return v, models.random_forest().fit(v.train)

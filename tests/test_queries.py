@@ -90,6 +90,12 @@ INVARIANTS = {
     "m19_class_weighted_forest_metrics": _metrics,
     "n5_n6_n7_tfidf_vectors": lambda rows: len(rows) == 200 and all(
         0 <= r.nonzero_terms <= r.vocab_size and _unit(r.max_scaled) for r in rows),
+    "a9_merged_length_percentiles": lambda rows: rows and all(r.p25 <= r.p50 <= r.p75 for r in rows)
+    and sum(r.n for r in rows) == 87,
+    "m19_oversampled_rows": lambda rows: len({r.id for r in rows}) == len(rows) and all(
+        (r.base is not None and 0 <= r.share < 1) == r.synthetic for r in rows),
+    "m10_grid_in_lock_step": lambda rows: len(rows) == 27 and sum(r.best for r in rows) == 1 and all(
+        _unit(r.cv_auc) and r.passes < 81 and (r.holdout_auc is not None) == r.best for r in rows),
     "s3_bernoulli_sample": lambda rows: 100 < len(rows) < 180 and len({r.reviewID for r in rows}) == len(rows),
 }
 
