@@ -53,6 +53,18 @@ POLARITY_NEGATION = -0.5
 # How many preceding tokens are searched for a negation word.
 NEGATION_WINDOW = 3
 
+# Emphasis (same method): each exclamation mark up to four; two or three question
+# marks count each, more count as a whole.
+EXCLAMATION_INCREMENT = 0.292
+MAX_EXCLAMATIONS = 4
+QUESTION_INCREMENT = 0.18
+MAX_QUESTIONS = 3
+MANY_QUESTIONS = 0.96
+# Contrast (same method): words in front of the first "but" count half, those behind it one and a half times.
+CONTRAST_WORD = "but"
+BEFORE_CONTRAST = 0.5
+AFTER_CONTRAST = 1.5
+
 # ---- fixed values: default modifier words (this package's defaults) --------
 NEGATION_WORDS = [
     "not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere",

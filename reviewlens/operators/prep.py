@@ -9,8 +9,10 @@ the analysed notebooks: it is evaluated on flags computed per row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.functions import bins, dates, text
@@ -115,3 +117,17 @@ def length_columns(df: DataFrame) -> DataFrame:
 def length_study(df: DataFrame, dedup_keys: Sequence[str] = ("reviewerID", "asin")) -> DataFrame:
     """Length study rows (LT): prep -> punctuation collapse -> length -> B1 segment."""
     return dedup_then_require(length_columns(df), dedup_keys)
+
+
+@contextmanager
+def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK_DESER) -> Iterator[DataFrame]:
+    """``df`` kept by the executors inside a ``with`` block and released at its end, also after an error.
+
+    For a table that several actions of one step read; what outlives the step, or must survive lost
+    executors without being computed again, is checkpointed instead.
+    """
+    kept = df.persist(level)
+    try:
+        yield kept
+    finally:
+        kept.unpersist(blocking=True)

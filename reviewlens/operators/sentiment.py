@@ -16,7 +16,9 @@ Method (own, documented semantics):
   and AQE broadcasts it from its measured size; a large one falls back to a
   shuffle join with AQE skew splitting.
 * Compound (Z1): valence +/- booster increment, times the negation scalar when
-  negated, summed per review to ``s``; compound = s / sqrt(s^2 + alpha)
+  negated, times the contrast weight (half in front of the review's first "but", one and a half
+  behind it), summed per review to ``s``; exclamation marks (at most four) and two or more
+  question marks strengthen ``s`` in its own direction; compound = s / sqrt(s^2 + alpha)
   (Hutto & Gilbert 2014).
 * Polarity (Z2): mean matched polarity, a negated word's polarity times
   ``POLARITY_NEGATION``; 0.0 when nothing matches.
@@ -35,14 +37,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlens.functions.constants import (
+    AFTER_CONTRAST,
+    BEFORE_CONTRAST,
     BOOSTER_INCREMENT,
     BOOSTER_WORDS,
     COMPOUND_ALPHA,
+    CONTRAST_WORD,
     DAMPENER_WORDS,
+    EXCLAMATION_INCREMENT,
+    MANY_QUESTIONS,
+    MAX_EXCLAMATIONS,
+    MAX_QUESTIONS,
     NEGATION_SCALAR,
     NEGATION_WINDOW,
     NEGATION_WORDS,
     POLARITY_NEGATION,
+    QUESTION_INCREMENT,
 )
 from reviewlens.functions.text import explode_tokens, tokenize
 from reviewlens.schema import MODIFIERS
@@ -56,16 +66,21 @@ _SCALE = 100_000_000.0
 MAX_MODIFIERS = 10_000
 
 
+def _default_rows() -> list[tuple[str, str, float]]:
+    return ([(w, "negate", 0.0) for w in NEGATION_WORDS] + [(w, "boost", BOOSTER_INCREMENT) for w in BOOSTER_WORDS]
+            + [(w, "boost", -BOOSTER_INCREMENT) for w in DAMPENER_WORDS])
+
+
 def default_modifiers(spark: SparkSession) -> DataFrame:
     """This package's modifier words as a table (token, kind, weight)."""
-    rows = [(w, "negate", 0.0) for w in NEGATION_WORDS]
-    rows += [(w, "boost", BOOSTER_INCREMENT) for w in BOOSTER_WORDS]
-    rows += [(w, "boost", -BOOSTER_INCREMENT) for w in DAMPENER_WORDS]
-    return spark.createDataFrame(rows, MODIFIERS)
+    return spark.createDataFrame(_default_rows(), MODIFIERS)
 
 
-def _modifier_words(modifiers: DataFrame) -> tuple[list[str], dict[float, list[str]]]:
-    """Negation words, and booster words by weight (a word listed twice takes its largest weight)."""
+def _modifier_words(modifiers: DataFrame | None) -> tuple[list[str], dict[float, list[str]]]:
+    """Negation words, and booster words by weight (a word listed twice takes its largest
+    weight). Without a table the default lists are used as they are, with no Spark job."""
+    if modifiers is None:
+        return sorted(NEGATION_WORDS), {BOOSTER_INCREMENT: sorted(BOOSTER_WORDS), -BOOSTER_INCREMENT: sorted(DAMPENER_WORDS)}
     rows = modifiers.select("token", "kind", "weight").distinct().limit(MAX_MODIFIERS + 1).collect()
     if len(rows) > MAX_MODIFIERS:
         raise ValueError(f"more than {MAX_MODIFIERS} modifier words")
@@ -112,26 +127,45 @@ def token_context(tokens: Column, neg: Column, bst: Column, window: int = NEGATI
     return F.transform(tokens, ctx)
 
 
+def emphasis(text: str | Column) -> Column:
+    """What exclamation and question marks add to the strength of a review."""
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+    def marks(sign: str) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))
+    questions = F.when(marks("?") <= 1, F.lit(0.0)).when(marks("?") <= MAX_QUESTIONS, marks("?") * QUESTION_INCREMENT).otherwise(
+        F.lit(MANY_QUESTIONS))
+    return F.least(marks("!"), F.lit(MAX_EXCLAMATIONS)) * F.lit(EXCLAMATION_INCREMENT) + questions
+
+
+def contrast_weight(position: Column, contrast: Column) -> Column:
+    """Weight of the word at ``position`` (from 0) when the contrast word stands at ``contrast`` (from 1, 0: nowhere)."""
+    return (F.when((contrast == 0) | (position + 1 == contrast), F.lit(1.0))
+            .when(position + 1 < contrast, F.lit(BEFORE_CONTRAST)).otherwise(F.lit(AFTER_CONTRAST)))
+
+
 def lexicon_tokens(df: DataFrame, id_col: str, text_col: str, modifiers: DataFrame | None = None,
                    window: int = NEGATION_WINDOW) -> DataFrame:
-    """One row per token occurrence with its context (id, pos, tok, negated, boost)."""
+    """One row per token occurrence with its context (id, pos, tok, negated, boost, contrast, emphasis)."""
     # The token array and its flag arrays are projected into columns first; the
     # context lambda then reads neighbours from them (O(1) each) instead of
     # re-splitting the text or re-testing word lists for every neighbour.
-    negations, boosters = _modifier_words(default_modifiers(df.sparkSession) if modifiers is None else modifiers)
-    with_tokens = df.select(id_col, sentiment_tokens(text_col).alias("_toks"))
+    negations, boosters = _modifier_words(modifiers)
+    with_tokens = df.select(id_col, sentiment_tokens(text_col).alias("_toks"), emphasis(text_col).alias("emphasis"))
     flags = token_flags(F.col("_toks"), negations, boosters)
-    with_flags = with_tokens.select(id_col, "_toks", flags["_neg"].alias("_neg"), flags["_bst"].alias("_bst"))
+    with_flags = with_tokens.select(id_col, "_toks", "emphasis", F.array_position("_toks", F.lit(CONTRAST_WORD)).alias("_but"),
+                                    flags["_neg"].alias("_neg"), flags["_bst"].alias("_bst"))
     ctx = token_context(F.col("_toks"), F.col("_neg"), F.col("_bst"), window)
-    exploded = with_flags.select(id_col, F.explode_outer(ctx).alias("c")).where(F.col("c").isNotNull())
-    return exploded.select(id_col, "c.pos", "c.tok", "c.negated", "c.boost")
+    exploded = with_flags.select(id_col, "emphasis", "_but", F.explode_outer(ctx).alias("c")).where(F.col("c").isNotNull())
+    return exploded.select(id_col, "c.pos", "c.tok", "c.negated", "c.boost",
+                           contrast_weight(F.col("c.pos"), F.col("_but")).alias("contrast"), "emphasis")
 
 
 SCORES = ("compound_score", "polarity_score", "sentiment_score")
 
 
 def _score_columns(id_col: str) -> list[Column]:
-    s = F.col("_s").cast("double") / F.lit(_SCALE)
+    s = (F.col("_s") + F.signum(F.col("_s")) * F.col("_emphasis")).cast("double") / F.lit(_SCALE)
     compound = s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
     ps = F.col("_ps").cast("double") / F.lit(_SCALE)
     ss = F.col("_ss").cast("double") / F.lit(_SCALE)
@@ -153,11 +187,12 @@ def sentiment_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "reviewID"
     hits = lexicon_tokens(df, id_col, text_col, modifiers).join(words, on="tok", how="inner")
     v = F.col("valence")
     boosted = v + F.col("boost") * F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    compound_part = F.when(F.col("negated"), boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
+    compound_part = F.when(F.col("negated"), boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted) * F.col("contrast")
     polarity_part = F.when(F.col("negated"), F.col("polarity") * F.lit(POLARITY_NEGATION)) \
         .otherwise(F.col("polarity"))
     agg = hits.groupBy(id_col).agg(
         F.coalesce(F.sum(_units(compound_part)), F.lit(0)).alias("_s"),
+        F.max(_units(F.col("emphasis"))).alias("_emphasis"),
         F.sum(_units(polarity_part)).alias("_ps"),
         F.count(F.col("polarity")).alias("_pn"),
         F.sum(_units(F.col("subjectivity"))).alias("_ss"),

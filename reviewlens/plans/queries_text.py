@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions import bins
-from reviewlens.operators import eda, metrics, sentiment
+from reviewlens.operators import eda, metrics, prep, sentiment
 from reviewlens.plans import studies
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
@@ -146,12 +146,9 @@ select acc as accuracy, w0 * p0 + w1 * p1 as weighted_precision, w0 * r0 + w1 *
 def m12_m13_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12 + M13: accuracy, weighted precision and recall via Spark ML's
     evaluator on the rule predictions."""
-    rows = sentiment_rows(spark, sf_dir).select("label", "Predicted_Label").cache()
-    try:
+    with prep.persisted(sentiment_rows(spark, sf_dir).select("label", "Predicted_Label")) as rows:
         vals = [metrics.multiclass_metric(rows, m, "label", "Predicted_Label")
                 for m in ("accuracy", "weightedPrecision", "weightedRecall")]
-    finally:
-        rows.unpersist()
     return spark.createDataFrame([tuple(vals)], "accuracy double, weighted_precision double, weighted_recall double")
 
 

@@ -144,20 +144,26 @@ def sentiment_ctes(source: str, prefix: str) -> str:
     neg, boo, dam = NEGATE, BOOST, DAMPEN
     boosted = "(valence + boost * case when valence < 0 then -1.0 else 1.0 end)"
     return f"""{prefix}_toks as (
-  select reviewID, arr, unnest(range(1, len(arr) + 1)) as i
-  from (select reviewID, {sentiment_tokens_of('reviewTot')} as arr from {source})
+  select reviewID, arr, unnest(range(1, len(arr) + 1)) as i, coalesce(list_position(arr, 'but'), 0) as but_at,
+         least(bangs, 4) * 0.292::double
+         + case when asks <= 1 then 0.0 when asks <= 3 then asks * 0.18::double else 0.96 end as emphasis
+  from (select reviewID, {sentiment_tokens_of('reviewTot')} as arr,
+               length(reviewTot) - length(replace(reviewTot, '!', '')) as bangs,
+               length(reviewTot) - length(replace(reviewTot, '?', '')) as asks from {source})
 ),
 {prefix}_ctx as (
   select reviewID, arr[i] as tok,
          ((i > 1 and arr[i - 1] in ({neg})) or (i > 2 and arr[i - 2] in ({neg}))
           or (i > 3 and arr[i - 3] in ({neg}))) as negated,
          case when i > 1 and arr[i - 1] in ({boo}) then 0.293
-              when i > 1 and arr[i - 1] in ({dam}) then -0.293 else 0.0 end as boost
+              when i > 1 and arr[i - 1] in ({dam}) then -0.293 else 0.0 end as boost,
+         case when but_at = 0 or i = but_at then 1.0 when i < but_at then 0.5 else 1.5 end as contrast, emphasis
   from {prefix}_toks
 ),
 {prefix}_agg as (
   select reviewID,
-         sum(cast(round((case when negated then {boosted} * -0.74 else {boosted} end) * 100000000.0) as bigint)) as s,
+         sum(cast(round((case when negated then {boosted} * -0.74 else {boosted} end) * contrast * 100000000.0) as bigint)) as s,
+         max(cast(round(emphasis * 100000000.0) as bigint)) as strength,
          sum(cast(round((case when negated then polarity * -0.5 else polarity end) * 100000000.0) as bigint)) as ps,
          count(polarity) as pn,
          sum(cast(round(subjectivity * 100000000.0) as bigint)) as ss,
@@ -170,7 +176,7 @@ def sentiment_ctes(source: str, prefix: str) -> str:
          cast(sd / sqrt(sd * sd + 15) as float) as compound_score,
          cast(coalesce((cast(ps as double) / 100000000.0) / nullif(cast(pn as double), 0), 0.0) as float) as polarity_score,
          cast(coalesce((cast(ss as double) / 100000000.0) / nullif(cast(sn as double), 0), 0.0) as float) as sentiment_score
-  from (select *, cast(s as double) / 100000000.0 as sd from {prefix}_agg)
+  from (select *, cast(s + sign(s) * strength as double) / 100000000.0 as sd from {prefix}_agg)
 )"""
 
 

@@ -106,6 +106,31 @@ def test_modifiers_are_a_table(spark):
     assert abs(_compound(spark, "not good", modifiers=mods) - comp(2.0)) < 1e-6
 
 
+def test_emphasis_and_contrast(spark):
+    comp = lambda s: s / math.sqrt(s * s + 15)
+    for text, want in (("good!", 2.0 + 0.292), ("good !!!!!!", 2.0 + 4 * 0.292), ("bad!!", -2.0 - 2 * 0.292),
+                       ("good?", 2.0), ("good??", 2.0 + 0.36), ("bad???", -2.0 - 0.54), ("good?????", 2.0 + 0.96),
+                       ("bad, but good", -1.0 + 3.0), ("But good", 3.0), ("good but", 1.0), ("good but bad but fine", 1.0 - 3.0 + 1.5),
+                       ("good but not fine!", 1.0 - 0.74 * 1.5 - 0.292), ("fine but bad?!", 0.5 - 3.0 - 0.292)):
+        assert abs(_compound(spark, text) - comp(want)) < 1e-6, text
+    assert _compound(spark, "!!! nothing") == 0.0
+
+
+def test_persisted_rows_are_released(spark):
+    empty = spark._jsparkSession.sharedState().cacheManager()
+    df = spark.range(100).selectExpr("id * 2 as x")
+    with prep.persisted(df) as kept:
+        assert kept.count() == 100 and not empty.isEmpty()
+    assert empty.isEmpty()
+    try:
+        with prep.persisted(df) as kept:
+            kept.count()
+            raise KeyError
+    except KeyError:
+        pass
+    assert empty.isEmpty()
+
+
 def test_repeated_lexicon_entries_count_once(spark):
     twice = _lexicon(spark).union(_lexicon(spark))
     assert _compound(spark, "good", twice) == _compound(spark, "good")
