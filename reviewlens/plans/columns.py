@@ -77,5 +77,6 @@ RESULT_COLUMNS = {
     "j3_w1_bucketed_product_features": "productId string, reviewerID string, reviewID string, reviewTime date, reviews_per_product bigint, reviewers_per_product bigint, product_review_interval bigint, reviewOrder bigint",
     "m17_point_in_time_statistics": "reviewID string, known_reviews bigint, known_reviewers bigint, known_interval bigint, known boolean",
     "a5_merged_reviewers_per_product": "productId string, reviewers bigint",
+    "n3_positive_pmi": "a string, b string, n bigint, ppmi double",
     "m19_oversampled_class_counts": "label bigint, rows bigint, synthetic bigint",
 }

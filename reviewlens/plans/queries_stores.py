@@ -1,5 +1,5 @@
 """Registered queries: bucketed review tables, point-in-time statistics, mergeable sketches,
-synthetic minority rows and the logistic grid in lock step."""
+synthetic minority rows, the logistic grid in lock step, word vectors and part-of-speech tags."""
 
 from __future__ import annotations
 
@@ -9,15 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions.constants import GRID_FOLDS, LOGISTIC_GRID
-from reviewlens.operators import logistic_grid, oversampling, point_in_time, prep, ranks, sketches
+from reviewlens.operators import embeddings, logistic_grid, oversampling, point_in_time, prep, ranks, sketches, tagging
 from reviewlens.plans import textml
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
 from reviewlens.plans.queries_eda import LT, length_rows
 from reviewlens.plans.queries_ml import _vectors
 from reviewlens.plans.queries_prep import PRODUCT_ROWS, without_text
+from reviewlens.plans.queries_tokens import TXT, text_rows
 from reviewlens.session import checkpoint_dir
 from reviewlens.sources import bucketed, reviews_from_documents, reviews_from_lineitems, scoring_from_documents
+from reviewlens.sources.fixtures import tagged_benchmark
 
 
 # bucketed tables
@@ -146,3 +148,54 @@ def m10_grid_in_lock_step(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for point, auc in sorted(found.items())]
     return spark.createDataFrame(rows_out, "maxIter int, regParam double, elasticNetParam double, cv_auc double, best boolean, "
                                            "holdout_auc double, passes int")
+
+
+# word vectors
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rows(spark, sf_dir).select("reviewID", "filtered").checkpoint(eager=True)
+
+
+@register("n3_positive_pmi", TXT + """,
+known as (select word from (select unnest(filtered) as word from lg_filt) group by word having count(*) >= 5),
+placed as (select reviewID, filtered, unnest(range(1, len(filtered) + 1)) as i from lg_filt),
+once as (
+  select least(filtered[i], filtered[i + d]) as a, greatest(filtered[i], filtered[i + d]) as b, count(*) as n
+  from placed, range(1, 6) as x(d) where i + d <= len(filtered) group by 1, 2),
+both_ways as (
+  select a, b, case when a = b then 2 * n else n end as n from once union all select b, a, n from once where a <> b),
+pairs as (select a, b, n from both_ways where a in (select word from known) and b in (select word from known)),
+by_word as (select a as word, sum(n) as n from pairs group by a)
+select a, b, p.n, ln(p.n * (select sum(n) from pairs)::double / (x.n::double * y.n)) as ppmi
+from pairs p join by_word x on p.a = x.word join by_word y on p.b = y.word
+where p.n * (select sum(n) from pairs)::double > x.n::double * y.n""")
+def n3_positive_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive pointwise mutual information of all word pairs within five places."""
+    rows = _filtered(spark, sf_dir)
+    numbers = embeddings.word_numbers(rows, "filtered").checkpoint(eager=True)
+    pairs = embeddings.known_pairs(rows, "filtered", numbers, embeddings.WINDOW).checkpoint(eager=True)
+    return pairs.join(embeddings.positive_pmi(pairs), ["a", "b"]).select("a", "b", "n", "ppmi")
+
+
+@register("n3_pmi_text_vectors")
+def n3_pmi_text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text vectors as means of word vectors factored from the PMI table by least squares."""
+    from pyspark.ml.functions import vector_to_array
+    rows = _filtered(spark, sf_dir)
+    vectors = embeddings.word_vectors(rows, "filtered")
+    out = embeddings.text_vectors(rows, "reviewID", "filtered", vectors).select("reviewID", vector_to_array("text_vector").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return out.select("reviewID", F.size("v").alias("size"), norm.alias("norm"))
+
+
+# part-of-speech tags
+
+@register("t_part_of_speech_tags")
+def t_part_of_speech_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of every word of every review, word/tag joined by spaces (the notebook's dormant tagger)."""
+    transitions, emissions = tagged_benchmark(spark, sf_dir)
+    emissions = emissions.checkpoint(eager=True)
+    model = tagging.tagger(transitions, emissions)
+    out = tagging.tag_words(text_rows(spark, sf_dir).select("reviewID", "words"), model, emissions, "reviewID", "words")
+    marked = F.zip_with("words", "tags", lambda w, t: F.concat(w, F.lit("/"), t))
+    return out.select("reviewID", F.size("tags").alias("n_tags"), F.array_join(marked, " ").alias("tagged_text"))

@@ -20,7 +20,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reviewlens.functions.text import tokenize
+
 Derive = Callable[[DataFrame], DataFrame]
+FIXTURE_TAGS = ["ADJ", "ADV", "DET", "NOUN", "VERB"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -97,3 +100,20 @@ def reviews_from_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("overall"),
         F.unix_timestamp(F.col("o_orderdate")).alias("unixReviewTime"),
     )
+
+
+def tagged_benchmark(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fixture tagger tables (previous, tag, n) and (tag, word, n): the words of the small ``benchmark``
+    table, tagged by fixed arithmetic (the texts are invented words, so no tagged text exists)."""
+    words = tokenize(F.col("text"))
+    tag = lambda w: F.element_at(F.array(*[F.lit(t) for t in FIXTURE_TAGS]),
+                                 (F.length(w) * 3 + F.ascii(w)) % len(FIXTURE_TAGS) + 1)
+    texts = _table(spark, sf_dir, "benchmark", "text").select(words.alias("w"))
+    tags = texts.select(F.concat(F.array(F.lit("<s>")), F.transform("w", tag)).alias("t"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.struct(
+        F.get("t", i - 1).alias("previous"), F.get("t", i).alias("tag")))
+    transitions = (tags.select(F.explode_outer(steps).alias("s")).select("s.*").where(F.col("tag").isNotNull())
+                   .groupBy("previous", "tag").agg(F.count(F.lit(1)).alias("n")))
+    emissions = (texts.select(F.explode_outer("w").alias("word")).where(F.col("word").isNotNull())
+                 .groupBy(tag(F.col("word")).alias("tag"), "word").agg(F.count(F.lit(1)).alias("n")))
+    return transitions, emissions

@@ -96,6 +96,11 @@ INVARIANTS = {
         (r.base is not None and 0 <= r.share < 1) == r.synthetic for r in rows),
     "m10_grid_in_lock_step": lambda rows: len(rows) == 27 and sum(r.best for r in rows) == 1 and all(
         _unit(r.cv_auc) and r.passes < 81 and (r.holdout_auc is not None) == r.best for r in rows),
+    "n3_pmi_text_vectors": lambda rows: len(rows) == 200 and all(r["size"] == 100 and r.norm >= 0 for r in rows)
+    and any(r.norm > 0 for r in rows),
+    "t_part_of_speech_tags": lambda rows: len(rows) == 200 and all(
+        len(r.tagged_text.split()) == r.n_tags and all(x.split("/")[1] in ("ADJ", "ADV", "DET", "NOUN", "VERB")
+                                                     for x in r.tagged_text.split()) for r in rows),
     "s3_bernoulli_sample": lambda rows: 100 < len(rows) < 180 and len({r.reviewID for r in rows}) == len(rows),
 }
 
