@@ -15,8 +15,8 @@ query, so no list of pairs is made. A query whose buckets held fewer than ``k``
 candidates is searched again in all buckets of one table, which is exact. Distinct vectors of equal score are ordered,
 here and over all blocks, by the smallest id of each.
 
-Vectors null, empty, zero, of another length than most, or with null or non-finite
-components take no part. Ids that repeat or are null: each row is a candidate,
+Vectors null, empty, zero, or with null or non-finite components take no part. Vectors of
+different lengths are searched apart. Ids that repeat or are null: each row is a candidate,
 null ids come last among equal scores; a query's own id is no candidate of it.
 An empty table gives an empty result; other columns are ignored.
 """
@@ -24,11 +24,13 @@ An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from reviewlens.llm.common import stored
 
@@ -85,18 +87,19 @@ def hashed(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame
                      pa.array(np.full(found.size, table, np.int32)), pa.array(found.reshape(-1).astype(np.int32))],
                     names=["rep", "least", "v", "tbl", "bucket"])
 
-    return vectors.select("rep", "least", "v").mapInArrow(
-        run, "rep long, least long, v array<float>, tbl int, bucket int")
+    kind = vectors.schema["v"].dataType.simpleString()
+    return vectors.select("rep", "least", "v").mapInArrow(run, f"rep long, least long, v {kind}, tbl int, bucket int")
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` of the vectors that take part."""
-    v = F.col(vector_col).cast("array<float>")
+    """``id, v`` of the vectors that take part: single-precision ones as they are, others in double precision."""
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(
+        vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(F.col("v").isNotNull() & (F.size("v") > 0)).filter(~bad).filter(F.exists("v", lambda x: x != 0))
-    usual = (rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect())
-    return rows.filter(F.size("v") == usual[0].d) if usual else rows
+    rows = rows.filter(F.col("v").isNotNull() & (F.size("v") > 0)).filter(~bad)
+    return rows.filter(F.exists("v", lambda x: x != 0))
 
 
 def indexed(index: DataFrame, tables: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +162,20 @@ def search(queries: DataFrame, members: DataFrame, blocks: DataFrame, k: int, ta
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, probes: int = 40, seed: int = 7,
             id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` nearest found; ``is_query`` is a condition on column ``id``."""
+    """``query_id, rank, vec_id, score``: each query's ``k`` nearest found; ``is_query`` is a condition on column ``id``.
+
+    Vectors of different lengths have no inner product: each length is searched among its own."""
     spark = vectors.sparkSession
     rows = stored(spark, usable(vectors, id_col, vector_col), "ann-vectors")
+    lengths = sorted(r.d for r in rows.select(F.size("v").alias("d")).distinct().collect())  # a model has one or few
+    parts = [_nearest(rows.filter(F.size("v") == d) if len(lengths) > 1 else rows, is_query, k, tables, probes, seed)
+             for d in lengths or [0]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, tables: int, probes: int, seed: int) -> DataFrame:
+    """``nearest`` of rows (``id, v``) of one length."""
+    spark = rows.sparkSession
     same = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last())
     # only the k + 1 smallest ids of equal vectors can be answers; Spark keeps that many before the shuffle too
     members = (rows.withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1)

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
@@ -48,6 +49,7 @@ SEGMENT_PAIRS = 1 << 16
 SEGMENTS_AT_ONCE = 128
 COUNT_TASKS = 4096      # most tasks of a counting pass: each sends one vector a segment
 CHARS_AT_ONCE = 1_000_000
+MERGE_PAIRS = 1 << 22   # id pairs that a task holds before it merges them
 TOKENS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
           "a_ids binary, b_ids binary")
 SEED = 0x5EED
@@ -312,14 +314,19 @@ def distinct_pairs(found: DataFrame, files) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = token_lengths(files)
-        held = np.zeros(0, np.uint64)
+        held, size = [], 0
         for batch in batches:
             for _, _, a, b, _ in aligned(batch, *lengths):
-                held = np.union1d(held, packed(a, b))
-                if len(held) > 1 << 22:  # a task passes on what it holds and goes on
-                    yield pa.RecordBatch.from_pydict({"key": held.view(np.int64)})
-                    held = held[:0]
-        yield pa.RecordBatch.from_pydict({"key": held.view(np.int64)})
+                held.append(pd.unique(packed(a, b)))
+                size += len(held[-1])
+                if size > MERGE_PAIRS:
+                    held = [pd.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > MERGE_PAIRS // 2:  # a task passes on what it holds and goes on
+                        yield pa.RecordBatch.from_pydict({"key": held[0].view(np.int64)})
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"key": pd.unique(np.concatenate(held)).view(np.int64)})
 
     return found.select("a_ids", "b_ids").mapInArrow(run, "key long").distinct()
 
@@ -352,8 +359,8 @@ def count_vectors(found: DataFrame, files, segments: int, hashes) -> DataFrame:
         vector = np.zeros(table.size, np.int64)
         for batch in batches:
             for _, _, a, b, _ in aligned(batch, *lengths):
-                keys, n = np.unique(packed(a, b), return_counts=True)
-                at = table.index(keys)
+                code, keys = pd.factorize(packed(a, b))
+                at, n = table.index(keys), np.bincount(code, minlength=len(keys))
                 vector[at[at >= 0]] += n[at >= 0]
         branch = TaskContext.get().partitionId() % fan
         for s, first in table.first.items():
@@ -392,6 +399,13 @@ def pair_counts(indexed: DataFrame) -> DataFrame:
     return indexed.select("hash", "counts").mapInArrow(run, "a long, b long, n long")
 
 
+def _whole_sums(row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``n`` by row (rows in order), exact for any whole numbers."""
+    before = np.concatenate([[0], np.cumsum(n)])
+    cuts = np.searchsorted(row, np.arange(rows + 1))
+    return before[cuts[1:]] - before[cuts[:-1]]
+
+
 def looked_up(found: DataFrame, files, segments: int, index, best) -> DataFrame:
     """Second pass: ``found`` without ids, with ``n_best`` and ``count_sum`` over the links of the broadcast segments."""
     plain = [name for name in found.columns if name not in ("a_ids", "b_ids")]
@@ -404,15 +418,13 @@ def looked_up(found: DataFrame, files, segments: int, index, best) -> DataFrame:
         table, highest = Counter(segments, hashes, counts), best.value
         for batch in batches:
             for start, stop, a, b, links in aligned(batch, *lengths):
-                keys, back = np.unique(packed(a, b), return_inverse=True)
+                back, keys = pd.factorize(packed(a, b))
                 at = table.index(keys)
                 n = np.where(at >= 0, table.counts[at], 0) if table.size else np.zeros(len(keys), np.int64)
                 is_best = (n > 0) & (n == highest[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)])
                 row = np.repeat(np.arange(stop - start), links)
                 n, is_best = n[back], is_best[back]
-                sums = np.zeros((2, stop - start), np.int64)
-                np.add.at(sums[0], row, is_best)
-                np.add.at(sums[1], row, n)
+                sums = np.stack([_whole_sums(row, is_best, stop - start), _whole_sums(row, n, stop - start)]).astype(np.int64)
                 part = batch.slice(start, stop - start).select(plain)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums[0]), pa.array(sums[1])],
                                                  names=[*plain, "n_best", "count_sum"])

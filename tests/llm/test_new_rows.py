@@ -1,7 +1,9 @@
 """Alignment of tokenizers, digest index and spelling variants against brute force; rows that clash or repeat."""
 
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +15,10 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reviewlens.llm import exact_dedup as ed, mixing, rule_ensemble, sharding, simhash, spelling, token_alignment as ta
+from reviewlens.llm import (
+    cross_polytope, exact_dedup as ed, html_extract, mixing, rule_ensemble, sharding, simhash, spelling, token_alignment as ta,
+    token_blocks, toxicity,
+)
 from reviewlens.llm.common import fields_of, shared_folder, whole_row
 from reviewlens.llm.perfect_hash import PerfectHash
 from reviewlens.llm.queries import QUERIES
@@ -180,6 +185,78 @@ def test_hot_digest_meets_its_group_by_broadcast(spark, make, monkeypatch):
     assert sum(r.kept for r in found.collect()) == 301 and found.count() == 600
 
 
+# nearest neighbours: types and lengths
+
+def test_vectors_keep_their_precision_and_lengths_are_apart(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in cross_polytope.nearest(df, F.col("id") % 20 == 0, k=4, probes=16).collect()}
+    for q in (0, 20, 40):
+        x = np.array(data[q][1])
+        near = sorted((-float(np.cumsum(x * np.array(v))[-1]), i) for i, v in data if i != q and len(v) == len(x))[:4]
+        assert [got[q, k + 1] for k in range(4)] == [(i, -s) for s, i in near]
+
+
+# toxicity: a matcher that looks for every entry by itself
+
+def plain_density(words, model):
+    text, by_start = " " + " ".join(words) + " ", {}
+    find = lambda entry: [k for k in range(len(text)) if text.startswith(entry, k)]
+    for entry, weight in model.weights.items():
+        for k in find(entry):
+            by_start[k] = max(weight, by_start.get(k, 0.0))
+    inside = [(k, k + len(e) - 1) for e in model.exceptions for k in find(e)]
+    total = sum(w for k, w in by_start.items() if not any(a <= k < b for a, b in inside))
+    return math.log1p(100.0 * total / len(words)) if words and (model.weights or model.exceptions) else 0.0
+
+
+def test_scores_equal_a_plain_matcher(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), "toxic", 5, 0)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.scores(docs, model).collect():
+        words = toxicity.fold(texts[r.doc_id])[:400]
+        machine = model.automaton()
+        assert toxicity.density(words, machine) == pytest.approx(plain_density(words, model), abs=1e-12)
+        x = model.bias + model.slope * toxicity.density(toxicity.fold(texts[r.doc_id]), machine)
+        assert r.score == pytest.approx(1.0 / (1.0 + math.exp(-min(max(x, -50.0), 50.0))), abs=1e-12)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "can", "idiot", "idiots", "the", "tra"]), max_size=12))
+def test_density_with_overlapping_exceptions(words):
+    model = toxicity.ToxicModel({" trash ": 3.0, " tras": 2.0, " idio": 1.5, " can ": 0.5}, (" trash can ", " can idiots ", " trash trash "), 1.0, 0.0)
+    assert toxicity.density(words, model.automaton()) == pytest.approx(plain_density(words, model), abs=1e-12)
+
+
+def test_density_of_a_very_long_text_is_quick():
+    model = toxicity.ToxicModel({" trash ": 3.0}, (" trash can ",), 1.0, 0.0)
+    start = time.perf_counter()
+    toxicity.density(["trash", "can"] * 50_000, model.automaton())
+    assert time.perf_counter() - start < 10
+
+
+def test_deep_and_stray_html_is_quick():
+    start = time.perf_counter()
+    for html in ("<ul><li>x, y " * 20_000, "<div>some text, here " * 20_000, "<div>a</div>" + "</span>" * 20_000):
+        html_extract.main_text(html)
+    assert time.perf_counter() - start < 60
+
+
+# special tokens
+
+def test_special_tokens_are_read_as_the_library_reads_them():
+    definition = open(A_FILE, encoding="utf-8").read()
+    library = Tokenizer.from_str(definition)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y.", "a  <|endoftext|>", "plain words, here", "<|endoftext|>"]
+    plain = Tokenizer.from_str(definition)
+    plain.encode_special_tokens = True
+    for special, other in ((True, library), (False, plain)):
+        got = [np.frombuffer(x, "<u4").tolist() for x in token_blocks.PieceTokenizer(definition, special).encode(texts)]
+        assert got == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # spelling variants
 
 def brute_variants(rows):
