@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-import reviewlens
-from reviewlens.session import checkpoint_dir, configure
+from reviewlens.session import checkpoint_dir, configure, ship_package
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -21,30 +16,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the Python workers, once per application,
-    so that functions pickled by name can be imported wherever a task runs."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.abspath(reviewlens.__file__))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.join("reviewlens", os.path.relpath(path, root)))
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="reviewlens-src-")), "reviewlens_src.zip")
-    with open(target, "wb") as f:
-        f.write(buffer.getvalue())
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder below the cluster's shared checkpoint folder."""
     base = checkpoint_dir(spark)
