@@ -112,7 +112,16 @@ def test_op10_query(spark):
 # paragraph sketches
 
 def brute_digests(text):
-    return {p for line in text.split("\n") for p in (line[i:i + ps.PIECE_CHARS] for i in range(0, len(line), ps.PIECE_CHARS)) if p}
+    pieces = [""]
+    for w in re.findall(ps.WORD, text):
+        if w == "\n":
+            pieces.append("")
+        else:
+            pieces[-1] += w
+            if xxhash.xxh64(w.rstrip(" ").encode(), seed=42).intdigest() % ps.CUT_WORDS == 0:
+                pieces.append("")
+    assert "".join(pieces) == text.replace("\n", "")
+    return {p for p in pieces if p}
 
 
 def brute_sketch_rows(rows):
@@ -155,32 +164,9 @@ def test_sketches_without_retries_fall_back_to_digests(spark, make, monkeypatch)
     assert sketch_rows(ps.fingerprints(make(rows))) == brute_sketch_rows(rows)
 
 
-def brute_word_digests(text):
-    pieces = [""]
-    for w in re.findall(ps.WORD, text):
-        if w == "\n":
-            pieces.append("")
-        else:
-            pieces[-1] += w
-            if xxhash.xxh64(w.rstrip(" ").encode(), seed=42).intdigest() % ps.CUT_WORDS == 0:
-                pieces.append("")
-    assert "".join(pieces) == text.replace("\n", "")
-    return {p for p in pieces if p}
-
-
-def word_rows(rows):
-    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else ps.NO_ID), r[1] or ""))
-    out = []
-    for k, (doc_id, text) in enumerate(ordered):
-        a, b = (brute_word_digests(t or "") for t in (text, ordered[(k + 1) % len(ordered)][1]))
-        out.append((doc_id, len(text or ""), round(len(a & b) / len(a | b) if a | b else 1.0, 12)))
-    return sorted(out, key=str)
-
-
 def test_word_pieces_of_odd_rows(spark, make):
     rows = ODD + [(20, "漢字かな交じり文、" * 40 + "ไทย" * 30), (21, "字" + "漢字かな交じり文、" * 40), (22, "\ttab\r\n\n \x0b it's  'quoted'\\n \f")]
-    got = ps.fingerprints(make(rows)).collect()
-    assert sorted(((r.doc_id, r.n_chars, round(r.near_next_words, 12)) for r in got), key=str) == word_rows(rows)
+    assert sketch_rows(ps.fingerprints(make(rows))) == brute_sketch_rows(rows)
 
 
 def test_inserts_and_deletes_touch_few_pieces(spark, make):
@@ -191,14 +177,22 @@ def test_inserts_and_deletes_touch_few_pieces(spark, make):
     rows = [(8, " ".join(words)), (7, " ".join(w for i, w in enumerate(words) if i not in cut)),
             (6, " ".join(short)), (5, "first " + " ".join(short)), (4, "first " + " ".join(short[:150] + ["new"] + short[150:])),
             (3, " ".join(short[:150] + short[151:])), (2, " ".join(short[:-10]))]
-    near = {r.doc_id: r.near_next_words for r in ps.fingerprints(make(rows)).collect()}
+    near = {r.doc_id: r.near_next for r in ps.fingerprints(make(rows)).collect()}
     assert near[8] > 0.65 and near[6] > 0.8 and near[5] > 0.8 and near[4] > 0.6 and near[3] > 0.7 and near[7] < 0.1
 
 
-def test_op4_word_pieces(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = QUERIES["op4_paragraph_sketch"](spark, SF).collect()
-    assert sorted(((r.doc_id, r.n_chars, round(r.near_next_words, 12)) for r in got), key=str) == word_rows(docs)
+def test_published_fingerprints_subtract_and_peel(spark, make):
+    text = "\n".join(f"line {i} of a text" for i in range(300))
+    rows = [(9, text), (8, text + "\nline 300 of a text"), (7, "\n".join(text.split("\n")[2:])), (6, ""), (5, "quite another\n" * 3)]
+    prints = {r.doc_id: r.fingerprint for r in ps.fingerprints(make(rows)).collect()}
+    pairs = [(9, 8), (8, 7), (9, 9), (6, 5), (9, 6)]
+    got = spark.createDataFrame([(prints[a], prints[b]) for a, b in pairs], "a string, b string").select(
+        "a", "b", ps.difference("a", "b").alias("d")).collect()
+    found = {(r.a, r.b): r.d for r in got}
+    texts = dict(rows)
+    for a, b in pairs[:4]:
+        assert found[prints[a], prints[b]] == len(brute_digests(texts[a]) ^ brute_digests(texts[b]))
+    assert found[prints[9], prints[6]] is None  # hundreds of digests do not peel from 12 cells
 
 
 def test_peeling_recovers_small_differences(spark):
