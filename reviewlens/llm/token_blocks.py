@@ -355,6 +355,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
             unfinished = f"{path}/_unfinished-{name}-{uuid.uuid4().hex}"
             with fs.open_output_stream(unfinished) as out:
                 out.write(content)
+            if fs.get_file_info(f"{path}/{name}").type != pafs.FileType.NotFound:
+                fs.delete_file(f"{path}/{name}")  # an earlier attempt's, of the same bytes; not every store renames over it
             fs.move(unfinished, f"{path}/{name}")
             row = pa.RecordBatch.from_pydict({"file": [name], "tokens": [sum(lengths)], "documents": [len(doc_ids)]})
             doc_ids.clear(), lengths.clear(), parts.clear()
