@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions.constants import GRID_FOLDS, LOGISTIC_GRID
-from reviewlens.operators import embeddings, logistic_grid, oversampling, point_in_time, prep, ranks, sketches, tagging
+from reviewlens.operators import embeddings, logistic_grid, metrics, oversampling, point_in_time, prep, sketches, tagging
 from reviewlens.plans import textml
 from reviewlens.plans import sqlforms as S
 from reviewlens.plans.catalog import register
@@ -143,8 +143,8 @@ def m10_grid_in_lock_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = max(found, key=found.get)
     weights = logistic_grid.fit(rows, [logistic_grid.Problem(best[1], best[2], None)], [best[0]])[0][0][best[0]]
     held = logistic_grid.grid_rows(v.holdout, "features", "label", F.lit(0)).select("y", logistic_grid.margin("x", weights).alias("m"))
-    area = ranks.areas(held, "m", "y").first()
-    rows_out = [(*point, auc, point == best, area.area_under_roc if point == best else None, passes)
+    area = metrics.area_under_roc(held, "m", "y")
+    rows_out = [(*point, auc, point == best, area if point == best else None, passes)
                 for point, auc in sorted(found.items())]
     return spark.createDataFrame(rows_out, "maxIter int, regParam double, elasticNetParam double, cv_auc double, best boolean, "
                                            "holdout_auc double, passes int")
