@@ -240,3 +240,59 @@ def test_histogram_keeps_all_rows_and_bins(spark):
     assert len(h) == 5 and sum(r["count"] for r in h) == 5 and h[-1]["count"] == 1
     const = eda.histogram(spark.createDataFrame([(3.0,), (3.0,)], "x double"), "x", 4).collect()
     assert sum(r["count"] for r in const) == 2
+
+
+def test_term_counts_shuffle_terms_only_and_ids_that_repeat_are_one_document(spark):
+    from pyspark.sql import functions as F
+    from reviewlens.operators import tokens
+    rows = [(i, [f"w{i % 3}", "x", "x"]) for i in range(12)] + [(3, ["x", "y"]), (20, []), (21, None), (None, ["y"]), (None, ["y"])]
+    for own in (rows[:12], rows):
+        df = spark.createDataFrame(own, "id int, toks array<string>")
+        docs = {}
+        for i, t in own:
+            docs.setdefault(i, []).extend(t or [])
+        want = {t: (sum(t in d for d in docs.values()), sum(d.count(t) for d in docs.values())) for d in docs.values() for t in d}
+        got = tokens.term_frequencies(df, "id", "toks")
+        assert {r.term: (r.doc_freq, r.term_freq) for r in got.collect()} == want
+        if own is not rows:
+            assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+        vocab = tokens.vocabulary(df, "id", "toks", vocab_size=10, min_df=1, max_df=1.0).checkpoint()
+        idf = tokens.inverse_document_frequency(vocab, df.select(F.count(F.lit(1))).scalar(), 1)
+        cells = tokens.tf_idf_scaled(df, vocab, idf, "id", "toks")
+        weight = {r.term: r.idf for r in idf.collect()}
+        found = {(r.id, r.term): (r.tf_idf, r.scaled) for r in cells.collect()}
+        assert found.keys() == {(i, t) for i, d in docs.items() for t in d if t in weight} and len(found) == cells.count()
+        assert all(found[i, t][0] == docs[i].count(t) * weight[t] and 0 <= found[i, t][1] <= 1 for i, t in found)
+        assert "SortMergeJoin" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_class_weights_do_not_shuffle_the_rows_and_fits_get_small_partitions(spark):
+    from reviewlens.plans import models
+    df = spark.createDataFrame([(k, float(k % 4 == 0)) for k in range(40)], "k int, label double").repartition(2).checkpoint()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = models.class_weights(df)
+        assert {(r.label, r.class_weight) for r in out.collect()} == {(1.0, 2.0), (0.0, 40 / 60)}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    wide = models.spread(df, 5)
+    assert wide.rdd.getNumPartitions() == 8 and wide.count() == 40 and models.spread(df, 20) is df
+
+
+def test_vectors_are_kept_without_texts_and_word_training_is_bounded_by_the_cores(spark):
+    from reviewlens.functions.constants import FEATURE_COLUMNS
+    from reviewlens.plans import scoring, textml
+    plain = [c for c in FEATURE_COLUMNS if c != "word2vec_features"]
+    rows = [(str(k), k % 2, "good old words here " * 3, *[float(k % 5 + j) for j in range(len(plain))]) for k in range(40)]
+    df = spark.createDataFrame(rows, "reviewID string, label int, combined_text string, " + ", ".join(f"{c} double" for c in plain))
+    v = scoring.vectorize(df)
+    assert v.train.count() + v.holdout.count() == 40
+    assert not {"combined_text", "words", "filtered"} & {*v.train.columns, *v.holdout.columns}
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        assert textml.word2vec().getNumPartitions() == textml.WAVES * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
