@@ -195,6 +195,15 @@ def test_published_fingerprints_subtract_and_peel(spark, make):
     assert found[prints[9], prints[6]] is None  # hundreds of digests do not peel from 12 cells
 
 
+def test_signed_sketch_equals_the_subtracted_sketches_and_takes_fewer_steps(spark):
+    row = spark.range(1).select(F.expr("transform(sequence(1, 9), i -> xxhash64(i))").alias("a"),
+                                F.expr("transform(sequence(4, 12), i -> xxhash64(i))").alias("b"), F.expr("cast(array() as array<bigint>)").alias("none"))
+    for a, b in (("a", "b"), ("b", "a"), ("a", "none"), ("none", "b"), ("a", "a")):
+        out = row.select(F.expr(ps.sketch_less(a, b, 8)).alias("x"), F.expr(ps.subtracted(ps.sketch(a, 8), ps.sketch(b, 8))).alias("y")).first()
+        assert out.x == out.y
+    assert "zip_with" not in ps.part_difference("a", "b") and f"sequence(1, {4 * ps.SLOTS})" in ps.part_difference("a", "b")
+
+
 def test_peeling_recovers_small_differences(spark):
     row = spark.range(1).select(F.expr("transform(sequence(1, 500), i -> xxhash64(i))").alias("a"),
                                 F.expr("transform(sequence(4, 502), i -> xxhash64(i))").alias("b"))
