@@ -82,6 +82,19 @@ def test_grid_equals_81_fits(spark):
         assert found[p["maxIter"], p["regParam"], p["elasticNetParam"]] == pytest.approx(auc, abs=1e-3)
 
 
+def test_grid_passes_read_blocks_of_rows(spark):
+    df = vectors(spark)
+    rows = G.grid_rows(df, "features", "label", F.col("fold")).repartition(3).checkpoint()
+    packed = G.blocks(rows).checkpoint()
+    assert packed.count() == 3  # and not one row for each of them
+    got = sorted((y, f, tuple(x)) for r in packed.collect() for y, f, x in zip(
+        np.frombuffer(r.y), np.frombuffer(r.fold, np.int64), np.frombuffer(r.x).reshape(-1, r.width)))
+    assert got == sorted((r.y, r.fold, tuple(r.x)) for r in rows.collect())
+    problems = [G.Problem(0.01, 0.1, 1), G.Problem(0.1, 0.0, None)]
+    for a, b in zip(G.fit(packed, problems, [5])[0], G.fit(rows, problems, [5])[0]):
+        assert np.allclose(a[5], b[5])
+
+
 def test_margin_column(spark):
     df = vectors(spark, 10)
     w = np.arange(9, dtype=float)
