@@ -296,3 +296,35 @@ def test_vectors_are_kept_without_texts_and_word_training_is_bounded_by_the_core
         assert textml.word2vec().getNumPartitions() == textml.WAVES * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_word_training_sends_one_set_of_vectors_a_core(spark):
+    from reviewlens.plans import textml
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        assert textml.word2vec().getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_texts_are_cleaned_behind_the_join(spark):
+    from reviewlens.plans import studies
+    texts = spark.createDataFrame([("a", "Good -- it's 12!", None), ("b", None, "x"), ("c", "gone", "gone")],
+                                  "reviewID string, reviewText string, summary string")
+    out = studies.with_cleaned_texts(spark.createDataFrame([("a", 1), ("b", 2), ("d", 3)], "reviewID string, n int"), texts)
+    assert {tuple(r) for r in out.collect()} == {("a", 1, "good its  "), ("b", 2, "x")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Join")
+
+
+def test_token_context_is_compiled_with_the_explode(spark):
+    from reviewlens.operators import sentiment
+    df = spark.createDataFrame([("a", "not a very good day, but wasn't bad"), ("b", None), ("c", "")], "reviewID string, reviewTot string")
+    out = sentiment.lexicon_tokens(df, "reviewID", "reviewTot")
+    rows = [tuple(r) for r in out.orderBy("reviewID", "pos").select("reviewID", "pos", "tok", "negated", "boost").collect()]
+    assert [(r[1], r[2], r[3]) for r in rows] == [(0, "not", False), (1, "a", True), (2, "very", True), (3, "good", True), (4, "day", False),
+                                                  (5, "but", False), (6, "wasnt", False), (7, "bad", True)]
+    assert {r[0] for r in rows} == {"a"} and rows[3][4] > 0 and rows[4][4] == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # an interpreted step for every token
